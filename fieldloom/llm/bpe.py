@@ -333,25 +333,30 @@ def decode(df: DataFrame, ids: str = "token_ids", path: str = RANKS, pattern: st
     return df.mapInArrow(run, schema)
 
 
-def digests(docs: DataFrame, path: str = RANKS, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
-    """Encode and decode each whole text; return counts and hashes only, so ids are never moved."""
+def digests(docs: DataFrame, path: str = RANKS, pattern: str = public_tokenizers.PATTERN, with_ids: bool = False) -> DataFrame:
+    """Encode and decode each whole text; return counts and hashes, and token_ids only if wanted."""
 
     def run(it):
         tok = tokenizer(path, pattern)
         sha = hashlib.sha256
         for b in it:
-            n, ids_sha, text_sha = [], [], []
+            n, ids_sha, text_sha, kept = [], [], [], []
             for t in b.column("text").to_pylist():
                 ids = tok.encode_bytes(t or "")
                 n.append(len(ids) // 4)
+                if with_ids:
+                    kept.append(np.frombuffer(ids, "<i4"))
                 ids_sha.append(sha(ids).hexdigest())
                 got = sha()
                 for part in tok.decode(np.frombuffer(ids, "<u4").tolist()):
                     got.update(part.encode())
                 text_sha.append(got.hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(text_sha)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            more = [pa.array(kept, pa.list_(pa.int32()))] if with_ids else []
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string()), *more], [*columns, "token_ids"][: 4 + with_ids])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    columns = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * with_ids
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

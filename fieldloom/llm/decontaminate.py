@@ -136,7 +136,7 @@ def blocks(benchmark: DataFrame, block: int = BLOCK):
         yield windows_of(part.toLocalIterator())
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK, keep_text: bool = False) -> DataFrame:
+def hits(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
     """docs' doc_id with n_words, hit (packed numbers of hit words) and items (array of item_id)."""
     df = docs.select("doc_id", "text", F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("binary").alias("hit"), F.array().cast("array<string>").alias("items"))
     first = True
@@ -145,7 +145,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK, keep_text: b
             df = common.checkpoint(df)
         df = _one_pass(df, docs.sparkSession.sparkContext.broadcast(windows))
         first = False
-    return df if keep_text else df.drop("text")
+    return df.drop("text")
 
 
 def _one_pass(df: DataFrame, windows) -> DataFrame:
@@ -168,6 +168,22 @@ def _one_pass(df: DataFrame, windows) -> DataFrame:
     return df.mapInArrow(run, df.schema)
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The rows of docs without a hit, with all their columns."""
+    names, schema, df = docs.columns, docs.schema, docs
+    for k, windows in enumerate(blocks(benchmark, block)):
+        sent = docs.sparkSession.sparkContext.broadcast(windows)
+
+        def run(it, sent=sent):
+            prints = Fingerprints(sent.value)
+            for t in common.batches(it, CHUNK_BYTES):
+                kept = [not n for _, n, _, _ in prints.hits(common.texts_of(t.column("text")))]
+                yield from t.select(names).filter(pa.array(kept)).combine_chunks().to_batches()
+
+        df = (common.checkpoint(df) if k else df).mapInArrow(run, schema)
+    return df
+
+
 def report(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
 
