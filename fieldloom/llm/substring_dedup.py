@@ -36,9 +36,9 @@ from fieldloom.llm import common
 from fieldloom.llm.common import pack, pack_sorted, unpack, unpack_sorted
 
 WINDOW = 13
-BATCH_BYTES = 12 << 20
-CHUNK_BYTES = 2 << 20
-#: Input bytes for a bucket, and the most buckets: a batch of some two million windows then has about 64 in each.
+BATCH_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
+#: Input bytes for a bucket, and the most buckets: a batch of 700,000 windows then has about 20 in each.
 BUCKET_BYTES, MOST_BUCKETS = 2 << 20, 1 << 15
 LAST_ID = np.iinfo(np.int64).max
 
