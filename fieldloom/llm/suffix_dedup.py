@@ -41,7 +41,7 @@ from fieldloom.llm.decontaminate import least
 from fieldloom.llm.substring_dedup import LAST_ID, _ids, _join, _split, buckets_for
 
 LENGTH, GRAM = 200, 100
-BATCH_BYTES, CHUNK_BYTES = 8 << 20, 1 << 20
+BATCH_BYTES, CHUNK_BYTES = 4 << 20, 1 << 20
 #: Different segments of one anchor in one batch, and among all batches, from which on it is dealt by document.
 LOCAL_HOT, HOT = 16, 256
 LANE = 256
