@@ -2,10 +2,205 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fieldloom.functions import lists
+from fieldloom.functions.choice import column_for, last_non_null
+from fieldloom.functions.naming import accessor_kind, accessor_property, is_blank
+from fieldloom.operators import callgraph, hydrate, orders
+from fieldloom.operators.mapping import Binding, Field, Fields, ListFields, Poly, PolyListFields
+from fieldloom.operators.changes import replay
+from fieldloom.operators.property_access import facts
+
+ROLE = "Lexample/AggregateRoot;"
+#: Literal facts; the same text on both sides.
+ACCESSORS = "SELECT * FROM (VALUES ('get'), ('is'), ('set'), ('issue'), ('settle'), ('getaway'), ('getSummary'), ('setName'), ('isActive'), ('other'), ('<init>')) AS t(name)"
+EDGES = "SELECT * FROM (VALUES (1, 2), (2, 3), (3, 1), (3, 4), (5, 6)) AS t(caller, callee)"
+LINES = "SELECT * FROM (VALUES ('C', 'run', 0, 10), ('C', 'run', 0, 12), ('C', 'run', 0, 14), ('C', 'run', 1, 20), ('C', 'run', 1, 24), ('C', 'run', 2, 24), ('D', 'run', 0, 22)) AS t(cls, name, method_ord, line)"
+FRAMES = "SELECT * FROM (VALUES ('C', 'run', 12), ('C', 'run', 13), ('C', 'run', 24), ('C', 'run', 99), ('D', 'run', 1), ('E', 'run', 1)) AS t(cls, name, line)"
+CLASSES = f"SELECT 1 AS class_id, 'a.Order' AS class_name, '{ROLE}' AS role UNION ALL SELECT 2, 'a.Plain', 'Lexample/Other;'"
+INSNS = """SELECT * FROM (VALUES
+  (1, 0, 0, 'FIELD', 181, 'a.Order', 'items', 'L'), (1, 0, 1, 'CALL', 183, 'a.Order', '<init>', '()V'),
+  (1, 1, 0, 'FIELD', 180, 'a.Order', 'items', 'L'), (1, 1, 1, 'CALL', 182, 'a.Order', 'recalc', '()V'),
+  (1, 1, 2, 'CALL', 182, 'a.Order', 'recalc', '()V'), (1, 1, 3, 'CALL', 182, 'a.Order', 'getStatus', '()I'),
+  (1, 2, 0, 'FIELD', 178, 'a.Order', 'LOG', 'L'), (1, 2, 1, 'FIELD', 180, 'a.Plain', 'x', 'I'),
+  (1, 3, 0, 'CALL', 182, 'a.Order', 'setName', '(L)V'), (2, 0, 0, 'FIELD', 180, 'a.Plain', 'x', 'I')
+) AS t(class_id, method_ord, insn_ord, kind, opcode, owner, name, descriptor)"""
+LAMBDAS = "SELECT * FROM (VALUES ('m', 1, 'h1'), ('m', 4, 'h2'), ('n', 2, 'h3')) AS t(caller, insn_ord, target)"
+READS = "SELECT * FROM (VALUES (2, 'a.Order', 'items'), (3, 'a.Order', 'total'), (4, 'a.Order', 'total'), (4, 'a.Util', 'x'), (6, 'a.Order', 'status')) AS t(node, owner, field)"
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def hydrate_by_key(spark, d):
+    o = _t(spark, d, "orders").where("o_orderkey <= 50").select("o_orderkey", "o_orderstatus")
+    li = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    p = _t(spark, d, "part").select("p_partkey", "p_name")
+    return hydrate.flat(o, li, F.col("o_orderkey") == F.col("l_orderkey"), p, F.col("l_partkey") == F.col("p_partkey")).select("o_orderkey", "o_orderstatus", "l_linenumber", "l_quantity", "p_name")
+
+
+def _items(spark, d):
+    li = _t(spark, d, "lineitem").select("l_orderkey", F.col("l_partkey").alias("product_id"), F.col("l_quantity").cast("decimal(18,2)").alias("quantity"), F.col("l_extendedprice").cast("decimal(18,2)").alias("unit_price"), "l_linenumber")
+    return hydrate.nested(_t(spark, d, "orders").select("o_orderkey", "o_orderstatus"), li, "o_orderkey", "l_orderkey", "items")
+
+
+def element_sum(spark, d):
+    return _items(spark, d).select("o_orderkey", orders.total(F.col("items")).cast("decimal(38,4)").alias("total"))
+
+
+def poly_choice(spark, d):
+    e = _t(spark, d, "events").where("event_type <> 'view' OR value > 50")
+    c = [F.when(F.col("event_type") == "click", F.col("value")), F.when(F.col("value") > 50, F.col("value")), F.when(F.col("event_type") != "view", F.col("value") * 2)]
+    types = ["click", "large", "other"]
+    chosen = last_non_null(c, types)
+    return e.select("event_id", chosen.alias("type")).join(e.select("event_id", *(x.alias(t) for x, t in zip(c, types, strict=True))), "event_id").select("event_id", "type", column_for(F.col("type"), types, [F.col(t) for t in types]).alias("chosen"))
+
+
+def accessor_inference(spark, d):
+    n = F.col("name")
+    return spark.sql(ACCESSORS).where(n != "<init>").select("name", accessor_kind(n).alias("kind"), accessor_property(n).alias("property"))
+
+
+def call_closure(spark, d):
+    return callgraph.closure(spark.sql(EDGES), spark.sql("SELECT 1 AS root UNION ALL SELECT 5"))
+
+
+def call_tree(spark, d):
+    spark.sql(EDGES).selectExpr("string(caller) AS caller", "string(callee) AS callee").createOrReplaceTempView("fieldloom_edges")
+    return callgraph.call_paths(spark, "fieldloom_edges", "1").select(F.array_join("path", "/").alias("path"), "node")
+
+
+def frame_resolve(spark, d):
+    return callgraph.resolve_frames(spark.sql(FRAMES), spark.sql(LINES), ["cls", "name"])
+
+
+def property_access_rows(spark, d):
+    classes = spark.sql(CLASSES).select("class_id", "class_name", F.array("role").alias("annotations"))
+    return facts(classes, spark.sql(INSNS), [ROLE])
+
+
+def lambda_last_edge(spark, d):
+    return spark.sql(LAMBDAS).groupBy("caller").agg(F.max_by("target", "insn_ord").alias("target"))
+
+
+def fetch_plan(spark, d):
+    reads = spark.sql(READS).select(F.lit("FIELD").alias("kind"), F.lit(180).alias("opcode"), F.col("node").alias("caller"), "owner", F.col("field").alias("name"))
+    classes = spark.sql("SELECT 'a.Order' AS class_name").withColumn("annotations", F.array(F.lit(ROLE)))
+    return callgraph.fetch_plan(call_closure(spark, d), reads, classes, [ROLE])
+
+
+def _bound(spark, d):
+    o, c = _t(spark, d, "orders"), _t(spark, d, "customer")
+    both = o.join(c, F.col("o_custkey") == F.col("c_custkey"))
+    return both.select("o_orderkey", F.struct("o_orderstatus", F.struct("o_orderpriority", "o_totalprice").alias("detail")).alias("order"), F.struct("c_name", "c_mktsegment").alias("customer"))
+
+
+def mapped_path(spark, d):
+    b = Binding(["order", "customer"], [F.col("order"), F.col("customer")])
+    whole = b.read(Fields({"name": "customer:c_name", "segment": "a1:c_mktsegment"}))
+    new = b.write("order:detail.o_orderpriority", F.when(F.col("o_orderkey") % 2 == 0, F.lit("NONE")))
+    df = _bound(spark, d).select("o_orderkey", b.read("o_orderstatus").alias("status"), b.read(Field("order:detail.o_totalprice")).alias("price"), whole.alias("w"), new.alias("changed"))
+    return df.select("o_orderkey", "status", "price", "w.name", "w.segment", F.col("changed.detail.o_orderpriority").alias("priority"))
+
+
+def _lists(spark, d):
+    return _items(spark, d).select("o_orderkey", F.struct("o_orderstatus", "items").alias("order"))
+
+
+def list_map(spark, d):
+    b = Binding(["order"], [F.col("order")])
+    df = _lists(spark, d).select("o_orderkey", F.explode(b.read(ListFields("order:items", {"product": "base:product_id", "quantity": "base:quantity", "status": "order:o_orderstatus"}))).alias("x"))
+    return df.select("o_orderkey", "x.*")
+
+
+def poly_list_map(spark, d):
+    items = F.transform(F.col("order.items"), lambda x: F.struct(x["product_id"].alias("id"), F.when(x["quantity"] < 30, x["quantity"]).alias("few"), F.when(x["quantity"] > 20, x["quantity"] * 10).alias("many")))
+    df = _lists(spark, d).select("o_orderkey", F.struct(items.alias("items")).alias("order"))
+    m = PolyListFields("order:items", {"Few": "base:few", "Many": "base:many"}, {"id": Poly("base:id"), "amount": Poly(by_type={"Few": "base:few", "Many": "base:many"})})
+    return df.select("o_orderkey", F.explode(Binding(["order"], [F.col("order")]).read(m)).alias("x")).select("o_orderkey", "x.id", "x.type", F.col("x.amount").cast("decimal(18,2)").alias("amount"))
+
+
+def _types_by_user(spark, d):
+    e = _t(spark, d, "events").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_id", "event_type"))).alias("e"))
+    return e.select("user_id", F.transform("e", lambda x: x["event_type"]).alias("xs"))
+
+
+def list_remove_first(spark, d):
+    return _types_by_user(spark, d).select("user_id", F.array_join(lists.remove_first(F.col("xs"), F.lit("click")), ",").alias("left"))
+
+
+def retain_all(spark, d):
+    return _types_by_user(spark, d).select("user_id", F.array_join(lists.retain_all(F.col("xs"), F.array(F.lit("click"), F.lit("view"))), ",").alias("kept"))
+
+
+def list_replay(spark, d):
+    users = _types_by_user(spark, d).select("user_id", F.col("xs").alias("items"))
+    change = lambda seq, op, pos, value: F.struct(F.lit(seq).alias("seq"), F.lit(op).alias("op"), F.lit(pos).cast("int").alias("pos"), F.lit(value).cast("string").alias("value"))
+    log = users.select("user_id", F.explode(F.array(change(1, "INSERT", 0, "new"), change(2, "INSERT", None, "end"), change(3, "DELETE", 1, None))).alias("c")).select("user_id", "c.*")
+    return replay(users, log, "user_id").select("user_id", F.array_join("items", ",").alias("items"))
+
+
+def upsert_replace(spark, d):
+    o = _t(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    li = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    delta = o.where("o_orderkey % 100 = 0").select("o_orderkey", F.lit("S").alias("o_orderstatus")).unionByName(o.where("o_orderkey % 100 = 0").select((-F.col("o_orderkey") - 1).alias("o_orderkey"), F.lit("N").alias("o_orderstatus")))
+    children = delta.select(F.col("o_orderkey").alias("l_orderkey"), F.lit(1).alias("l_linenumber"), F.lit(9.0).alias("l_quantity"))
+    roots, kids = hydrate.save(o, delta, "o_orderkey"), hydrate.replace_children(li, children, children, "l_orderkey")
+    n = kids.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"), F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("decimal(18,2)").alias("quantity"))
+    return roots.join(n, "o_orderkey", "left").select("o_orderkey", "o_orderstatus", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "quantity")
+
+
+def status_transition(spark, d):
+    s = F.expr("CASE o_orderstatus WHEN 'O' THEN 'PENDING' WHEN 'P' THEN 'CONFIRMED' ELSE 'SHIPPED' END")
+    df = _items(spark, d).select("o_orderkey", s.alias("status"), "items")
+    st = F.col("status")
+    return df.select("o_orderkey", orders.confirm(st, F.col("items")).alias("confirmed"), orders.ship(st).alias("shipped"), orders.cancel(st).alias("cancelled"), (st == "PENDING").alias("can_modify"))
+
+
+def validate_rows(spark, d):
+    c = _t(spark, d, "customer")
+    name, email = F.when(F.col("c_custkey") % 7 == 0, F.lit(" \t")).otherwise(F.col("c_name")), F.when(F.col("c_custkey") % 5 == 0, F.lit("none")).otherwise(F.concat(F.lit("u@"), F.col("c_mktsegment")))
+    return c.select("c_custkey", is_blank(name).alias("blank"), orders.valid_user(F.col("c_custkey").cast("string"), name, email, F.col("c_acctbal")).alias("valid"))
+
+
+_NAMES = (
+    hydrate_by_key, element_sum, poly_choice, accessor_inference, call_closure, call_tree, frame_resolve, property_access_rows, lambda_last_edge, fetch_plan,
+    mapped_path, list_map, poly_list_map, list_remove_first, retain_all, list_replay, upsert_replace, status_transition, validate_rows,
+)
+
 
 def queries() -> dict:
-    return {}
+    return {f.__name__: f for f in _NAMES}
+
+
+_USERS = "WITH u AS (SELECT user_id, list(event_type ORDER BY event_id) AS xs FROM events GROUP BY user_id)"
+_CLOSED = f"WITH RECURSIVE e AS ({EDGES}), r(root, node) AS (SELECT * FROM (VALUES (1, 1), (5, 5)) UNION SELECT r.root, e.callee FROM r JOIN e ON e.caller = r.node)"
+_PROPERTY = "CASE WHEN starts_with(name, 'get') AND length(name) > 3 THEN lower(name[4]) || name[5:] WHEN starts_with(name, 'is') AND length(name) > 2 THEN lower(name[3]) || name[4:] WHEN starts_with(name, 'set') AND length(name) > 3 THEN lower(name[4]) || name[5:] END"
+_KIND = "CASE WHEN starts_with(name, 'get') AND length(name) > 3 OR starts_with(name, 'is') AND length(name) > 2 THEN 'R' WHEN starts_with(name, 'set') AND length(name) > 3 THEN 'W' END"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "hydrate_by_key": "SELECT o_orderkey, o_orderstatus, l_linenumber, l_quantity, p_name FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey LEFT JOIN part ON l_partkey = p_partkey WHERE o_orderkey <= 50",
+        "element_sum": "SELECT o_orderkey, CAST(coalesce(sum(CAST(CAST(l_quantity AS DECIMAL(18,2)) * CAST(l_extendedprice AS DECIMAL(18,2)) AS DECIMAL(30,4))), 0) AS DECIMAL(38,4)) AS total FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey",
+        "poly_choice": "SELECT event_id, CASE WHEN event_type <> 'view' THEN 'other' WHEN value > 50 THEN 'large' ELSE 'click' END AS type, CASE WHEN event_type <> 'view' THEN value * 2 ELSE value END AS chosen FROM events WHERE event_type <> 'view' OR value > 50",
+        "accessor_inference": f"SELECT name, {_KIND} AS kind, {_PROPERTY} AS property FROM ({ACCESSORS}) WHERE name <> '<init>'",
+        "call_closure": f"{_CLOSED} SELECT root, node FROM r",
+        "call_tree": f"WITH RECURSIVE e AS ({EDGES}), r(node, path) AS (SELECT '1', ['1'] UNION ALL SELECT CAST(callee AS VARCHAR), list_append(path, CAST(callee AS VARCHAR)) FROM r JOIN e ON CAST(caller AS VARCHAR) = node WHERE NOT list_contains(path, CAST(callee AS VARCHAR))) SELECT array_to_string(path, '/') AS path, node FROM r",
+        "frame_resolve": f"WITH l AS ({LINES}), f AS ({FRAMES}), s AS (SELECT cls, name, method_ord, min(line) AS low, max(line) AS high, list(line) AS own FROM l GROUP BY ALL), j AS (SELECT f.cls, f.name, f.line, method_ord, row_number() OVER (PARTITION BY f.cls, f.name, f.line ORDER BY CASE WHEN list_contains(own, f.line) THEN 1 WHEN f.line BETWEEN low AND high THEN 2 ELSE 3 END, CASE WHEN list_contains(own, f.line) THEN -method_ord ELSE method_ord END) AS k FROM f LEFT JOIN s ON s.cls = f.cls AND s.name = f.name) SELECT cls, name, line, method_ord FROM j WHERE k = 1",
+        "property_access_rows": f"WITH c AS ({CLASSES}), i AS ({INSNS}), o AS (SELECT i.* FROM i JOIN c USING (class_id) WHERE role = '{ROLE}' AND owner = class_name), x AS (SELECT class_id, method_ord, CASE opcode WHEN 180 THEN 'R' ELSE 'W' END AS kind, name, '' AS descriptor, 1 AS n FROM o WHERE kind = 'FIELD' AND opcode IN (180, 181) UNION ALL SELECT class_id, method_ord, {_KIND}, {_PROPERTY}, '', 1 FROM o WHERE kind = 'CALL' AND name NOT IN ('<init>', '<clinit>') AND {_KIND} IS NOT NULL UNION ALL SELECT class_id, method_ord, 'C', name, descriptor, 1 FROM o WHERE kind = 'CALL' AND name NOT IN ('<init>', '<clinit>')) SELECT class_id, method_ord, kind, name, descriptor, CAST(CASE WHEN kind = 'C' THEN sum(n) ELSE 1 END AS BIGINT) AS n FROM x GROUP BY class_id, method_ord, kind, name, descriptor",
+        "lambda_last_edge": f"SELECT caller, arg_max(target, insn_ord) AS target FROM ({LAMBDAS}) GROUP BY caller",
+        "fetch_plan": f"{_CLOSED} SELECT DISTINCT root, owner, field FROM r JOIN ({READS}) USING (node) WHERE owner = 'a.Order'",
+        "mapped_path": "SELECT o_orderkey, o_orderstatus AS status, o_totalprice AS price, c_name AS name, c_mktsegment AS segment, CASE WHEN o_orderkey % 2 = 0 THEN 'NONE' ELSE o_orderpriority END AS priority FROM orders JOIN customer ON o_custkey = c_custkey",
+        "list_map": "SELECT o_orderkey, l_partkey AS product, CAST(l_quantity AS DECIMAL(18,2)) AS quantity, o_orderstatus AS status FROM orders JOIN lineitem ON o_orderkey = l_orderkey",
+        "poly_list_map": "SELECT o_orderkey, l_partkey AS id, CASE WHEN l_quantity > 20 THEN 'Many' ELSE 'Few' END AS type, CAST(CASE WHEN l_quantity > 20 THEN l_quantity * 10 ELSE l_quantity END AS DECIMAL(18,2)) AS amount FROM orders JOIN lineitem ON o_orderkey = l_orderkey",
+        "list_remove_first": f"{_USERS} SELECT user_id, array_to_string(CASE WHEN list_contains(xs, 'click') THEN list_concat(xs[:list_position(xs, 'click') - 1], xs[list_position(xs, 'click') + 1:]) ELSE xs END, ',') AS \"left\" FROM u",
+        "retain_all": f"{_USERS} SELECT user_id, array_to_string(list_filter(xs, lambda x: x IN ('click', 'view')), ',') AS kept FROM u",
+        "list_replay": f"{_USERS} SELECT user_id, array_to_string(list_concat(['new'], xs[2:], ['end']), ',') AS items FROM u",
+        "upsert_replace": "SELECT o_orderkey, CASE WHEN o_orderkey % 100 = 0 THEN 'S' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 100 = 0 THEN 1 ELSE count(l_orderkey) END AS n, CASE WHEN o_orderkey % 100 = 0 THEN 9 ELSE CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DECIMAL(18,2)) END AS quantity FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey, o_orderstatus UNION ALL SELECT -o_orderkey - 1, 'N', 1, 9 FROM orders WHERE o_orderkey % 100 = 0",
+        "status_transition": "WITH o AS (SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'PENDING' WHEN 'P' THEN 'CONFIRMED' ELSE 'SHIPPED' END AS status, o_orderkey IN (SELECT l_orderkey FROM lineitem) AS has FROM orders) SELECT o_orderkey, CASE WHEN status = 'PENDING' AND has THEN 'CONFIRMED' ELSE status END AS confirmed, CASE WHEN status = 'CONFIRMED' THEN 'SHIPPED' ELSE status END AS shipped, CASE WHEN status IN ('PENDING', 'CONFIRMED') THEN 'CANCELLED' ELSE status END AS cancelled, status = 'PENDING' AS can_modify FROM o",
+        "validate_rows": "SELECT c_custkey, c_custkey % 7 = 0 AS blank, c_custkey % 7 <> 0 AND c_custkey % 5 <> 0 AND c_acctbal >= 0 AS valid FROM customer",
+    }
