@@ -50,4 +50,4 @@ def classes_report(classes: DataFrame, methods: DataFrame, insns: DataFrame, rol
     rows = methods_report(classes, methods, insns, roles)
     listed = rows.groupBy("class_id").agg(F.sort_array(F.collect_list(F.struct("method_ord", "method_name", "method_desc", "reads", "writes", "calls"))).alias("methods"))
     kept = kept_classes(classes, roles).select("class_id", "class_name", F.lit(True).alias("is_aggregate_root"))
-    return kept.join(listed, "class_id", "left").withColumn("methods", F.coalesce("methods", F.slice(F.array(F.lit(None)), 1, 0).cast(listed.schema["methods"].dataType)))
+    return kept.join(listed, "class_id", "left").withColumn("methods", F.coalesce("methods", F.slice(F.array(F.lit(None).cast(listed.schema["methods"].dataType.elementType)), 1, 0)))
