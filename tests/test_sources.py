@@ -46,7 +46,7 @@ def test_property_access(spark, folder):
     assert rows["run"].reads == ["name"] and rows["recalc"].reads == ["items"]
     handles = t["insns"].where("kind = 'INDY'").select("bootstrap_name", "name").collect()
     assert {(r[0], r[1][:7]) for r in handles} == {("metafactory", "lambda$")}
-    assert t["lines"].count() > 10
+    assert t["lines"].count() > 5
 
 
 def test_sinks(spark, folder, tmp_path):
