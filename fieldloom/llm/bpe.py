@@ -27,6 +27,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import struct
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -98,7 +99,7 @@ class Merges:
         """
         known = self._fits.get((a, b))
         if known is None:
-            if len(self._fits) > 1_000_000:
+            if len(self._fits) > 250_000:
                 self._fits.clear()
             known = self._fits[a, b] = self._keeps(a, b) if self.rising else self.encode(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
         return known
@@ -122,7 +123,7 @@ class Merges:
 class Encoder:
     """ids of single pieces, by the transducer."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 60_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 20_000):
         self.merges, self.max_states = Merges(ranks), max_states
         # The trie: children[node][byte] is a node; node 0 is the root; token[node] is a token or -1.
         self.children: list[dict[int, int]] = [{}]
@@ -206,7 +207,7 @@ class Encoder:
         whole = self.merges.ranks.get(piece)
         if whole is not None:  # a piece that is a token is that token, even if no merges lead to it
             return [whole]
-        if len(self.states) > self.max_states:
+        if len(self.states) > self.max_states or len(self.wanted) > 4 * self.max_states:
             self.reset()
         q, ids, short = 0, [], len(piece) <= _SHORT
         for c in piece:
@@ -230,16 +231,19 @@ class Encoder:
 
 
 class _Pieces(dict):
-    """Piece to its ids as little-endian 32-bit integers; begun anew when full."""
+    """Piece to its ids as little-endian 32-bit integers; two generations, so what is in use stays."""
 
     def __init__(self, encoder: Encoder, most: int):
         super().__init__()
-        self.encoder, self.most = encoder, most
+        self.encoder, self.most, self.older = encoder, most, {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.encoder.encode(piece.encode()), "<u4").tobytes()
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = struct.pack(f"<{len(x)}I", *x) if (x := self.encoder.encode(piece.encode())) else b""
         if len(piece) <= 64:
             if len(self) >= self.most:
+                self.older = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
@@ -280,7 +284,7 @@ class StreamDecoder:
 class Tokenizer:
     """encode(text) to ids and decode(ids) to text, for one vocabulary file."""
 
-    def __init__(self, path: str = RANKS, pattern: str = public_tokenizers.PATTERN, cache: int = 1_000_000):
+    def __init__(self, path: str = RANKS, pattern: str = public_tokenizers.PATTERN, cache: int = 200_000):
         self.split = regex.compile(pattern).findall
         ranks = read_ranks(path)
         self.encoder = Encoder(ranks)

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from fieldloom.llm import common
 
 ORDER = 4
-SAMPLE_ROWS, SAMPLE_BYTES, MOST_LANGUAGES = 150, 400_000, 64
+SAMPLE_ROWS, SAMPLE_BYTES, MOST_LANGUAGES = 150, 250_000, 64
 PIECE = 256
 CHUNK_BYTES = 2 << 20
 UNKNOWN = "und"
