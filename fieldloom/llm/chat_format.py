@@ -59,15 +59,15 @@ def doubled(messages: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
             return state.where("up IS NULL").select("tree", "node", "depth", "total"), jumps
         jumps.append(state.where("up IS NOT NULL").select("tree", "node", "up"))
         above = state.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.col("total").alias("total2"))
-        state = common.checkpoint(
-            state.join(above, ["tree", "up"], "left").select(
-                "tree",
-                "node",
-                F.col("up2").alias("up"),
-                (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"),
-                (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"),
-            )
+        # Only messages that have not reached their root are joined; the others are carried over.
+        moved = state.where("up IS NOT NULL").join(above, ["tree", "up"], "left").select(
+            "tree",
+            "node",
+            F.col("up2").alias("up"),
+            (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"),
+            (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"),
         )
+        state = common.checkpoint(state.where("up IS NULL").select(moved.columns).unionByName(moved))
 
 
 def chosen_paths(messages: DataFrame, n_paths: int | None = 1) -> DataFrame:
