@@ -308,18 +308,24 @@ class Tokenizer:
 
 @functools.lru_cache(2)
 def tokenizer(path: str, pattern: str) -> Tokenizer:
+    """For a process that keeps it."""
     return Tokenizer(path, pattern)
 
 
+def resident(path: str, pattern: str):
+    """A worker's tokenizer, in a with statement."""
+    return common.resident(("bpe", path, pattern), lambda: Tokenizer(path, pattern))
+
+
 def encode(df: DataFrame, text: str = "text", path: str = RANKS, pattern: str = public_tokenizers.PATTERN, out: str = "token_ids") -> DataFrame:
     """df with an array<int> column of token ids; a null text gives an empty array. No shuffle."""
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
 
     def run(it):
-        tok = tokenizer(path, pattern)
-        for b in it:
-            ids = [np.frombuffer(tok.encode_bytes(t or ""), "<i4") for t in b.column(text).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.list_(pa.int32()))], [*b.schema.names, out])
+        with resident(path, pattern) as tok:
+            for b in it:
+                ids = [np.frombuffer(tok.encode_bytes(t or ""), "<i4") for t in b.column(text).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.list_(pa.int32()))], [*b.schema.names, out])
 
     return df.mapInArrow(run, schema)
 
@@ -329,10 +335,10 @@ def decode(df: DataFrame, ids: str = "token_ids", path: str = RANKS, pattern: st
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.StringType())])
 
     def run(it):
-        tok = tokenizer(path, pattern)
-        for b in it:
-            got = ["".join(tok.decode(x or [])) for x in b.column(ids).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.string())], [*b.schema.names, out])
+        with resident(path, pattern) as tok:
+            for b in it:
+                got = ["".join(tok.decode(x or [])) for x in b.column(ids).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.string())], [*b.schema.names, out])
 
     return df.mapInArrow(run, schema)
 
@@ -341,22 +347,22 @@ def digests(docs: DataFrame, path: str = RANKS, pattern: str = public_tokenizers
     """Encode and decode each whole text; return counts and hashes, and token_ids only if wanted."""
 
     def run(it):
-        tok = tokenizer(path, pattern)
-        sha = hashlib.sha256
-        for b in it:
-            n, ids_sha, text_sha, kept = [], [], [], []
-            for t in b.column("text").to_pylist():
-                ids = tok.encode_bytes(t or "")
-                n.append(len(ids) // 4)
-                if with_ids:
-                    kept.append(np.frombuffer(ids, "<i4"))
-                ids_sha.append(sha(ids).hexdigest())
-                got = sha()
-                for part in tok.decode(np.frombuffer(ids, "<u4").tolist()):
-                    got.update(part.encode())
-                text_sha.append(got.hexdigest())
-            more = [pa.array(kept, pa.list_(pa.int32()))] if with_ids else []
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string()), *more], [*columns, "token_ids"][: 4 + with_ids])
+        with resident(path, pattern) as tok:
+            sha = hashlib.sha256
+            for b in it:
+                n, ids_sha, text_sha, kept = [], [], [], []
+                for t in b.column("text").to_pylist():
+                    ids = tok.encode_bytes(t or "")
+                    n.append(len(ids) // 4)
+                    if with_ids:
+                        kept.append(np.frombuffer(ids, "<i4"))
+                    ids_sha.append(sha(ids).hexdigest())
+                    got = sha()
+                    for part in tok.decode(np.frombuffer(ids, "<u4").tolist()):
+                        got.update(part.encode())
+                    text_sha.append(got.hexdigest())
+                more = [pa.array(kept, pa.list_(pa.int32()))] if with_ids else []
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string()), *more], [*columns, "token_ids"][: 4 + with_ids])
 
     columns = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * with_ids

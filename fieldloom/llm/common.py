@@ -9,8 +9,12 @@ again: a table scan or a checkpoint does; anything else should be checkpointed f
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
-from collections.abc import Iterator
+import threading
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +60,48 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text"))
 
 
+# --- a worker's memory -------------------------------------------------------------------------
+
+#: A worker without a task for so long gives its tables up.
+IDLE_SECONDS = 3.0
+_RESIDENT: dict = {}
+_WAITING: list[threading.Timer] = []
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+@contextlib.contextmanager
+def resident(key: tuple, build: Callable):
+    """What build() makes, for one task, and for the next one of this worker that asks for the same.
+
+    Spark keeps Python workers between tasks and hands them to whatever operator comes next. So a worker
+    holds the tables of one operator at a time, and none once it has been idle for `IDLE_SECONDS`.
+    """
+    while _WAITING:
+        _WAITING.pop().cancel()
+    if key not in _RESIDENT:
+        forget()
+        _RESIDENT[key] = build()
+    try:
+        yield _RESIDENT[key]
+    finally:
+        _WAITING.append(threading.Timer(IDLE_SECONDS, forget))
+        _WAITING[-1].daemon = True
+        _WAITING[-1].start()
+
+
+def forget() -> None:
+    _RESIDENT.clear()
+    gc.collect()
+    release()
+
+
+def release() -> None:
+    """Give what Arrow's pool and the C allocator hold without use back to the system."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 # --- packed arrays -----------------------------------------------------------------------------
 
 _KINDS = (np.uint8, np.uint16, np.uint32, np.uint64)
@@ -181,6 +227,8 @@ def batches(it: Iterator[pa.RecordBatch], most: int, text: str = "text") -> Iter
                 kept, have = [], 0
     if kept:
         yield pa.Table.from_batches(kept)
+    kept = None
+    release()
 
 
 def texts_of(column) -> list[bytes]:

@@ -22,7 +22,6 @@ rows get equal results; extra columns are ignored.
 
 from __future__ import annotations
 
-
 import uuid
 
 import numpy as np
@@ -94,7 +93,7 @@ class Automaton:
             if n:
                 high = 1 << 8 * (n - 1)
                 shorter = first[n - 1] + np.searchsorted(levels[n - 1], own % high + high)
-                cost, to = self.cost[shorter].copy(), self.next[shorter].copy()
+                cost, to = self.cost[shorter], self.next[shorter]
             else:
                 cost, to = uniform[None].copy(), np.zeros((1, n_sym + 2), np.int32)
             for k in range(n_lang):
@@ -160,24 +159,23 @@ def train(docs: DataFrame, label: str = "lang", sample_rows: int = SAMPLE_ROWS,
     return Model(samples, order)
 
 
-_COMPILED: dict = {}
-
-
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """docs' columns with lang_pred, score and bits_per_byte (null where there is nothing to score). No shuffle."""
     sent, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns
     key, languages = model.key, model.languages
 
     def run(it):
-        if languages and _COMPILED.get("key") != key:
-            _COMPILED.update(key=key, machine=sent.value.compile())
+        with common.resident(("language_id", key), lambda: sent.value.compile()) as machine:
+            yield from scored(it, machine)
+
+    def scored(it, machine):
         for t in common.batches(it, CHUNK_BYTES):
             texts = common.texts_of(t.column("text"))
             usable = [bool(languages and x and _LETTER(x.decode("utf-8", "replace"))) for x in texts]
             some = [x for x, u in zip(texts, usable, strict=True) if u]
             lang, score, rate = [UNKNOWN] * len(texts), [0.0] * len(texts), [None] * len(texts)
             if some:
-                bits = _COMPILED["machine"].bits(some)
+                bits = machine.bits(some)
                 best = bits.argmin(axis=1)
                 share = 1 / np.exp2(-np.minimum(bits - bits.min(axis=1)[:, None], 1000)).sum(axis=1)
                 for i, b, s, x, n in zip(np.flatnonzero(usable).tolist(), best.tolist(), share.tolist(), bits.min(axis=1).tolist(), map(len, some), strict=True):
@@ -194,8 +192,6 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-
-
 QUERIES = {"op3_language_id": op3_language_id}
 #: A trained model is not SQL; tests check exact code lengths and held-out accuracy.
 ORACLE_SQL: dict[str, str] = {}
