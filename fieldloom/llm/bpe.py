@@ -39,6 +39,7 @@ from pyspark.sql import types as T
 
 from fieldloom.llm import common
 
+CHUNK_BYTES = 2 << 20
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: The bytes that may follow an incomplete character are few: three at most are held back.
 _HELD = 3
@@ -284,7 +285,7 @@ class StreamDecoder:
 class Tokenizer:
     """encode(text) to ids and decode(ids) to text, for one vocabulary file."""
 
-    def __init__(self, path: str = RANKS, pattern: str = public_tokenizers.PATTERN, cache: int = 200_000):
+    def __init__(self, path: str = RANKS, pattern: str = public_tokenizers.PATTERN, cache: int = 100_000):
         self.split = regex.compile(pattern).findall
         ranks = read_ranks(path)
         self.encoder = Encoder(ranks)
@@ -349,7 +350,7 @@ def digests(docs: DataFrame, path: str = RANKS, pattern: str = public_tokenizers
     def run(it):
         with resident(path, pattern) as tok:
             sha = hashlib.sha256
-            for b in it:
+            for b in common.batches(it, CHUNK_BYTES):
                 n, ids_sha, text_sha, kept = [], [], [], []
                 for t in b.column("text").to_pylist():
                     ids = tok.encode_bytes(t or "")
@@ -362,7 +363,7 @@ def digests(docs: DataFrame, path: str = RANKS, pattern: str = public_tokenizers
                         got.update(part.encode())
                     text_sha.append(got.hexdigest())
                 more = [pa.array(kept, pa.list_(pa.int32()))] if with_ids else []
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string()), *more], [*columns, "token_ids"][: 4 + with_ids])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").combine_chunks(), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string()), *more], [*columns, "token_ids"][: 4 + with_ids])
 
     columns = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * with_ids

@@ -84,9 +84,13 @@ def resident(key: tuple, build: Callable):
     try:
         yield _RESIDENT[key]
     finally:
-        _WAITING.append(threading.Timer(IDLE_SECONDS, forget))
-        _WAITING[-1].daemon = True
-        _WAITING[-1].start()
+        forget_when_idle()
+
+
+def forget_when_idle() -> None:
+    _WAITING.append(threading.Timer(IDLE_SECONDS, forget))
+    _WAITING[-1].daemon = True
+    _WAITING[-1].start()
 
 
 def forget() -> None:
@@ -229,6 +233,7 @@ def batches(it: Iterator[pa.RecordBatch], most: int, text: str = "text") -> Iter
         yield pa.Table.from_batches(kept)
     kept = None
     release()
+    forget_when_idle()
 
 
 def texts_of(column) -> list[bytes]:

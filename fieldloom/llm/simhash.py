@@ -36,7 +36,7 @@ from fieldloom.llm.components import components
 MOST_BITS = 3
 SHINGLE = 3
 PIVOTS = 16
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 512 << 10
 #: Nodes of one key that a task compares at once, at least and at most; between them, a 32nd of the key.
 CHUNK_LOW, CHUNK_HIGH, CHUNK_PARTS = 512, 8192, 32
 _EDGES = [0, 11, 22, 33, 44, 54, 64]
@@ -44,15 +44,15 @@ MASKS = [sum(((1 << _EDGES[b + 1]) - (1 << _EDGES[b])) for b in kept) for kept i
 _REFERENCES = common.mix(np.arange(1, PIVOTS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def _shingle_hashes(text: bytes, size: int) -> list[int]:
+def _shingle_hashes(text: bytes, size: int) -> np.ndarray:
     words = text.lower().split()  # of bytes: A-Z, and ASCII white space
     h = xxhash.xxh64_intdigest
     if len(words) <= size:
-        return [h(b" ".join(words), 42)] if words else []
+        return np.array([h(b" ".join(words), 42)] if words else [], np.uint64)
     buf = b" ".join(words)
     ends = list(itertools.accumulate(map(len, words), lambda a, b: a + b + 1))
     starts = [0, *(e + 1 for e in ends[: -size])]
-    return [h(buf[s:e], 42) for s, e in zip(starts, ends[size - 1 :], strict=True)]
+    return np.fromiter((h(buf[s:e], 42) for s, e in zip(starts, ends[size - 1 :], strict=True)), np.uint64, len(starts))
 
 
 def fingerprints_of(texts: list[bytes], size: int = SHINGLE) -> np.ndarray:
@@ -61,7 +61,7 @@ def fingerprints_of(texts: list[bytes], size: int = SHINGLE) -> np.ndarray:
     out = np.zeros(len(texts), np.uint64)
     some = np.flatnonzero(n)
     if some.size:
-        h = np.fromiter(itertools.chain.from_iterable(hashes), np.uint64, int(n.sum()))
+        h = np.concatenate(hashes)
         bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         counts = np.add.reduceat(bits, (np.cumsum(n) - n)[some], axis=0, dtype=np.int64)
         out[some] = np.packbits(2 * counts > n[some, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
