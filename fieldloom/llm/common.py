@@ -78,11 +78,12 @@ def resident(key: tuple, build: Callable):
     """
     while _WAITING:
         _WAITING.pop().cancel()
-    if key not in _RESIDENT:
+    held = _RESIDENT.get(key)  # a timer already running may empty the table at any point
+    if held is None:
         forget()
-        _RESIDENT[key] = build()
+        held = _RESIDENT[key] = build()
     try:
-        yield _RESIDENT[key]
+        yield held
     finally:
         forget_when_idle()
 
