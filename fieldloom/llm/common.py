@@ -96,6 +96,8 @@ def forget_when_idle() -> None:
 
 def forget() -> None:
     _RESIDENT.clear()
+    for x in (BYTES_1, BYTES_2, WORDS_1, WORDS_2):
+        x.clear()
     gc.collect()
     release()
 
@@ -149,25 +151,35 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class Powers:
-    """Powers of an odd base modulo 2**64 and of its inverse, grown on demand."""
+    """Powers of an odd base modulo 2**64 and of its inverse, grown on demand and given up with a worker's tables."""
+
+    STEP = 1 << 18
 
     def __init__(self, base: int):
         self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up, self.down = np.ones(1, U64), np.ones(1, U64)
-
-    def grow(self, n: int) -> None:
-        while self.up.size < n:
-            m = self.up.size
-            self.up = np.concatenate([self.up, self.up * U64(pow(self.base, m, 1 << 64))])
-            self.down = np.concatenate([self.down, self.down * U64(pow(self.inverse, m, 1 << 64))])
+        self.clear()
+
+    def clear(self) -> None:
+        self.tables = np.ones(1, U64), np.ones(1, U64)
+
+    def grown(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        up, down = self.tables
+        most = -(-n // self.STEP) * self.STEP
+        while up.size < n:
+            m = up.size
+            more = min(m, most - m)
+            up = np.concatenate([up, up[:more] * U64(pow(self.base, m, 1 << 64))])
+            down = np.concatenate([down, down[:more] * U64(pow(self.inverse, m, 1 << 64))])
+        self.tables = up, down
+        return up, down
 
     def spans(self, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Polynomial hash of values[s:e] for each span: it depends on the values only, not on s."""
         n = values.size
-        self.grow(n + 1)
+        up, down = self.grown(n + 1)
         sums = np.zeros(n + 1, U64)
-        np.cumsum(values * self.up[:n], out=sums[1:])
-        return (sums[ends] - sums[starts]) * self.down[starts]
+        np.cumsum(values * up[:n], out=sums[1:])
+        return (sums[ends] - sums[starts]) * down[starts]
 
 
 BYTES_1, BYTES_2 = Powers(0x9E3779B97F4A7C15), Powers(0xD1B54A32D192ED03)
