@@ -27,7 +27,9 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import itertools
 import struct
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -39,12 +41,14 @@ from pyspark.sql import types as T
 
 from fieldloom.llm import common
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: The bytes that may follow an incomplete character are few: three at most are held back.
 _HELD = 3
 #: A transition of pieces up to this many bytes is determinised when it is wanted a second time; until then they are simulated.
 _SHORT = 64
+#: A text of more characters is not split into a list of all its pieces first.
+_LONG = 1 << 18
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -59,23 +63,19 @@ class Merges:
         self.ranks = ranks
         self.bytes_of = {r: t for t, r in ranks.items()}
         self.self_encoding: dict[bytes, int] = {}
-        # The parts that a token grows through at its left and right end, each with the rank that ends it.
-        self.left: dict[int, list[tuple[bytes, int]]] = {}
-        self.right: dict[int, list[tuple[bytes, int]]] = {}
+        # The ranks of the two parts that make a token; -1 for single bytes.
+        self.left = array("i", [-1]) * (max(ranks.values(), default=0) + 1)
+        self.right = array("i", self.left)
         self.rising = True
         for t, r in sorted(ranks.items(), key=lambda x: x[1]):
             parts = [t] if len(t) == 1 else self.merge(t, 2)
-            if len(t) == 1:
-                self.left[r] = self.right[r] = [(t, 1 << 60)]
-            elif len(parts) == 2 and all(p in self.self_encoding for p in parts):
-                a, b = (ranks[p] for p in parts)
+            if len(parts) == 2 and all(p in self.self_encoding for p in parts):
+                self.left[r], self.right[r] = a, b = [ranks[p] for p in parts]
                 self.rising &= a < r and b < r
-                self.left[r] = [*self.left[a][:-1], (parts[0], r), (t, 1 << 60)]
-                self.right[r] = [*self.right[b][:-1], (parts[1], r), (t, 1 << 60)]
-            else:
+            elif len(t) > 1:
                 continue  # no merges lead to it
             self.self_encoding[t] = r
-        self._fits: dict[tuple[int, int], bool] = {}
+        self._fits: dict[int, bool] = {}  # by a << 32 | b
 
     def merge(self, piece: bytes, least: int = 1) -> list[bytes]:
         """By the definition, until `least` parts are left; quadratic, for tokens and pairs of them only."""
@@ -98,15 +98,23 @@ class Merges:
         the border falls exactly if an end part of a and a first part of b, both present at one time,
         join at a rank below that which ends the left part and not above that which ends the right.
         """
-        known = self._fits.get((a, b))
+        known = self._fits.get(a << 32 | b)
         if known is None:
             if len(self._fits) > 250_000:
                 self._fits.clear()
-            known = self._fits[a, b] = self._keeps(a, b) if self.rising else self.encode(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+            known = self._fits[a << 32 | b] = self._keeps(a, b) if self.rising else self.encode(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
         return known
 
+    def _ends(self, r: int, part: array) -> list[tuple[bytes, int]]:
+        """The parts that a token grows through at one end, each with the rank that ends it."""
+        out, upto = [], 1 << 60
+        while r >= 0:
+            out.append((self.bytes_of[r], upto))
+            upto, r = r, part[r]
+        return out[::-1]
+
     def _keeps(self, a: int, b: int) -> bool:
-        xs, ys, get = self.right[a], self.left[b], self.ranks.get
+        xs, ys, get = self._ends(a, self.right), self._ends(b, self.left), self.ranks.get
         i = j = 0
         while True:
             (x, x_ends), (y, y_ends) = xs[i], ys[j]
@@ -138,6 +146,8 @@ class Encoder:
                     self.token.append(-1)
                 n = self.children[n][c]
             self.token[n] = r
+        leaf: dict[int, int] = {}
+        self.children = [c or leaf for c in self.children]
         self.reset()
 
     def reset(self) -> None:
@@ -161,7 +171,7 @@ class Encoder:
                     break
                 t = token[node]
                 if t >= 0 and last[i + 1] is None:
-                    known = a < 0 or memo.get((a, t))
+                    known = a < 0 or memo.get(a << 32 | t)
                     if known or known is None and fits(a, t):
                         last[i + 1], begin[i + 1] = t, j
         ids = []
@@ -286,7 +296,7 @@ class Tokenizer:
     """encode(text) to ids and decode(ids) to text, for one vocabulary file."""
 
     def __init__(self, path: str = RANKS, pattern: str = public_tokenizers.PATTERN, cache: int = 100_000):
-        self.split = regex.compile(pattern).findall
+        self.pattern = regex.compile(pattern)
         ranks = read_ranks(path)
         self.encoder = Encoder(ranks)
         self.bytes_of = self.encoder.merges.bytes_of
@@ -294,16 +304,16 @@ class Tokenizer:
 
     def encode_bytes(self, text: str) -> bytes:
         """ids as little-endian unsigned 32-bit integers."""
-        return b"".join(map(self.pieces.__getitem__, self.split(text)))
+        return b"".join([self.pieces[m[0]] for m in self.pattern.finditer(text)] if len(text) > _LONG else map(self.pieces.__getitem__, self.pattern.findall(text)))
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_bytes(text), "<u4").tolist()
 
     def decode(self, ids: Iterable[int], portion: int = 65_536) -> Iterator[str]:
         """Text in portions."""
-        decoder, ids = StreamDecoder(self.bytes_of), list(ids)
-        for i in range(0, len(ids), portion):
-            yield decoder.give(ids[i : i + portion])
+        decoder, ids = StreamDecoder(self.bytes_of), iter(ids)
+        while part := list(itertools.islice(ids, portion)):
+            yield decoder.give(part)
         yield decoder.end()
 
 
@@ -359,11 +369,12 @@ def digests(docs: DataFrame, path: str = RANKS, pattern: str = public_tokenizers
                         kept.append(np.frombuffer(ids, "<i4"))
                     ids_sha.append(sha(ids).hexdigest())
                     got = sha()
-                    for part in tok.decode(np.frombuffer(ids, "<u4").tolist()):
+                    for part in tok.decode(memoryview(ids).cast("I")):
                         got.update(part.encode())
                     text_sha.append(got.hexdigest())
                 more = [pa.array(kept, pa.list_(pa.int32()))] if with_ids else []
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").combine_chunks(), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string()), *more], [*columns, "token_ids"][: 4 + with_ids])
+                common.release()
 
     columns = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * with_ids
