@@ -295,7 +295,7 @@ class StreamDecoder:
 class Tokenizer:
     """encode(text) to ids and decode(ids) to text, for one vocabulary file."""
 
-    def __init__(self, path: str = RANKS, pattern: str = public_tokenizers.PATTERN, cache: int = 100_000):
+    def __init__(self, path: str = RANKS, pattern: str = public_tokenizers.PATTERN, cache: int = 250_000):
         self.pattern = regex.compile(pattern)
         ranks = read_ranks(path)
         self.encoder = Encoder(ranks)
