@@ -273,7 +273,7 @@ def common_prefixes(s: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
 def classes(texts: list[bytes], widths: np.ndarray):
     """For every start of every segment: its class of equal LENGTH-byte strings. Returns (segment, start, class)."""
     s = np.frombuffer(b"".join(texts), np.uint8)
-    order, _ = suffix_array(s, LENGTH)
+    order, _ = suffix_array(s, s.size)  # to the end: Kasai's rule needs suffixes in full order
     cls = np.empty(s.size, np.int64)
     cls[order] = np.cumsum(common_prefixes(s, order, LENGTH) < LENGTH)
     size = np.fromiter(map(len, texts), np.int64, len(texts))

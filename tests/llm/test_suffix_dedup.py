@@ -75,3 +75,14 @@ def test_suffix_array_and_prefixes():
             x, y = b[order[j - 1] :], b[order[j] :]
             want = next((k for k in range(min(len(x), len(y))) if x[k] != y[k]), min(len(x), len(y)))
             assert lcp[j] == min(want, 90)
+
+
+def test_classes_of_passages_repeated_over_256_bytes():
+    for seed in range(40):
+        rnd = random.Random(seed)
+        text = lambda k: bytes(rnd.choice(b"ab") for _ in range(k))
+        p = text(320)
+        texts = [text(rnd.randint(0, 30)) + p[a : a + rnd.randint(256, 300)] + text(30) for a in (rnd.randint(0, 20) for _ in range(4))] + [text(260)]
+        seg, start, cls, _, _ = sd.classes(texts, np.array([len(t) - 199 for t in texts]))
+        strings = [texts[g][k : k + 200] for g, k in zip(seg, start)]
+        assert len(set(zip(strings, cls.tolist()))) == len(set(strings)) == len(set(cls.tolist()))
