@@ -303,7 +303,9 @@ def _pick(t: pa.Table, hot: bool):
     """The segments that are to be decided: arrays doc_id, th, lo, width, bucket and their texts."""
     got = []
     for i, th, text, fine in zip(_ids(t.column("doc_id").combine_chunks()).tolist(), t.column("th").to_pylist(), common.texts_of(t.column("text")), t.column("fine").to_pylist(), strict=True):
-        lo, width, _, bucket, is_hot = (unpack(x) for x in _split(fine, 5))
+        lo, width, _, bucket, is_hot = (np.concatenate(x) for x in zip(*([unpack(v) for v in _split(f, 5)] for f in fine), strict=True))
+        _, one = np.unique(lo, return_index=True)
+        lo, width, bucket, is_hot = lo[one], width[one], bucket[one], is_hot[one]
         for a, w, b, h in zip(lo.tolist(), width.tolist(), bucket.tolist(), is_hot.tolist(), strict=True):
             if bool(h) == hot:
                 got.append((i, th, a, w, b, text[a : a + w - 1 + LENGTH]))
@@ -395,7 +397,7 @@ def repeated_starts(docs: DataFrame, local_hot: int = LOCAL_HOT, most: int = HOT
     """(doc_id, th, starts, ends): per document, ranges of starts whose LENGTH-byte string also starts elsewhere; several rows at times. A null doc_id is LAST_ID."""
     keyed, n_buckets = common.keyed(docs), buckets_for(docs)
     found = common.checkpoint(gather(count_segments(segments_by_bucket(keyed, n_buckets, local_hot), most)))
-    todo = found.where("fine IS NOT NULL").groupBy("doc_id", "th").agg(F.first("fine").alias("fine"))
+    todo = found.where("fine IS NOT NULL").groupBy("doc_id", "th").agg(F.collect_list("fine").alias("fine"))  # repeated rows can have different segments to decide
     text = keyed.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("doc_id"), "th", "text")
     todo = todo.join(text, ["doc_id", "th"]).dropDuplicates(["doc_id", "th"]).select("doc_id", "th", "text", "fine")
     return found.select("doc_id", "th", "starts", "ends").unionByName(sharded(todo)).unionByName(merged(todo, n_buckets))

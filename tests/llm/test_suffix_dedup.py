@@ -86,3 +86,23 @@ def test_classes_of_passages_repeated_over_256_bytes():
         seg, start, cls, _, _ = sd.classes(texts, np.array([len(t) - 199 for t in texts]))
         strings = [texts[g][k : k + 200] for g, k in zip(seg, start)]
         assert len(set(zip(strings, cls.tolist()))) == len(set(strings)) == len(set(cls.tolist()))
+
+
+def test_segments_listed_by_different_repeated_rows(spark, monkeypatch):
+    """One row for each segment to be decided, as when repeated rows lie in different batches."""
+    whole = sd.gather
+
+    def split(codes):
+        def run(it):
+            for b in it:
+                out = []
+                for r in b.to_pylist():
+                    cols = [sd.unpack(x) for x in sd._split(r["fine"], 5)] if r["fine"] else []
+                    one = [sd._join([sd.pack(c[k : k + 1]) for c in cols]) for k in range(len(cols[0]))] if cols else [None]
+                    out += [(r["doc_id"], r["th"], r["starts"], r["ends"], f) for f in one]
+                yield sd._table(out, sd._FOUND)
+
+        return whole(codes).mapInArrow(run, sd._FOUND)
+
+    monkeypatch.setattr(sd, "gather", split)
+    check(spark, make(7, 40))
