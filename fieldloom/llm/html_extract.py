@@ -1,19 +1,19 @@
 """HTML main-text extraction by wrapper induction.
 
-Pages of one host come from one template. For each host a few pages (`SLOTS` at most: the one of the
-least hash in each of that many parts of the host's pages) are parsed to DOM trees and aligned with one
-of them by simple tree matching. A text node that most of the aligned pages have with the same text is
-template; where it varies it is a slot. The host's wrapper is the template's texts with their places.
+Pages of one host come from one template. All different pages of a host are parsed to DOM trees, and a
+text at a place (its path of elements and classes) that `CONSTANT_SHARE` of them have, each counted
+once however often it has it, is template; where the text varies it is a slot. Places with their texts are counted by
+64 bits of XXH64, and equal pages (64 bits of hash) are one. The host's wrapper is its template's places and texts.
 Every page is then read with its host's wrapper: text in slots is content, unless it stands in an element
 that is never article text (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles,
 reader comments, by element or by class, id or role) or outside the article where the page marks one.
 
-A host with a third of all pages gives one page per part, found by a grouped minimum. Wrappers are
+A page sends its hashes only, counted by partial aggregation, so a host with a third of all pages is no large task. Wrappers are
 broadcast if all of them together are under `BROADCAST_BYTES`, which is checked; else they are joined
 by host, where a large host's pages are split as a skewed key.
 
 Cases: null and empty pages give empty text; a null url is the host ``; a host with fewer than three
-pages has no template; unclosed elements end with their parent; markup of any length is read whole;
+different pages has no template; unclosed elements end with their parent; markup of any length is read whole;
 repeated pages give equal rows; extra columns are ignored; empty tables give empty results.
 """
 
@@ -21,21 +21,18 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.llm import common
 
-SLOTS = 8
 LEAST_PAGES = 3
 CONSTANT_SHARE = 0.75
 BROADCAST_BYTES = 16 << 20
-#: Children compared for each element when trees are aligned.
-MOST_CHILDREN = 60
-#: Below places written in so many characters, elements are read but not told apart or aligned.
+#: Below places written in so many characters, elements are read but not told apart.
 DEEP = 2000
 
 #: Fixed: HTML's element kinds.
@@ -100,60 +97,21 @@ def parse(page: str) -> Node:
     return root
 
 
-def align(a: Node, b: Node, same: Counter, met: Counter) -> None:
-    """Simple tree matching: the largest order-preserving match of equal labels, level by level.
-
-    Counts in `met` a's text nodes that have a partner, in `same` those whose partner has their text.
-    """
-    _, pairs = _match(a, b, {})
-    for x, y in pairs:
-        key = x.path, " ".join(x.text.split())
-        met[key] += 1
-        same[key] += key[1] == " ".join(y.text.split())
-
-
-def _match(a: Node, b: Node, memo: dict) -> tuple[int, list]:
-    """Size of the match of two nodes of equal label, and its pairs of text nodes."""
-    known = memo.get((id(a), id(b)))
-    if known is not None:
-        return known
-    if len(a.path) >= DEEP:
-        return 1, []
-    xs, ys = a.children[:MOST_CHILDREN], b.children[:MOST_CHILDREN]
-    best = [[(0, None)] * (len(ys) + 1) for _ in range(len(xs) + 1)]
-    for i, x in enumerate(xs):
-        for j, y in enumerate(ys):
-            top = max(best[i][j + 1], best[i + 1][j], key=lambda v: v[0])
-            if x.name == y.name and x.path == y.path:
-                w = 1 + (x.text == y.text) if x.text is not None else _match(x, y, memo)[0]
-                if best[i][j][0] + w > top[0]:
-                    top = (best[i][j][0] + w, (i, j))
-            best[i + 1][j + 1] = top if top[1] == (i, j) else (top[0], None)
-    pairs, i, j = [], len(xs), len(ys)
-    while i and j:
-        if best[i][j][1] == (i - 1, j - 1):
-            x, y = xs[i - 1], ys[j - 1]
-            pairs += [(x, y)] if x.text is not None else _match(x, y, memo)[1]
-            i, j = i - 1, j - 1
-        elif best[i - 1][j][0] >= best[i][j - 1][0]:
-            i -= 1
-        else:
-            j -= 1
-    memo[id(a), id(b)] = found = 1 + best[len(xs)][len(ys)][0], pairs
-    return found
-
-
-def induce(pages: list[str]) -> list[tuple[str, str]]:
-    """The template's texts: (path, text) pairs that are constant among pages of one host."""
-    if len(pages) < LEAST_PAGES:
-        return []
-    trees = [parse(p) for p in pages]
-    same: Counter = Counter()
-    met: Counter = Counter()
-    for other in trees[1:]:
-        align(trees[0], other, same, met)
-    least = CONSTANT_SHARE * (len(pages) - 1)
-    return sorted(k for k, n in same.items() if k[1] and n >= least)
+def _key(path: str, words: str) -> int:
+    h = xxhash.xxh64_intdigest(f"{path}\0{words}")
+    return h - (h >> 63 << 64)
+
+
+def keys_of(page: str) -> list[int]:
+    """Every (path, text) of the page once, hashed."""
+    found, stack = set(), [parse(page)]
+    while stack:
+        node = stack.pop()
+        if node.text is not None:
+            if words := " ".join(node.text.split()):
+                found.add((node.path, words))
+        stack.extend(node.children)
+    return sorted({_key(*x) for x in found})
 
 
 def extract(page: str | None, template: frozenset = frozenset()) -> str:
@@ -171,7 +129,7 @@ def extract(page: str | None, template: frozenset = frozenset()) -> str:
         if done or node.never:
             continue
         if node.text is not None:
-            if not template or (node.path, " ".join(node.text.split())) not in template:
+            if not template or _key(node.path, " ".join(node.text.split())) not in template:
                 out.append(node.text)
             continue
         if node.name in BLOCK:
@@ -201,16 +159,20 @@ def with_host(pages: DataFrame) -> DataFrame:
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, paths, texts) of the hosts that have a template."""
-    h = F.xxhash64("page_id", "url")
-    few = with_host(pages).where("html IS NOT NULL").groupBy("host", F.pmod(h, F.lit(SLOTS)).alias("slot")).agg(F.min_by("html", h).alias("html"))
+    """(host, keys) of the hosts that have a template."""
 
-    def run(t: pa.Table) -> pa.Table:
-        found = induce(t.column("html").to_pylist())
-        n = 1 if found else 0
-        return pa.Table.from_arrays([t.column("host").slice(0, n), pa.array([[p for p, _ in found]] * n, pa.list_(pa.string())), pa.array([[x for _, x in found]] * n, pa.list_(pa.string()))], ["host", "paths", "texts"])
+    def run(it):
+        for b in it:
+            keys = [keys_of(p) for p in b.column("html").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("host"), b.column("hh"), pa.array(keys, pa.list_(pa.int64()))], ["host", "hh", "keys"])
 
-    return few.groupBy("host").applyInArrow(run, "host string, paths array<string>, texts array<string>")
+    full = with_host(pages).where("html <> ''").select("host", F.xxhash64("html").alias("hh"), "html")
+    one = full.mapInArrow(run, "host string, hh long, keys array<long>").dropDuplicates(["host", "hh"])
+    one = common.checkpoint(one)
+    n = one.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_PAGES)
+    met = one.select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count("*").alias("m")).where("m > 1")
+    constant = met.join(n, "host").where(F.col("m") - 1 >= CONSTANT_SHARE * (F.col("n") - 1))
+    return constant.groupBy("host").agg(F.collect_list("key").alias("keys"))
 
 
 def _texts(it, columns, template_of):
@@ -227,7 +189,7 @@ def main_text(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataF
     schema = f"page_id {types['page_id']}, url string, text string, n_chars long"
     size = learned.agg(F.sum(F.length(F.to_json(F.struct("*")))).alias("n")).first()["n"] or 0
     if size <= broadcast_bytes:
-        by_host = {r["host"]: frozenset(zip(r["paths"], r["texts"], strict=True)) for r in learned.toLocalIterator()}
+        by_host = {r["host"]: frozenset(r["keys"]) for r in learned.toLocalIterator()}
         sent = pages.sparkSession.sparkContext.broadcast(by_host)
 
         def run(it):
@@ -236,7 +198,7 @@ def main_text(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataF
         return with_host(pages).mapInArrow(run, schema)
 
     def run_joined(it):
-        yield from _texts(it, columns, lambda b, i: frozenset(zip(b.column("paths")[i].as_py() or (), b.column("texts")[i].as_py() or (), strict=True)))
+        yield from _texts(it, columns, lambda b, i: frozenset(b.column("keys")[i].as_py() or ()))
 
     return with_host(pages).join(learned, "host", "left").mapInArrow(run_joined, schema)
 

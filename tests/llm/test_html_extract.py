@@ -43,3 +43,23 @@ def test_pages_of_the_tables(spark):
         inner = re.search(r"<article>(.*?)(?:</article>|<footer>|$)", r.html, re.S)[1]
         want = " ".join(html.unescape(re.sub(r"<[^>]*>", lambda m: "" if re.match(r"</?b\b(?!r)", m[0]) else " ", inner)).split())
         assert got[r.page_id] == want
+
+
+def texts(spark, bodies):
+    rows = [(i, f"http://h.example/{i}", page(f"<article>{b}</article>")) for i, b in enumerate(bodies)]
+    return [r.text for r in sorted(he.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())]
+
+
+def test_copies_are_one_page(spark):
+    bodies = ["<p>same story</p>"] * 12 + ["<p>another</p>", "<p>third</p>"]
+    assert texts(spark, bodies) == ["same story"] * 12 + ["another", "third"]
+
+
+def test_a_page_counts_once(spark):
+    bodies = ["<p>yes</p>" * 6 + "<p>a</p>", "<p>yes</p>" * 6 + "<p>b</p>", *(f"<p>story {i}</p>" for i in range(6))]
+    assert texts(spark, bodies)[:2] == ["yes " * 6 + "a", "yes " * 6 + "b"]
+
+
+def test_template_of_long_pages(spark):
+    bodies = ["".join(f"<p>{i} {k}</p>" for k in range(80)) + "<p>Always here</p>" for i in range(3)]
+    assert not any("Always" in t for t in texts(spark, bodies))
