@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -37,6 +38,52 @@ def test_few_states(theirs):
         assert small.encode(t.encode()) == theirs.encode_ordinary(t)
 
 
+def test_few_states_in_step(theirs, monkeypatch):
+    rnd = random.Random(11)
+    pieces = ["".join(rnd.choice("aeioustrnqué中😀ß") for _ in range(rnd.randint(1, 15))).encode() for _ in range(3000)]
+    want = [theirs.encode_ordinary(p.decode()) for p in pieces]
+    small = bpe.Encoder(bpe.read_ranks(bpe.RANKS), max_states=50)
+    monkeypatch.setattr(bpe, "GROUP_BYTES", 500)
+    assert [np.frombuffer(x, "<u4").tolist() for x in small.encode_many(pieces)] == want
+
+
+def test_long_pieces_in_portions(theirs, monkeypatch):
+    monkeypatch.setattr(bpe, "HOLD", 7)
+    rnd = random.Random(12)
+    small = bpe.Encoder(bpe.read_ranks(bpe.RANKS), max_states=30)
+    for n in (1, 6, 7, 8, 65, 500):
+        for alphabet in ("a", "etaoin", "zq", "é中"):
+            p = "".join(rnd.choice(alphabet) for _ in range(n))
+            portions = list(small.stream(p.encode()))
+            assert len(portions) == -(-len(p.encode()) // 7)
+            assert np.frombuffer(b"".join(portions), "<u4").tolist() == theirs.encode_ordinary(p)
+
+
+def test_table():
+    rnd = np.random.default_rng(3)
+    keys = np.unique(rnd.integers(0, 1 << 40, 30_000))
+    table = bpe._Table()
+    for part in np.array_split(keys, 50):
+        table.add(part, (part % 1000).astype(np.int32))
+    assert (table.find(keys) == keys % 1000).all()
+    assert (table.find(keys + (1 << 41)) == -1).all()
+
+
+def test_states_that_share_a_hash(theirs, monkeypatch):
+    monkeypatch.setattr(bpe.common, "mix", lambda h: h & np.uint64(0xFFF))
+    small = bpe.Encoder(bpe.read_ranks(bpe.RANKS))
+    pieces = [b"internationally", b"quicksort", b"zzyxabcde", b"misunderstandable"] + [bytes([97 + k % 26, 98 + k % 23, 100 + k % 7, 104 + k % 5, 97 + k % 11]) for k in range(500)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in small.encode_many(pieces)] == [theirs.encode_ordinary(p.decode()) for p in pieces]
+
+
+def test_columns_that_have_the_output_names(spark):
+    df = spark.createDataFrame([(1, "abc", "x", 5), (2, None, "y", 6)], "id long, text string, token_ids string, decoded int")
+    got = bpe.decode(bpe.encode(df))
+    assert got.columns == ["id", "text", "token_ids", "decoded"]
+    assert [r.decoded for r in got.orderBy("id").collect()] == ["abc", ""]
+    assert bpe.encode(df, out="text").columns == ["id", "token_ids", "decoded", "text"]
+
+
 def test_decoder_holds_back_unfinished_characters():
     d = bpe.StreamDecoder({i: bytes([i]) for i in range(256)})
     b = "aé中😀z".encode()
