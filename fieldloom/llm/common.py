@@ -50,9 +50,25 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def size_in_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate of the input: for a Parquet scan, the size of its files."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+#: The optimizer's size of what it knows nothing about is beyond this.
+UNKNOWN_BYTES = 1 << 55
+
+
+def size_in_bytes(docs: DataFrame) -> int:
+    """The optimizer's estimate of the input (for a Parquet scan, the size of its files), or the bytes of all texts where it has none."""
+    stated = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if stated < UNKNOWN_BYTES:
+        return stated
+    return int(docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0)
+
+
+#: Input for each task of an exchange whose number of tasks follows the input.
+TASK_BYTES, LEAST_TASKS = 16 << 20, 32
+
+
+def spread(df: DataFrame, key: str, size: int) -> DataFrame:
+    """df dealt by key to as many tasks as an input of so many bytes needs, whatever the session's number is."""
+    return df.repartition(max(LEAST_TASKS, -(-size // TASK_BYTES)), key)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -254,6 +270,11 @@ def texts_of(column) -> list[bytes]:
     return column.cast(pa.binary()).fill_null(b"").to_pylist()
 
 
+def split_by(keys: np.ndarray, values: np.ndarray) -> list[np.ndarray]:
+    """values in runs of equal keys, which are in order."""
+    return np.split(values, np.flatnonzero(np.diff(keys)) + 1) if keys.size else []
+
+
 def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of true."""
     d = np.diff(np.concatenate([[0], flags.view(np.int8), [0]]))

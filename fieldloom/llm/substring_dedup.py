@@ -14,8 +14,9 @@ removed. Windows are judged on the input.
 4. The documents are joined with their intervals.
 
 A sequence that a third of all documents share is one value per batch after step 1, so no task
-gets the group. Buckets grow in number with the input, up to what leaves a batch some windows for
-each.
+gets the group. Buckets grow in number with the input without an upper bound: one stands for 2 MB of input until there are
+`FEW_BUCKETS`, then for more, up to 64 MB, and from there on (2 TB) their number grows again, and with it the size of a batch up to
+32 MB, so that a batch still has some windows for each. So what a task holds is bounded at every size.
 
 Cases: null, empty and short texts have no windows and keep all words; rows that share a doc_id are
 not earlier than each other; repeated rows get equal results; a null doc_id counts as the largest.
@@ -36,10 +37,11 @@ from fieldloom.llm import common
 from fieldloom.llm.common import pack, pack_sorted, unpack, unpack_sorted
 
 WINDOW = 13
-BATCH_BYTES = 4 << 20
+#: Text of a batch while buckets are few, and at most.
+BATCH_BYTES, WIDEST_BATCH = 4 << 20, 32 << 20
 CHUNK_BYTES = 1 << 20
-#: Input bytes for a bucket, and the most buckets: a batch of 700,000 windows then has about 20 in each.
-BUCKET_BYTES, MOST_BUCKETS = 2 << 20, 1 << 15
+#: Input bytes for a bucket while there are at most so many (a batch of 700,000 windows then has about 20 in each), and in the end.
+BUCKET_BYTES, FEW_BUCKETS, WIDEST_BUCKET = 2 << 20, 1 << 15, 64 << 20
 LAST_ID = np.iinfo(np.int64).max
 
 _EXCHANGE = "bucket long, batch long, kind int, docs binary, hashes binary, places binary, more binary"
@@ -47,8 +49,13 @@ _FLAGS = "batch long, kind int, docs binary, places binary, more binary"
 _SPANS = "doc_id long, th long, starts binary, ends binary"
 
 
-def buckets_for(df: DataFrame) -> int:
-    return int(min(MOST_BUCKETS, max(64, common.size_in_bytes(df) // BUCKET_BYTES)))
+def buckets_for(size: int) -> int:
+    """Buckets for an input of so many bytes."""
+    return int(max(64, min(FEW_BUCKETS, size // BUCKET_BYTES), size // WIDEST_BUCKET))
+
+
+def batch_bytes(n_buckets: int) -> int:
+    return min(WIDEST_BATCH, BATCH_BYTES * max(1, n_buckets // FEW_BUCKETS))
 
 
 def _ids(column) -> np.ndarray:
@@ -58,9 +65,11 @@ def _ids(column) -> np.ndarray:
 def windows_by_bucket(docs: DataFrame, n_buckets: int, window: int = WINDOW) -> DataFrame:
     """Step 1. kind 0: windows of one bucket; kind 1: the batch's documents and what is decided."""
 
+    narrow = np.uint16 if n_buckets <= 1 << 16 else np.uint32  # numpy sorts 16 bits by radix
+
     def run(it):
         part, n = TaskContext.get().partitionId(), 0
-        for t in common.batches(it, BATCH_BYTES):
+        for t in common.batches(it, batch_bytes(n_buckets)):
             ids = _ids(t.column("doc_id").combine_chunks())
             order = np.argsort(ids, kind="stable")
             t, ids = t.take(pa.array(order)), ids[order]
@@ -76,7 +85,7 @@ def windows_by_bucket(docs: DataFrame, n_buckets: int, window: int = WINDOW) ->
             ids_of = ids[np.searchsorted(at, starts, "right") - 1]
             # Stable, and starts ascend by doc_id: a group's first is that of its smallest doc_id.
             by = np.argsort(a, kind="stable")
-            by = by[np.argsort(bucket[by].astype(np.uint16), kind="stable")]
+            by = by[np.argsort(bucket[by].astype(narrow), kind="stable")]
             new = np.ones(by.size, bool)
             new[1:] = (a[by][1:] != a[by][:-1]) | (bucket[by][1:] != bucket[by][:-1])
             head = by[np.maximum.accumulate(np.where(new, np.arange(by.size), 0))]
@@ -85,15 +94,12 @@ def windows_by_bucket(docs: DataFrame, n_buckets: int, window: int = WINDOW) ->
             tied = ~new & ~later
             more = [pack_sorted(sure), pack(starts[by[tied]]), pack(starts[head[tied]])]
             heads = np.sort(by[new])
-            heads = heads[np.argsort(bucket[heads].astype(np.uint16), kind="stable")]
-            cut = np.searchsorted(bucket[heads], np.arange(n_buckets + 1))
+            heads = heads[np.argsort(bucket[heads].astype(narrow), kind="stable")]
             rows = []
-            for b in range(n_buckets):
-                x = heads[cut[b] : cut[b + 1]]
-                if x.size:
-                    own, first = np.unique(ids_of[x], return_index=True)
-                    docs_of = _join([pack_sorted(own), pack(np.diff(np.append(first, x.size)))])
-                    rows.append((b, batch, 0, docs_of, a[x].tobytes(), pack_sorted(starts[x]), None))
+            for x in common.split_by(bucket[heads], heads):
+                own, first = np.unique(ids_of[x], return_index=True)
+                docs_of = _join([pack_sorted(own), pack(np.diff(np.append(first, x.size)))])
+                rows.append((int(bucket[x[0]]), batch, 0, docs_of, a[x].tobytes(), pack_sorted(starts[x]), None))
             th = t.column("th").to_numpy().astype(np.int64)
             rows.append((batch % n_buckets, batch, 1, _join([ids.tobytes(), th.tobytes(), pack(counts)]), None, None, _join(more)))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["bucket", "batch", "kind", "docs", "hashes", "places", "more"])
@@ -117,7 +123,7 @@ def _split(b: bytes, n: int) -> list[bytes]:
     return [b[i:j] for i, j in zip(at, at[1:], strict=False)]
 
 
-def flags(exchange: DataFrame) -> DataFrame:
+def flags(exchange: DataFrame, size: int) -> DataFrame:
     """Step 2: by batch, which windows have a smaller doc_id elsewhere; kind 1 passes through."""
 
     def run(t: pa.Table) -> pa.Table:
@@ -145,10 +151,10 @@ def flags(exchange: DataFrame) -> DataFrame:
         cols = list(zip(*out, strict=True)) or [[]] * 5
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["batch", "kind", "docs", "places", "more"])
 
-    return exchange.groupBy("bucket").applyInArrow(run, _FLAGS)
+    return common.spread(exchange, "bucket", size).groupBy("bucket").applyInArrow(run, _FLAGS)
 
 
-def intervals(found: DataFrame, window: int = WINDOW) -> DataFrame:
+def intervals(found: DataFrame, size: int, window: int = WINDOW) -> DataFrame:
     """Step 3: per document, the maximal runs of words to remove, as word numbers."""
 
     def run(t: pa.Table) -> pa.Table:
@@ -180,12 +186,13 @@ def intervals(found: DataFrame, window: int = WINDOW) -> DataFrame:
         cols = list(zip(*out, strict=True)) or [[]] * 4
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["doc_id", "th", "starts", "ends"])
 
-    return found.groupBy("batch").applyInArrow(run, _SPANS)
+    return common.spread(found, "batch", size).groupBy("batch").applyInArrow(run, _SPANS)
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, th, starts, ends): removal intervals of the documents that have any; rows of equal doc_id and text once."""
-    spans = intervals(flags(windows_by_bucket(common.keyed(docs), buckets_for(docs), window)), window)
+    size = common.size_in_bytes(docs)
+    spans = intervals(flags(windows_by_bucket(common.keyed(docs), buckets_for(size), window), size), size, window)
     return spans.groupBy("doc_id", "th").agg(F.first("starts").alias("starts"), F.first("ends").alias("ends"))
 
 

@@ -21,7 +21,7 @@ Two different segments are taken for one if 128 bits of hash agree; classes of d
 bits and the bucket do.
 
 Cases: null, empty and short texts lose nothing; a null doc_id is a value like any other; rows of equal
-doc_id and text get equal results, and each is elsewhere to the other; texts are read whole; extra columns
+doc_id and text get equal results, and each is elsewhere to the other, so their whole text goes; texts are read whole; extra columns
 are ignored; an empty table gives an empty result.
 """
 
@@ -38,10 +38,12 @@ from pyspark.sql import functions as F
 from fieldloom.llm import common
 from fieldloom.llm.common import U64, pack, pack_sorted, unpack, unpack_sorted
 from fieldloom.llm.decontaminate import least
-from fieldloom.llm.substring_dedup import LAST_ID, _ids, _join, _split, buckets_for
+from fieldloom.llm.substring_dedup import LAST_ID, _ids, _join, _split, batch_bytes, buckets_for
 
 LENGTH, GRAM = 200, 100
-BATCH_BYTES, CHUNK_BYTES = 4 << 20, 1 << 20
+CHUNK_BYTES = 1 << 20
+#: Text of a batch of documents whose segments are to be decided.
+BATCH_BYTES = 4 << 20
 #: Different segments of one anchor in one batch, and among all batches, from which on it is dealt by document.
 LOCAL_HOT, HOT = 16, 256
 LANE = 256
@@ -91,9 +93,11 @@ def segments(texts: list[bytes]):
 def segments_by_bucket(docs: DataFrame, n_buckets: int, local_hot: int = LOCAL_HOT) -> DataFrame:
     """kind 0: the anchors of one bucket; kind 1: the batch's documents and segments, and what is decided."""
 
+    narrow = np.uint16 if n_buckets <= 1 << 16 else np.uint32
+
     def run(it):
         part, n = TaskContext.get().partitionId(), 0
-        for t in common.batches(it, BATCH_BYTES):
+        for t in common.batches(it, batch_bytes(n_buckets)):
             batch, n = (part << 24) + n, n + 1
             texts = common.texts_of(t.column("text"))
             got, base = [], 0
@@ -115,14 +119,12 @@ def segments_by_bucket(docs: DataFrame, n_buckets: int, local_hot: int = LOCAL_H
             flag = np.where(copies > 1, _MULTI, 0) | np.where(many, _MARK, 0)
             sent = np.flatnonzero(~many | opens)
             sent = sent[np.argsort(place[sent], kind="stable")]
-            bucket = (mh[place[sent]] % U64(n_buckets)).astype(np.uint16)
-            sent = sent[np.argsort(bucket, kind="stable")]
-            cut = np.searchsorted(np.sort(bucket), np.arange(n_buckets + 1))
+            bucket = (mh[place[sent]] % U64(n_buckets)).astype(narrow)
+            order = np.argsort(bucket, kind="stable")
             rows = []
-            for b in range(n_buckets):
-                x = sent[cut[b] : cut[b + 1]]
-                if x.size:
-                    rows.append((b, batch, 0, mh[place[x]].tobytes(), sh[place[x]].tobytes(), pack_sorted(place[x]), flag[x].astype(np.uint8).tobytes()))
+            for k in common.split_by(bucket[order], order):
+                x = sent[k]
+                rows.append((int(bucket[k[0]]), batch, 0, mh[place[x]].tobytes(), sh[place[x]].tobytes(), pack_sorted(place[x]), flag[x].astype(np.uint8).tobytes()))
             state = np.zeros(doc.size, np.uint8)
             state[by[~new]] = _FULL
             state[place[many]] |= np.where(copies[many] > 1, _FULL, 0).astype(np.uint8) | np.uint8(_FINE | _HOT)
@@ -134,7 +136,7 @@ def segments_by_bucket(docs: DataFrame, n_buckets: int, local_hot: int = LOCAL_H
     return docs.mapInArrow(run, _EXCHANGE)
 
 
-def count_segments(exchange: DataFrame, most: int = HOT) -> DataFrame:
+def count_segments(exchange: DataFrame, size: int, most: int = HOT) -> DataFrame:
     """By batch: which segments are repeated as a whole, and which need a suffix array."""
 
     def run(t: pa.Table) -> pa.Table:
@@ -166,10 +168,10 @@ def count_segments(exchange: DataFrame, most: int = HOT) -> DataFrame:
                 i += n
         return pa.Table.from_batches([_table(out, _CODES)])
 
-    return exchange.groupBy("bucket").applyInArrow(run, _CODES)
+    return common.spread(exchange, "bucket", size).groupBy("bucket").applyInArrow(run, _CODES)
 
 
-def gather(codes: DataFrame) -> DataFrame:
+def gather(codes: DataFrame, size: int) -> DataFrame:
     """Per document: starts known to be repeated, and the segments (lo, width, anchor, bucket, hot) to be decided."""
 
     def run(t: pa.Table) -> pa.Table:
@@ -197,7 +199,7 @@ def gather(codes: DataFrame) -> DataFrame:
             out.append((int(ids[d]), int(th[d]), pack_sorted(starts), pack(ends), sent))
         return pa.Table.from_batches([_table(out, _FOUND)])
 
-    return codes.groupBy("batch").applyInArrow(run, _FOUND)
+    return common.spread(codes, "batch", size).groupBy("batch").applyInArrow(run, _FOUND)
 
 
 # --- suffix arrays ---------------------------------------------------------------------------------
@@ -395,12 +397,26 @@ def merged(todo: DataFrame, n_buckets: int) -> DataFrame:
 
 def repeated_starts(docs: DataFrame, local_hot: int = LOCAL_HOT, most: int = HOT) -> DataFrame:
     """(doc_id, th, starts, ends): per document, ranges of starts whose LENGTH-byte string also starts elsewhere; several rows at times. A null doc_id is LAST_ID."""
-    keyed, n_buckets = common.keyed(docs), buckets_for(docs)
-    found = common.checkpoint(gather(count_segments(segments_by_bucket(keyed, n_buckets, local_hot), most)))
-    todo = found.where("fine IS NOT NULL").groupBy("doc_id", "th").agg(F.collect_list("fine").alias("fine"))  # repeated rows can have different segments to decide
+    keyed, size = common.keyed(docs), common.size_in_bytes(docs)
+    n_buckets = buckets_for(size)
+    found = common.checkpoint(gather(count_segments(segments_by_bucket(keyed, n_buckets, local_hot), size, most), size))
+    # Repeated rows can have different segments to decide; one of them stands for all in the suffix arrays, so a row that has company is whole elsewhere.
+    todo = found.where("fine IS NOT NULL").groupBy("doc_id", "th").agg(F.collect_list("fine").alias("fine"))
     text = keyed.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("doc_id"), "th", "text")
-    todo = todo.join(text, ["doc_id", "th"]).dropDuplicates(["doc_id", "th"]).select("doc_id", "th", "text", "fine")
-    return found.select("doc_id", "th", "starts", "ends").unionByName(sharded(todo)).unionByName(merged(todo, n_buckets))
+    todo = todo.join(text, ["doc_id", "th"]).groupBy("doc_id", "th").agg(F.first("text").alias("text"), F.first("fine").alias("fine"), F.count("*").alias("n"))
+    spans = found.select("doc_id", "th", "starts", "ends").unionByName(whole(todo.where("n > 1")))
+    return spans.unionByName(sharded(todo)).unionByName(merged(todo, n_buckets))
+
+
+def whole(rows: DataFrame) -> DataFrame:
+    """All starts of rows(doc_id, th, text)."""
+
+    def run(it):
+        for b in it:
+            first, size = pack_sorted(np.zeros(1, np.int64)), b.column("n").to_pylist()
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array([first] * b.num_rows, pa.binary()), pa.array([pack(np.array([n - LENGTH + 1])) for n in size], pa.binary())], ["doc_id", "th", "starts", "ends"])
+
+    return rows.select("doc_id", "th", F.octet_length("text").cast("long").alias("n")).mapInArrow(run, _SPANS)
 
 
 def removal(docs: DataFrame, local_hot: int = LOCAL_HOT, most: int = HOT) -> DataFrame:

@@ -50,3 +50,17 @@ def test_edges(spark):
     check(spark, [(1, None), (2, ""), (3, a), (3, a), (3, a + " q"), (4, " " + a + "\n"), (5, "z " * 60), (6, "z " * 13), (7, long), (8, long + " end"), (None, a), (9, "a b"), (10, a + "   " + a)])
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert sd.removal(empty).count() == 0
+
+
+def test_buckets_grow_without_an_end():
+    sizes = [1 << k for k in range(20, 48)]
+    buckets = [sd.buckets_for(s) for s in sizes]
+    assert buckets == sorted(buckets)
+    assert all(s / b <= sd.WIDEST_BUCKET for s, b in zip(sizes, buckets))
+    assert sd.batch_bytes(64) == sd.BATCH_BYTES and sd.batch_bytes(1 << 21) == sd.WIDEST_BATCH
+
+
+def test_more_buckets_than_16_bits(spark, monkeypatch):
+    monkeypatch.setattr(sd, "buckets_for", lambda size: 100_000)
+    a = " ".join("abcdefghijklmnopqrst")
+    check(spark, [(k, " ".join(f"{k}w{i}" for i in range(40)) + " " + a) for k in range(20)] + [(30, a)])

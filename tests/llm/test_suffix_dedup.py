@@ -92,7 +92,7 @@ def test_segments_listed_by_different_repeated_rows(spark, monkeypatch):
     """One row for each segment to be decided, as when repeated rows lie in different batches."""
     whole = sd.gather
 
-    def split(codes):
+    def split(codes, size):
         def run(it):
             for b in it:
                 out = []
@@ -102,7 +102,20 @@ def test_segments_listed_by_different_repeated_rows(spark, monkeypatch):
                     out += [(r["doc_id"], r["th"], r["starts"], r["ends"], f) for f in one]
                 yield sd._table(out, sd._FOUND)
 
-        return whole(codes).mapInArrow(run, sd._FOUND)
+        return whole(codes, size).mapInArrow(run, sd._FOUND)
 
     monkeypatch.setattr(sd, "gather", split)
     check(spark, make(7, 40))
+
+
+def test_repeated_rows_of_hot_anchors_in_different_batches(spark):
+    rnd = random.Random(4)
+    text = lambda k: "".join(rnd.choice("abcdefgh ") for _ in range(k))
+    pool = [text(195) for _ in range(10)]
+    rows = [(i, "".join(p + text(5) for p in pool)) for i in range(41)]
+    parts = [rows, [rows[7], (100, rows[9][1][:300])], [(None, rows[3][1]), (None, rows[3][1])]]
+    df = sd.common.checkpoint(spark.createDataFrame(spark.sparkContext.parallelize(parts, 3).flatMap(list), "doc_id long, text string"))
+    assert df.rdd.getNumPartitions() == 3
+    want = brute([r for p in parts for r in p])
+    for limits in ((), (3, 4), (3, 1000)):
+        assert sorted((tuple(r) for r in sd.removal(df, *limits).drop("kept").collect()), key=str) == want
