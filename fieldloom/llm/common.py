@@ -71,6 +71,32 @@ def spread(df: DataFrame, key: str, size: int) -> DataFrame:
     return df.repartition(max(LEAST_TASKS, -(-size // TASK_BYTES)), key)
 
 
+#: A key with more than this part of all rows is hot.
+HOT_PART = 1024
+
+
+def split_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """left ⋈ right with hot keys apart; right has every key of left once, n rows of left each, and is checkpointed. n is left out.
+
+    Fewer than `HOT_PART` keys can have more than that part of the rows: this bounds what is broadcast, and rows of
+    hot keys are not dealt by key at all. The rest is an ordinary join. Rows with a null key match nothing.
+    """
+    total, top = right.agg(F.sum("n"), F.max("n")).first()
+    values = right.drop("n")
+    if not total or top <= total / HOT_PART:
+        return left.join(values, on, how)
+    hot = F.broadcast(right.where(F.col("n") > total / HOT_PART).drop("n"))
+    known = left.dropna(subset=on)
+    rest = known.join(hot.select(on), on, "left_anti").join(right.where(F.col("n") <= total / HOT_PART).drop("n"), on, how)
+    out = known.join(hot, on).unionByName(rest)
+    if how == "inner":
+        return out
+    some_null = F.lit(False)
+    for c in on:
+        some_null = some_null | F.col(c).isNull()
+    return out.unionByName(left.where(some_null), allowMissingColumns=True)
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """(doc_id, th, text): th tells rows of the same doc_id and different text apart."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text"))

@@ -7,11 +7,13 @@ document keeps its own verdict.
 
 The figures need no shuffle; hosts are counted by partial aggregation, and a host that has a third of
 all documents is one row of the host table. Figures are checkpointed (a few numbers per document)
-because both the count and the join read them.
+because both the count and the join read them. Verdicts of hosts with more than a 1024th of the documents are broadcast
+(fewer than 1024 rows); the others are joined by host.
 
 Cases: null, empty and blank texts have no words and fail; a null host is no host: its documents keep
-their own verdict and count in no rate; without hosts there is no prior; repeated rows stay; texts
-are read whole; extra columns are ignored; empty tables give empty results.
+their own verdict and count in no rate; without hosts there is no prior; a rate of exactly `most_failures` is no
+rejection; doc_id is returned as it is, host is compared as it is, whatever their types; repeated rows stay; texts
+are read whole; extra columns, those named like a figure included, are ignored; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -104,9 +106,9 @@ def host_rates(figures: DataFrame) -> DataFrame:
 def verdicts(docs: DataFrame, host: str = "source", most_failures: float = MOST_FAILURES) -> DataFrame:
     """The base figures with kept: not base_failed, and the host (if any) not rejected."""
     figures = common.checkpoint(base_figures(docs, host))
-    bad = host_rates(figures).where(F.col("rate") > most_failures).select("host", F.lit(True).alias("bad"))
+    hosts = common.checkpoint(host_rates(figures).select("host", "n", (F.col("rate") > most_failures).alias("bad")))
     kept = ~F.col("base_failed") & ~F.coalesce("bad", F.lit(False))
-    return figures.join(bad, "host", "left").withColumn("kept", kept).drop("bad")
+    return common.split_join(figures, hosts, ["host"], "left").select(*figures.columns, kept.alias("kept"))
 
 
 def op9_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,10 @@
 
 A document is its sequence of lines that have a word; a line's ID is 64 bits of its bytes (among n
 different lines some n * n / 2**65 pairs may share one). A run of lines with `min_words` words or more
-that also stands earlier (in a document of smaller doc_id, or before it in the same document) is deleted.
-Every such run is a union of least runs: from a line on, as few lines as have `min_words` words.
+that also stands earlier (in a document of smaller doc_id, or before it in the same document) is deleted, so every
+later copy of a maximal repeated run goes whole. Such a run is a union of least runs in it: from a line on, or back from
+a line, as few lines as have `min_words` words. (A line from which too few words are left before the run's end is in the
+one back from that end.) So only least runs are looked up, and they decide as all runs would.
 
 Ranks order the suffixes by their first 2**h lines: at h = 0 the repeated line IDs in order, then the
 pairs of ranks (at i, at i + 2**h) in order. Only suffixes whose prefix occurs twice stay (the others'
@@ -12,12 +14,14 @@ its start and at 2**h lines before its end, for the h with 2**h <= n < 2**(h + 1
 interval stays; the lines of the later ones go. Doubling ends with the longest least run, which has
 at most `min_words` lines.
 
-Ranks are made of distinct pairs, counted by partial aggregation, and joined back by equality, so a line
-that stands in a third of all documents is one row of the ranking and a splittable key of the join.
+Ranks are made of distinct pairs, counted by partial aggregation, and joined back by equality; pairs and runs
+with more than a 1024th of all rows are joined by broadcast (fewer than 1024 rows), so a line or run that a third of
+all documents have is dealt to no single task.
 
 Cases: null and empty texts have no lines and stay as they are; lines without a word are never deleted
 and do not part runs; a null doc_id counts as the largest; rows of equal doc_id and text are one document
-and get equal results; extra columns are ignored; empty tables give empty results.
+and get equal results; extra columns are returned, but those named like an output (kept, n_lines, n_removed, n_runs)
+give way to it; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -28,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldloom.llm import common
 
@@ -39,8 +44,21 @@ NOT_NEWLINE[10] = False
 DOC = ["doc_id", "th"]
 
 
+def least_runs(words: np.ndarray, docs: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first line, lines) of the least runs; words of each line, and docs the documents' first lines with one more for the end."""
+    n = words.size
+    total = np.concatenate([[0], np.cumsum(words)])
+    first, last = np.repeat(docs[:-1], np.diff(docs)), np.repeat(docs[1:], np.diff(docs))
+    reach = np.searchsorted(total, total[:-1] + min_words)
+    i = np.flatnonzero(reach <= last)
+    back = np.searchsorted(total, total[1:] - min_words, "right") - 1
+    j = np.flatnonzero(back >= first)
+    runs = np.unique(np.concatenate([i * (n + 1) + reach[i] - i, back[j] * (n + 1) + j + 1 - back[j]]))
+    return runs // (n + 1), runs % (n + 1)
+
+
 def line_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, th, pos, line, need): every line with a word; need lines from here on are a least run (0: none is)."""
+    """(doc_id, th, pos, line, needs): every line with a word, and how many lines the least runs have that begin with it."""
 
     def run(it):
         for t in common.batches(it, CHUNK_BYTES):
@@ -51,50 +69,49 @@ def line_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             s, e, n = s[n > 0], e[n > 0], n[n > 0]
             line = common.mix(common.BYTES_1.spans(buf.astype(np.uint64) + np.uint64(1), s, e)).view(np.int64)
             cut = np.searchsorted(s, at)
-            total = np.concatenate([[0], np.cumsum(n)])
-            reach = np.searchsorted(total, total[:-1] + min_words)
-            need = np.where(reach <= np.repeat(cut[1:], np.diff(cut)), reach - np.arange(n.size), 0)
+            first, need = least_runs(n, cut, min_words)
+            needs = pa.ListArray.from_arrays(pa.array(np.searchsorted(first, np.arange(n.size + 1)), pa.int32()), pa.array(need, pa.int32()))
             offsets = pa.array(cut, pa.int32())
-            cols = [pa.ListArray.from_arrays(offsets, pa.array(line)), pa.ListArray.from_arrays(offsets, pa.array(need, pa.int32()))]
+            cols = [pa.ListArray.from_arrays(offsets, pa.array(line)), pa.ListArray.from_arrays(offsets, needs)]
             yield pa.RecordBatch.from_arrays([t.column("doc_id").combine_chunks().fill_null(LAST_ID), t.column("th").combine_chunks(), *cols], ["doc_id", "th", "lines", "needs"])
 
-    rows = common.keyed(docs).mapInArrow(run, "doc_id long, th long, lines array<bigint>, needs array<int>")
+    rows = common.keyed(docs).mapInArrow(run, "doc_id long, th long, lines array<bigint>, needs array<array<int>>")
     rows = rows.select(*DOC, F.posexplode(F.arrays_zip("lines", "needs")).alias("pos", "x"))
-    return rows.select(*DOC, "pos", F.col("x.lines").alias("line"), F.col("x.needs").alias("need"))
+    return rows.select(*DOC, "pos", F.col("x.lines").alias("line"), F.col("x.needs").alias("needs"))
 
 
 def _ranked(keys: DataFrame, *by: str) -> DataFrame:
-    """Distinct keys that occur twice, with a rank that rises in their order."""
-    twice = keys.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    """Distinct keys that occur twice, their number, and a rank that rises in their order."""
+    twice = keys.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1")
     return common.checkpoint(twice.orderBy(*by).withColumn("rank", F.monotonically_increasing_id()))
 
 
 def _later(level: DataFrame, h: int) -> DataFrame:
     """(doc_id, th, pos, need) of the least runs of 2**h to 2**(h + 1) - 1 lines that stand earlier too."""
-    mine = level.where((F.col("need") >= 2**h) & (F.col("need") < 2 ** (h + 1)))
+    mine = level.select(*DOC, "pos", "rank", F.explode(F.filter("needs", lambda x: (x >= 2**h) & (x < 2 ** (h + 1)))).alias("need"))
     if h:
         ends = level.select(*DOC, (F.col("pos") + 2**h).alias("end"), F.col("rank").alias("rank2"))
-        mine = mine.withColumn("end", F.col("pos") + F.col("need")).join(ends, [*DOC, "end"])
+        mine = common.checkpoint(mine.withColumn("end", F.col("pos") + F.col("need")).join(ends, [*DOC, "end"]).drop("end"))
     else:
         mine = mine.withColumn("rank2", F.col("rank"))
-    place = F.struct("doc_id", "th", "pos")
-    first = mine.groupBy("need", "rank", "rank2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
-    return mine.join(first, ["need", "rank", "rank2"]).where(place != F.col("first")).select(*DOC, "pos", "need")
+    place, run = F.struct("doc_id", "th", "pos"), ["need", "rank", "rank2"]
+    first = common.checkpoint(mine.groupBy(run).agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1"))
+    return common.split_join(mine, first, run).where(place != F.col("first")).select(*DOC, "pos", "need")
 
 
 def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, th, runs array<struct<pos, need>>): what to delete, in lines with a word."""
-    lines = line_runs(docs, min_words)
-    level = lines.join(_ranked(lines, "line"), "line").select(*DOC, "pos", "need", "rank").distinct()
+    lines = common.checkpoint(line_runs(docs, min_words))
+    level = common.split_join(lines, _ranked(lines, "line"), ["line"]).select(*DOC, "pos", "needs", "rank").distinct()
     level, found = common.checkpoint(level), []
-    longest, h = level.agg(F.max("need")).first()[0] or 0, 0
+    longest, h = level.agg(F.max(F.array_max("needs"))).first()[0] or 0, 0
     while True:
         found.append(_later(level, h))
         if 2 ** (h + 1) > longest:
             break
         next_ = level.select(*DOC, (F.col("pos") - 2**h).alias("pos"), F.col("rank").alias("rank2"))
-        pairs = level.withColumnRenamed("rank", "rank1").join(next_, [*DOC, "pos"])
-        level = common.checkpoint(pairs.join(_ranked(pairs, "rank1", "rank2"), ["rank1", "rank2"]).select(*DOC, "pos", "need", "rank"))
+        pairs = common.checkpoint(level.withColumnRenamed("rank", "rank1").join(next_, [*DOC, "pos"]))
+        level = common.checkpoint(common.split_join(pairs, _ranked(pairs, "rank1", "rank2"), ["rank1", "rank2"]).select(*DOC, "pos", "needs", "rank"))
         h += 1
     rows = found[0]
     for x in found[1:]:
@@ -102,35 +119,38 @@ def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return rows.groupBy(*DOC).agg(F.collect_list(F.struct("pos", "need")).alias("runs"))
 
 
+OUTPUTS = ["kept", "n_lines", "n_removed", "n_runs"]
+
+
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with kept (the text without the deleted lines), n_lines, n_removed and n_runs (maximal deleted runs)."""
+    gone = deletions(docs, min_words).select(F.struct("doc_id", "th").alias("key"), "runs")
+    docs = docs.drop(*OUTPUTS)
     names = docs.columns
-    gone = deletions(docs, min_words).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("runs").alias("_runs"))
-    both = docs.join(gone, (F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)) == F.col("_id")) & (F.xxhash64("text") == F.col("_th")), "left").drop("_id", "_th")
+    # The documents' columns go as one, so that no name of theirs can be one of ours.
+    own = docs.select(F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc_id"), F.xxhash64("text").alias("th")).alias("key"), F.struct(*(docs[c] for c in names)).alias("row"), F.col("text"))
+    both = own.join(gone, "key", "left").select("row", "text", "runs")
 
     def run(it):
         for b in common.batches(it, CHUNK_BYTES):
             kept, figures = [], []
-            for t, runs in zip(b.column("text").to_pylist(), b.column("_runs").to_pylist(), strict=True):
+            for t, runs in zip(b.column("text").to_pylist(), b.column("runs").to_pylist(), strict=True):
                 lines = t.split("\n") if t is not None else []
                 real = [i for i, x in enumerate(lines) if x.strip(" \t\n\x0b\x0c\r")]
-                n_runs = 0
                 if runs:
                     x = np.array([(r["pos"], r["pos"] + r["need"]) for r in runs])
                     cover = common.covered(len(real), x[:, 0], x[:, 1])
-                    n_runs = len(common.runs(cover)[0])
                     out = {real[i] for i in np.flatnonzero(cover).tolist()}
                     kept.append("\n".join(x for i, x in enumerate(lines) if i not in out))
-                    figures.append((len(real), int(cover.sum()), n_runs))
+                    figures.append((len(real), int(cover.sum()), len(common.runs(cover)[0])))
                 else:
                     kept.append(t)
                     figures.append((len(real), 0, 0))
             more = list(zip(*figures, strict=True)) or [[]] * 3
-            cols = [b.column(c).combine_chunks() for c in names]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(kept, pa.string()), *(pa.array(x, pa.int64()) for x in more)], [*names, "kept", "n_lines", "n_removed", "n_runs"])
+            yield pa.RecordBatch.from_arrays([b.column("row").combine_chunks(), pa.array(kept, pa.string()), *(pa.array(x, pa.int64()) for x in more)], ["row", *OUTPUTS])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return both.mapInArrow(run, f"{fields}, kept string, n_lines long, n_removed long, n_runs long")
+    schema = T.StructType([T.StructField("row", both.schema["row"].dataType)]).add("kept", "string").add("n_lines", "long").add("n_removed", "long").add("n_runs", "long")
+    return both.mapInArrow(run, schema).select("row.*", *OUTPUTS)
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,7 +167,8 @@ w AS (SELECT *, CAST(len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS pos, sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM w WHERE n > 0),
 d AS (SELECT doc_id, list(line ORDER BY pos) AS lines, list(upto ORDER BY pos) AS sums FROM r GROUP BY doc_id),
 e AS (SELECT doc_id, pos, lines, list_filter(range(pos, least(pos + 10, len(lines) + 1)), lambda j: sums[j] - upto + n >= 10)[1] AS last FROM r JOIN d USING (doc_id)),
-g AS (SELECT doc_id, pos, last, array_to_string(lines[pos:last], chr(10)) AS run FROM e WHERE last IS NOT NULL),
+b AS (SELECT doc_id, list_filter(range(greatest(1, pos - 9), pos + 1), lambda j: upto - coalesce(sums[j - 1], 0) >= 10)[-1] AS pos, lines, pos AS last FROM r JOIN d USING (doc_id)),
+g AS (SELECT DISTINCT doc_id, pos, last, array_to_string(lines[pos:last], chr(10)) AS run FROM (SELECT * FROM e UNION ALL SELECT * FROM b) WHERE pos IS NOT NULL AND last IS NOT NULL),
 f AS (SELECT doc_id, pos, last FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, pos) AS k FROM g) WHERE k > 1),
 x AS (SELECT DISTINCT doc_id, unnest(range(pos, last + 1)) AS pos FROM f),
 k AS (SELECT w.doc_id, w.i, w.line, x.pos IS NOT NULL AS gone, r.pos AS p FROM w LEFT JOIN r USING (doc_id, i) LEFT JOIN x ON x.doc_id = w.doc_id AND x.pos = r.pos)

@@ -37,3 +37,18 @@ def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame([(1, "a", "s")], "doc_id long, text string, source string")
     plan = hr.base_figures(df)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
+
+
+def test_hot_hosts(spark, monkeypatch):
+    monkeypatch.setattr(hr.common, "HOT_PART", 3)
+    test_figures_and_verdicts(spark)
+
+
+def test_a_rate_of_just_the_limit_is_no_rejection(spark):
+    df = spark.createDataFrame([(i, "short", "h") for i in range(5)], "doc_id long, text string, source string")
+    assert {r.rate for r in hr.host_rates(hr.base_figures(df)).collect()} == {1.0}
+    good = " ".join(f"w{i}" for i in range(60))
+    df = df.unionByName(spark.createDataFrame([(9, good, "h")], "doc_id long, text string, source string"))
+    rate = hr.host_rates(hr.base_figures(df)).first().rate
+    kept = lambda most: {r.doc_id for r in hr.verdicts(df, most_failures=most).collect() if r.kept}
+    assert kept(rate) == {9} and kept(rate - 1e-9) == set()

@@ -4,7 +4,7 @@ from fieldloom.llm import line_dedup as ld
 
 
 def brute(rows, m=10):
-    seen, gone = {}, []
+    """Every run of m words or more that stood before; m lines have them, and longer runs are unions of such."""
     order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0))
     out = [None] * len(rows)
     runs = {}
@@ -14,13 +14,12 @@ def brute(rows, m=10):
         cut = set()
         for a in range(len(real)):
             n = 0
-            for b in range(a, len(real)):
+            for b in range(a, min(a + m, len(real))):
                 n += len(lines[real[b]].split())
                 if n >= m:
                     run = tuple(lines[real[i]] for i in range(a, b + 1))
                     if runs.setdefault(run, (k, a)) != (k, a):
                         cut |= {real[i] for i in range(a, b + 1)}
-                    break
         out[k] = (rows[k][0], None if rows[k][1] is None else "\n".join(x for i, x in enumerate(lines) if i not in cut), len(real), len(cut))
     return sorted(out, key=str)
 
@@ -48,3 +47,21 @@ def test_edges(spark):
 def test_same_row_twice(spark):
     df = spark.createDataFrame([(1, " ".join("abcdefghij"))] * 2, "doc_id long, text string")
     assert [r.n_removed for r in ld.dedup(df).collect()] == [0, 0]
+
+
+def test_the_short_end_of_a_run_goes_too(spark):
+    text = " ".join("abcdefghij") + "\nshort end"
+    check(spark, [(1, text), (2, text), (3, "else\n" + text + "\nmore"), (4, "short end")])
+
+
+def test_columns_that_have_the_output_names(spark):
+    df = spark.createDataFrame([(1, " ".join("abcdefghij"), "x", 5, 7), (2, " ".join("abcdefghij"), "y", 6, 8)], "doc_id long, text string, kept string, n_lines int, _id int")
+    got = ld.dedup(df).orderBy("doc_id").collect()
+    assert [(r.kept, r.n_lines, r.n_removed, r._id) for r in got] == [(" ".join("abcdefghij"), 1, 0, 7), ("", 1, 1, 8)]
+
+
+def test_hot_lines_and_runs(spark, monkeypatch):
+    monkeypatch.setattr(ld.common, "HOT_PART", 4)
+    ten = " ".join("abcdefghij")
+    rows = [(i, f"w{i}\n" + (ten if i % 3 else "a b c d e\nf g h i j k") + f"\nq{i % 5} q q q q q q q q q") for i in range(40)]
+    check(spark, [*rows, (None, ten), (50, None)])
