@@ -4,14 +4,18 @@ A document's fingerprint has a bit set if over half of its shingles' XXH64 have
 differ in at most three bits are linked, and linked documents form components.
 
 1. Fingerprints are computed per batch, and equal ones become one node: copies are never paired.
-2. Three bits touch three of six blocks of bits at most, so linked nodes agree in three whole blocks
-   (20 choices, 31 to 33 bits each). A node meets the others that share such a key; keys that
-   one node has are dropped.
-3. The nodes of a key carry their Hamming distances to `PIVOTS` reference fingerprints. By the
-   triangle inequality a pair whose distances to any pivot differ by more than three is no link; the
-   survivors are verified by their own distance. A key's links leave the task as a spanning forest,
-   never as pairs. A key of many nodes is dealt out as pairs of chunks, so no task gets the whole.
-4. Components of the forests' links; the least doc_id of each names it.
+2. The pivot table: every node's Hamming distances to `PIVOTS` reference fingerprints, computed once and
+   kept with it. By the triangle inequality a pair with a distance to any pivot that differs by more than
+   three is no link.
+3. Three bits touch three of five blocks of bits at most, so linked nodes agree in two whole blocks
+   (10 choices, 25 or 26 bits each). A node, with its row of the table, meets the others that share such
+   a key; keys that one node has are dropped.
+4. The nodes of a key are sorted by their distance to the first pivot, and each is compared with those whose
+   first coordinate is at most three more: the work is that of the pairs the first pivot leaves. The other
+   coordinates discard all but few, which are verified by their own distance. A key's links leave the
+   task as a spanning forest, never as pairs. A key of many nodes is dealt out as pairs of chunks, and a task
+   reads its groups one after the other, so none holds more than about two chunks.
+5. Components of the forests' links; the least doc_id of each names it.
 
 Work in a key grows with the square of its different fingerprints (not documents), spread over tasks.
 
@@ -39,8 +43,10 @@ PIVOTS = 16
 CHUNK_BYTES = 512 << 10
 #: Nodes of one key that a task compares at once, at least and at most; between them, a 32nd of the key.
 CHUNK_LOW, CHUNK_HIGH, CHUNK_PARTS = 512, 8192, 32
-_EDGES = [0, 11, 22, 33, 44, 54, 64]
-MASKS = [sum(((1 << _EDGES[b + 1]) - (1 << _EDGES[b])) for b in kept) for kept in itertools.combinations(range(6), 3)]
+#: Rows of a partition that are read before whole groups of them are compared.
+READ_ROWS = 1 << 15
+_EDGES = [0, 13, 26, 39, 52, 64]
+MASKS = [sum(((1 << _EDGES[b + 1]) - (1 << _EDGES[b])) for b in kept) for kept in itertools.combinations(range(5), 2)]
 _REFERENCES = common.mix(np.arange(1, PIVOTS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -79,20 +85,37 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
-def _forest(group: np.ndarray, fp: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links within groups as (fingerprint, another of its tree)."""
-    by = np.lexsort((fp, group))
-    group, fp = group[by], fp[by]
+def pivot_table(nodes: DataFrame) -> DataFrame:
+    """nodes(fp, ...) with pivots: PIVOTS bytes, the distances to the references."""
+    names = nodes.columns
+
+    def run(it):
+        for b in it:
+            fp = b.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
+            table = np.bitwise_count(fp[:, None] ^ _REFERENCES).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([r.tobytes() for r in table], pa.binary())], [*names, "pivots"])
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in nodes.schema)
+    return nodes.mapInArrow(run, f"{schema}, pivots binary")
+
+
+def forest(group: np.ndarray, fp: np.ndarray, table: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Links within groups as (fingerprint, another of its tree), and how many pairs the table left to be verified."""
+    by = np.lexsort((fp, table[:, 0], group))
+    group, fp, table = group[by], fp[by], table[by].astype(np.int8)
     first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     size = np.diff(np.append(first, group.size))
     left = np.repeat(first + size, size) - np.arange(group.size)  # rows from this one to the group's end
-    table = np.bitwise_count(fp[:, None] ^ _REFERENCES).astype(np.int8)
-    root = np.arange(group.size)
+    root, near, verified = np.arange(group.size), np.arange(group.size), 0
     for d in range(1, int(size.max(initial=1))):
-        i = np.flatnonzero(left > d)
-        for p in range(PIVOTS):
-            if i.size:
-                i = i[np.abs(table[i, p] - table[i + d, p]) <= most]
+        near = near[left[near] > d]
+        near = near[table[near + d, 0] - table[near, 0] <= most]  # in order of this coordinate: what is too far stays so
+        if not near.size:
+            break
+        i = near
+        for p in range(1, PIVOTS):
+            i = i[np.abs(table[i, p] - table[i + d, p]) <= most]
+        verified += i.size
         i = i[np.bitwise_count(fp[i] ^ fp[i + d]) <= most]
         a, b = root[i], root[i + d]
         while (a != b).any():
@@ -101,37 +124,53 @@ def _forest(group: np.ndarray, fp: np.ndarray, most: int) -> tuple[np.ndarray, n
                 root = root[root]
             a, b = root[i], root[i + d]
     own = root != np.arange(group.size)
-    return fp[own], fp[root[own]]
+    return fp[own], fp[root[own]], verified
 
 
 def links(nodes: DataFrame, most: int = MOST_BITS) -> DataFrame:
-    """(u, v): a spanning set of the links between different fingerprints of nodes(fp)."""
+    """(u, v): a spanning set of the links between different fingerprints of nodes(fp, pivots); the table is made here if nodes come without."""
+    if "pivots" not in nodes.columns:
+        nodes = pivot_table(nodes)
     if most > MOST_BITS:
-        raise ValueError(f"six blocks find links of up to {MOST_BITS} bits")
-    keys = nodes.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m - (m >> 63 << 64)).cast("long")) for m in MASKS])).alias("t", "key"))
+        raise ValueError(f"five blocks find links of up to {MOST_BITS} bits")
+    keys = nodes.select("fp", "pivots", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m - (m >> 63 << 64)).cast("long")) for m in MASKS])).alias("t", "key"))
     many = keys.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
     met = keys.join(many, ["t", "key"])
     chunk = F.least(F.lit(CHUNK_HIGH), F.greatest(F.lit(CHUNK_LOW), F.ceil(F.col("n") / CHUNK_PARTS)))
     parts = F.ceil(F.col("n") / chunk).cast("int")
-    dealt = met.select("fp", "t", "key", parts.alias("c"), F.pmod(F.xxhash64("fp"), parts).cast("int").alias("own")).select(
-        "fp", "t", "key", "own", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("other")
+    dealt = met.select("fp", "pivots", "t", "key", parts.alias("c"), F.pmod(F.xxhash64("fp"), parts).cast("int").alias("own")).select(
+        "fp", "pivots", "t", "key", "own", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("other")
     )
-    dealt = dealt.select("fp", F.xxhash64("t", "key", F.least("own", "other"), F.greatest("own", "other")).alias("g"))
+    dealt = dealt.select("fp", "pivots", F.xxhash64("t", "key", F.least("own", "other"), F.greatest("own", "other")).alias("g"))
 
-    def run(it):
-        got = [(b.column("g").to_numpy(zero_copy_only=False), b.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)) for b in it if b.num_rows]
-        if got:
-            u, v = _forest(*map(np.concatenate, zip(*got, strict=True)), most)
-            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
+    def compared(g, fp, pivots):
+        table = np.frombuffer(b"".join(pivots), np.uint8).reshape(-1, PIVOTS)
+        u, v, _ = forest(g, fp.view(np.uint64), table, most)
+        return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
 
-    return dealt.repartition("g").mapInArrow(run, "u long, v long")
+    def run(it):
+        # Rows come in order of g: whole groups are compared as soon as the next one begins.
+        kept, n = [], 0
+        for b in it:
+            kept.append((b.column("g").to_numpy(zero_copy_only=False), b.column("fp").to_numpy(zero_copy_only=False), b.column("pivots").to_pylist()))
+            n += b.num_rows
+            if n >= READ_ROWS and kept[-1][0].size and kept[-1][0][0] != kept[-1][0][-1]:
+                g, fp = (np.concatenate([x[k] for x in kept]) for k in (0, 1))
+                pivots = [y for x in kept for y in x[2]]
+                cut = int(np.searchsorted(g, g[-1]))
+                yield compared(g[:cut], fp[:cut], pivots[:cut])
+                kept, n = [(g[cut:], fp[cut:], pivots[cut:])], n - cut
+        if n:
+            yield compared(*(np.concatenate([x[k] for x in kept]) for k in (0, 1)), [y for x in kept for y in x[2]])
+
+    return dealt.repartition("g").sortWithinPartitions("g").mapInArrow(run, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, most: int = MOST_BITS) -> DataFrame:
     """(doc_id, fp, component_id), one row per row of docs."""
     prints = common.checkpoint(fingerprints(docs, size))
-    nodes = common.checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    root = components(links(nodes.select("fp"), most)).select(F.col("u").alias("fp"), F.col("v").alias("root"))
+    nodes = common.checkpoint(pivot_table(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))))
+    root = components(links(nodes.select("fp", "pivots"), most)).select(F.col("u").alias("fp"), F.col("v").alias("root"))
     placed = nodes.join(root, "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     least = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = placed.join(least, "root").select("fp", "component_id")

@@ -90,3 +90,22 @@ def test_long_chain(spark):
     e = spark.range(300).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
     assert components(e).where("v != 0").count() == 0
     assert components(e).count() == 300
+
+
+def test_the_table_discards_pairs():
+    rnd = np.random.default_rng(5)
+    fp = np.unique(np.concatenate([rnd.integers(0, 1 << 63, 400).astype(np.uint64), np.uint64(1) << np.arange(8, dtype=np.uint64)]))
+    table = np.bitwise_count(fp[:, None] ^ simhash._REFERENCES).astype(np.uint8)
+    u, v, verified = simhash.forest(np.zeros(fp.size, np.int64), fp, table, 3)
+    assert len(u) == 7 and 28 <= verified < 0.01 * fp.size**2 / 2
+    _, _, every = simhash.forest(np.zeros(fp.size, np.int64), fp, np.zeros_like(table), 3)
+    assert every == fp.size * (fp.size - 1) // 2
+
+
+def test_groups_that_span_arrow_batches(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "READ_ROWS", 5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        test_one_dense_key(spark)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
