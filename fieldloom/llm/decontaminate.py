@@ -4,23 +4,27 @@ A window is `span` consecutive words of a benchmark item (an item of fewer words
 document word inside any occurrence of a window is hit. Both sides are fingerprinted alike: of every
 run of `span - gram + 1` consecutive gram hashes, which is `span` words, the least is kept. Equal
 runs keep equal hashes, so every shared span of `span` words or more meets in a kept fingerprint.
-Documents' fingerprints are looked up among the benchmark's; each that meets is extended to the
-window around it, first by a 64-bit hash of the window and then word by word. A shorter item is
-fingerprinted by the one gram it is.
+A shorter item is fingerprinted by the one gram it is.
 
-The benchmark goes to the executors in blocks of at most `block` windows, so what is broadcast is
-bounded; each block is one pass over the documents, with a checkpoint between passes. One block is the
-common case: one pass, without a shuffle.
+1. The benchmark becomes a table of different windows (words, kept hash, items).
+2. Documents' kept hashes are matched with the benchmark's. The benchmark's different hashes are broadcast
+   if they are at most `block`, which is counted (8 bytes each); else they are joined by hash, and the documents with a
+   hash in common are read again. Each hash that meets is extended to the `span` words around it: these are a document's
+   candidates, equal ones once with all their places.
+3. Candidates are joined with the windows by hash and words, word by word equal. Windows that more than a 1024th of
+   the candidates are go by broadcast (fewer than 1024), the rest by key.
+4. Places and items of each document are gathered and joined to the documents' word counts.
+
+Only candidates, word counts and keys are shuffled, no texts.
 
 Cases: null and empty texts have no words and no hits; null item texts and items without a word have
 no window; a null item_id is left out of the item lists but its windows count; repeated items count
 once each item_id; repeated documents get equal rows; texts are read whole; extra columns are
-ignored.
+ignored by report and returned by clean.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 
 import numpy as np
@@ -31,12 +35,17 @@ from pyspark.sql import functions as F
 from fieldloom.llm import common
 
 SPAN, GRAM = 10, 5
-BLOCK = 1_000_000
+#: Different hashes of the benchmark that may be broadcast, and keys of contaminated documents: 8 and 16 bytes each.
+BLOCK = 1 << 21
 CHUNK_BYTES = 1 << 20
+#: Rows that leave a task at once.
+OUT_ROWS = 1 << 15
+LAST_ID = np.iinfo(np.int64).max
 #: Fixed: the bytes of `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` after A-Z became a-z.
 WORD_BYTES = np.zeros(256, bool)
 WORD_BYTES[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 _WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")
+_WINDOW = ["m", "print", "words"]
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -53,135 +62,155 @@ def least(h: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-class Fingerprints:
-    """What one pass looks for: windows of m words for each m, their kept hashes and their items."""
+def kept_hashes(h: np.ndarray, m: int) -> np.ndarray:
+    """For every run of m word hashes the gram hash that winnowing keeps; for fewer than SPAN words, the run's own."""
+    if h.size < m:
+        return np.zeros(0, np.uint64)
+    gram = GRAM if m == SPAN else m
+    j = np.arange(h.size - gram + 1)
+    return least(common.mix(common.WORDS_1.spans(h, j, j + gram)), m - gram + 1)
+
+
+def windows(benchmark: DataFrame) -> DataFrame:
+    """(m, print, words, items): the different windows, of m words each."""
+
+    def run(it):
+        for t in common.batches(it, CHUNK_BYTES):
+            texts = common.texts_of(t.column("text"))
+            h, _, counts = common.word_hashes(texts, WORD_BYTES, common.LOWER, both=False)
+            at = np.cumsum(counts) - counts
+            for item, text, a, n in zip(t.column("item").to_pylist(), texts, at.tolist(), counts.tolist(), strict=True):
+                m, w = min(SPAN, n), words_of(text)
+                prints = kept_hashes(h[a : a + n], m).view(np.int64) if m else ()
+                for i in range(0, len(prints), OUT_ROWS):
+                    own = prints[i : i + OUT_ROWS]
+                    cols = [pa.array([item] * len(own), pa.string()), pa.array([m] * len(own), pa.int32()), pa.array(own), pa.array([b" ".join(w[k : k + m]) for k in range(i, i + len(own))], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(cols, ["item", *_WINDOW])
+
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").mapInArrow(run, "item string, m int, print long, words binary")
+    return common.checkpoint(rows.groupBy(*_WINDOW).agg(F.collect_set("item").alias("items")))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return common.keyed(docs).select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("doc_id"), "th", "text")
 
-    def __init__(self, windows: dict[tuple[bytes, ...], list]):
-        self.windows = windows
-        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        for m in sorted({len(w) for w in windows}):
-            kept, whole = fingerprints([b" ".join(w) for w in windows if len(w) == m], m)
-            marks = np.zeros(1 << max(16, int(kept.size).bit_length() + 5), bool)
-            marks[(kept & np.uint64(marks.size - 1)).astype(np.int64)] = True
-            self.by_length[m] = marks, np.unique(kept), np.unique(whole)
 
-    def hits(self, texts: list[bytes]) -> list[tuple[int, int, set]]:
-        """Per text: words, hit words, items."""
-        h, _, counts = common.word_hashes(texts, WORD_BYTES, common.LOWER, both=False)
+def _prints_of(docs: DataFrame, lengths: list[int]) -> DataFrame:
+    """(doc_id, th, m, print): every document's kept hashes, each once."""
+
+    def run(it):
+        for t in common.batches(it, CHUNK_BYTES):
+            h, _, counts = common.word_hashes(common.texts_of(t.column("text")), WORD_BYTES, common.LOWER, both=False)
+            ends = np.cumsum(counts)
+            for m in lengths:
+                low = kept_hashes(h, m)
+                i = np.flatnonzero(np.arange(low.size) + m <= np.repeat(ends, counts)[: low.size])
+                doc, low = np.searchsorted(ends, i, "right"), low[i].view(np.int64)
+                by = np.lexsort((low, doc))
+                one = by[np.concatenate([[True], (np.diff(doc[by]) != 0) | (np.diff(low[by]) != 0)])[: by.size]]
+                for x in np.split(one, range(OUT_ROWS, one.size, OUT_ROWS)):
+                    row = pa.array(doc[x])
+                    yield pa.RecordBatch.from_arrays([t.column(c).combine_chunks().take(row) for c in ("doc_id", "th")] + [pa.array(np.full(x.size, m, np.int32)), pa.array(low[x])], ["doc_id", "th", "m", "print"])
+
+    return _keyed(docs).mapInArrow(run, "doc_id long, th long, m int, print long")
+
+
+def candidates(docs: DataFrame, table: DataFrame, block: int = BLOCK) -> DataFrame:
+    """One row for each document, with n_words, and one for each window of it (m, print, words, places) whose kept hash the table has."""
+    prints = common.checkpoint(table.select("m", "print").distinct())
+    lengths = sorted(r["m"] for r in prints.select("m").distinct().collect())  # SPAN at most
+    if prints.count() <= block:
+        found = prints.toPandas()
+        sent = docs.sparkSession.sparkContext.broadcast({m: np.sort(found["print"][found["m"] == m].to_numpy(np.int64).view(np.uint64)) for m in lengths})
+        own = _keyed(docs).withColumn("prints", F.lit(None).cast("array<struct<m:int,print:bigint>>"))
+    else:
+        sent = None
+        met = _prints_of(docs, lengths).distinct().join(prints, ["m", "print"], "left_semi")
+        met = met.groupBy("doc_id", "th").agg(F.collect_list(F.struct("m", "print")).alias("prints"))
+        own = _keyed(docs).join(met, ["doc_id", "th"], "left").withColumn("prints", F.coalesce("prints", F.array().cast("array<struct<m:int,print:bigint>>")))
+
+    def marked(keys):
+        marks = np.zeros(1 << max(16, int(keys.size).bit_length() + 5), bool)
+        marks[(keys & np.uint64(marks.size - 1)).astype(np.int64)] = True
+        return marks
+
+    def table_of(batch):
+        """The hashes looked for among a batch's documents: a superset of each document's is enough."""
+        if sent is not None:
+            return sent.value
+        flat = {}
+        for row in batch.column("prints").to_pylist():
+            for x in row:
+                flat.setdefault(x["m"], set()).add(x["print"])
+        return {m: np.sort(np.fromiter(v, np.int64, len(v)).view(np.uint64)) for m, v in flat.items()}
+
+    names = ["doc_id", "th", "n_words", *_WINDOW, "places"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+
+    def rows_of(t, texts, h, counts, marks):
         at = np.concatenate([[0], np.cumsum(counts)])
+        ids, th = t.column("doc_id").to_pylist(), t.column("th").to_pylist()
+        for d, n in enumerate(counts.tolist()):
+            yield ids[d], th[d], n, None, None, None, None
+        looked_for = table_of(t)
+        if sent is None:
+            marks = {m: marked(keys) for m, keys in looked_for.items()}
         ends = np.repeat(at[1:], counts)
-        found: dict[int, list[tuple[int, int]]] = {}
-        for m, (marks, kept, whole) in self.by_length.items():
-            if h.size < m:
-                continue
-            low, full = _runs_of(h, m)
-            i = np.flatnonzero(marks[(low & np.uint64(marks.size - 1)).astype(np.int64)])
+        for m, keys in looked_for.items():
+            low = kept_hashes(h, m)
+            i = np.flatnonzero(marks[m][(low & np.uint64(marks[m].size - 1)).astype(np.int64)])
             i = i[i + m <= ends[i]]
-            i = i[np.isin(low[i], kept)]
-            i = i[np.isin(full[i], whole)]
-            for j, d in zip(i.tolist(), (np.searchsorted(at, i, "right") - 1).tolist(), strict=True):
-                found.setdefault(d, []).append((j - int(at[d]), m))
-        out = []
-        for d, n in enumerate(counts.tolist()):
-            hit, items = 0, set()
-            if d in found:
-                w, seen = words_of(texts[d]), np.zeros(n, bool)
-                for i, m in found[d]:
-                    own = self.windows.get(tuple(w[i : i + m]))
-                    if own is not None:
-                        seen[i : i + m] = True
-                        items.update(own)
-                hit = int(seen.sum())
-            out.append((n, hit, items, seen if hit else None))
-        return out
-
-
-def _runs_of(h: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
-    """For every run of m words: its least gram hash and the hash of the whole."""
-    i = np.arange(h.size - m + 1)
-    full = common.mix(common.WORDS_1.spans(h, i, i + m))
-    if m < SPAN:
-        return full, full
-    j = np.arange(h.size - GRAM + 1)
-    return least(common.mix(common.WORDS_2.spans(h, j, j + GRAM)), m - GRAM + 1), full
-
-
-def fingerprints(texts: list[bytes], m: int) -> tuple[np.ndarray, np.ndarray]:
-    h, _, counts = common.word_hashes(texts, WORD_BYTES, common.LOWER, both=False)
-    at = np.concatenate([[0], np.cumsum(counts)])
-    i = np.arange(max(0, h.size - m + 1))
-    low, full = _runs_of(h, m)
-    own = i + m <= np.repeat(at[1:], counts)[i]
-    return low[own], full[own]
-
-
-def windows_of(rows) -> dict[tuple[bytes, ...], list]:
-    out: dict[tuple[bytes, ...], set] = {}
-    for item, text in rows:
-        w = words_of((text or "").encode())
-        m = min(SPAN, len(w))
-        for i in range(len(w) - m + 1 if m else 0):
-            out.setdefault(tuple(w[i : i + m]), set()).update([] if item is None else [str(item)])
-    return {k: sorted(v) for k, v in out.items()}
-
-
-def blocks(benchmark: DataFrame, block: int = BLOCK):
-    """The benchmark in parts of about `block` windows; only one part is on the driver at a time."""
-    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
-    n_words = F.size(F.split(F.coalesce("text", F.lit("")), "[^0-9A-Za-z\\x{80}-\\x{10FFFF}]+"))
-    total = rows.agg(F.sum(n_words)).first()[0] or 0
-    n = -(-int(total) // block) or 1
-    for b in range(n):
-        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b)
-        yield windows_of(part.toLocalIterator())
+            i = i[keys[np.minimum(np.searchsorted(keys, low[i]), keys.size - 1)] == low[i]]
+            doc = np.searchsorted(at, i, "right") - 1
+            for x in common.split_by(doc, i):
+                d = int(np.searchsorted(at, x[0], "right") - 1)
+                w, places = words_of(texts[d]), {}
+                for k, p in zip((x - at[d]).tolist(), low[x].view(np.int64).tolist(), strict=True):
+                    places.setdefault((p, b" ".join(w[k : k + m])), []).append(k)
+                for (p, window), where in places.items():
+                    yield ids[d], th[d], None, m, p, window, common.pack_sorted(np.array(where))
 
+    def run(it):
+        marks = {m: marked(keys) for m, keys in sent.value.items()} if sent is not None else None
+        for t in common.batches(it, CHUNK_BYTES):
+            texts = common.texts_of(t.column("text"))
+            h, _, counts = common.word_hashes(texts, WORD_BYTES, common.LOWER, both=False)
+            out = []
+            for r in rows_of(t, texts, h, counts, marks):
+                out.append(r)
+                if len(out) == OUT_ROWS:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+                    out = []
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-def hits(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
-    """docs' doc_id with n_words, hit (packed numbers of hit words) and items (array of item_id)."""
-    df = docs.select("doc_id", "text", F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("binary").alias("hit"), F.array().cast("array<string>").alias("items"))
-    first = True
-    for windows in blocks(benchmark, block):
-        if not first:
-            df = common.checkpoint(df)
-        df = _one_pass(df, docs.sparkSession.sparkContext.broadcast(windows))
-        first = False
-    return df.drop("text")
+    return own.mapInArrow(run, "doc_id long, th long, n_words long, m int, print long, words binary, places binary")
 
 
-def _one_pass(df: DataFrame, windows) -> DataFrame:
-    names = df.columns
+def verified(found: DataFrame, table: DataFrame) -> DataFrame:
+    """(doc_id, th, m, places, items): the candidates that are windows, by their very words."""
+    own = found.where("m IS NOT NULL").drop("n_words").distinct()
+    met = common.checkpoint(own.groupBy(*_WINDOW).agg(F.count("*").alias("n")).join(table, _WINDOW))
+    return common.split_join(own, met, _WINDOW).select("doc_id", "th", "m", "places", "items")
 
-    def run(it):
-        prints = Fingerprints(windows.value)
-        for t in common.batches(it, CHUNK_BYTES):
-            n, hit, items = [], [], []
-            for (words, _, own, seen), before, had in zip(prints.hits(common.texts_of(t.column("text"))), t.column("hit").to_pylist(), t.column("items").to_pylist(), strict=True):
-                n.append(words)
-                places = np.zeros(0, np.int64) if seen is None else np.flatnonzero(seen)
-                if before:
-                    places = np.union1d(places, common.unpack_sorted(before))
-                hit.append(common.pack_sorted(places) or None)
-                items.append(sorted(own | set(had)))
-            cols = [t.column("doc_id").combine_chunks(), t.column("text").combine_chunks(), pa.array(n, pa.int64()), pa.array(hit, pa.binary()), pa.array(items, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(cols, names)
 
-    return df.mapInArrow(run, df.schema)
+def hits(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
+    """One row for each row of docs: doc_id, n_words, hit (array of (m, packed places) of windows) and items, in order; both null without a hit."""
+    table = windows(benchmark)
+    found = common.checkpoint(candidates(docs, table, block))
+    own = verified(found, table).groupBy("doc_id", "th").agg(F.collect_list(F.struct("m", "places")).alias("hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    rows = found.where("m IS NULL").select("doc_id", "th", "n_words").join(own, ["doc_id", "th"], "left")
+    return rows.select(F.when(F.col("doc_id") != LAST_ID, F.col("doc_id")).alias("doc_id"), "n_words", "hit", "items")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
     """The rows of docs without a hit, with all their columns."""
-    names, schema, df = docs.columns, docs.schema, docs
-    for k, windows in enumerate(blocks(benchmark, block)):
-        sent = docs.sparkSession.sparkContext.broadcast(windows)
-
-        def run(it, sent=sent):
-            prints = Fingerprints(sent.value)
-            for t in common.batches(it, CHUNK_BYTES):
-                kept = [not n for _, n, _, _ in prints.hits(common.texts_of(t.column("text")))]
-                yield from t.select(names).filter(pa.array(kept)).combine_chunks().to_batches()
-
-        df = (common.checkpoint(df) if k else df).mapInArrow(run, schema)
-    return df
+    table = windows(benchmark)
+    found = common.checkpoint(candidates(docs, table, block).where("m IS NOT NULL"))
+    gone = common.checkpoint(verified(found, table).select(F.struct("doc_id", "th").alias("key")).distinct())
+    key = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc_id"), F.xxhash64("text").alias("th"))
+    rows = docs.select(key.alias("key"), F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    return rows.join(F.broadcast(gone) if gone.count() <= block else gone, "key", "left_anti").select("row.*")
 
 
 def report(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -189,13 +218,19 @@ def report(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFra
 
     def run(it):
         for b in it:
-            n_hit = [len(common.unpack_sorted(x or b"")) for x in b.column("hit").to_pylist()]
-            items = b.column("items").to_pylist()
-            sha = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
-            cols = [b.column("doc_id"), b.column("n_words"), pa.array(n_hit, pa.int64()), pa.array(map(len, items), pa.int64()), pa.array(sha, pa.string()), pa.array([x > 0 for x in n_hit], pa.bool_())]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
-
-    return hits(docs, benchmark, block).mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+            n_hit = []
+            for n, hit in zip(b.column("n_words").to_pylist(), b.column("hit").to_pylist(), strict=True):
+                if hit:
+                    places = [common.unpack_sorted(x["places"]) for x in hit]
+                    ends = [p + x["m"] for p, x in zip(places, hit, strict=True)]
+                    n_hit.append(int(common.covered(n, np.concatenate(places), np.concatenate(ends)).sum()))
+                else:
+                    n_hit.append(0)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_words"), pa.array(n_hit, pa.int64()), b.column("items")], ["doc_id", "n_words", "n_hit", "items"])
+
+    rows = hits(docs, benchmark, block).withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
+    rows = rows.mapInArrow(run, "doc_id long, n_words long, n_hit long, items array<string>")
+    return rows.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,3 +55,20 @@ def test_edges(spark):
     check(spark, docs, [])
     check(spark, docs, [(3, None)])
     assert dc.report(spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).count() == 0
+
+
+def test_clean_keeps_all_columns(spark):
+    ten = "one two three four five six seven eight nine ten"
+    docs = [(1, "x " + ten, "a", 1), (1, "other", "b", 2), (None, ten, "c", 3), (None, None, "d", 4), (2, "", "e", 5), (3, ten[4:], "f", 6), (3, ten[4:], "f", 6)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, th string, m int")
+    b = spark.createDataFrame([(7, ten)], "item_id long, text string")
+    for block in (dc.BLOCK, 0):
+        got = dc.clean(d, b, block)
+        assert got.columns == d.columns
+        assert sorted(r.m for r in got.collect()) == [2, 4, 5, 6, 6]
+
+
+def test_hot_windows(spark, monkeypatch):
+    monkeypatch.setattr(dc.common, "HOT_PART", 4)
+    monkeypatch.setattr(dc, "OUT_ROWS", 3)
+    test_random(spark)
