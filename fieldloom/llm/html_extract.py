@@ -1,26 +1,41 @@
 """HTML main-text extraction by wrapper induction.
 
-Pages of one host come from one template. All different pages of a host are parsed to DOM trees, and a
-text at a place (its path of elements and classes) that `CONSTANT_SHARE` of them have, each counted
-once however often it has it, is template; where the text varies it is a slot. Places with their texts are counted by
-64 bits of XXH64, and equal pages (64 bits of hash) are one. The host's wrapper is its template's places and texts.
-Every page is then read with its host's wrapper: text in slots is content, unless it stands in an element
-that is never article text (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles,
-reader comments, by element or by class, id or role) or outside the article where the page marks one.
-
-A page sends its hashes only, counted by partial aggregation, so a host with a third of all pages is no large task. Wrappers are
-broadcast if all of them together are under `BROADCAST_BYTES`, which is checked; else they are joined
-by host, where a large host's pages are split as a skewed key.
-
-Cases: null and empty pages give empty text; a null url is the host ``; a host with fewer than three
-different pages has no template; unclosed elements end with their parent; markup of any length is read whole;
-repeated pages give equal rows; extra columns are ignored; empty tables give empty results.
+Pages of one host come from one template. Each page becomes a DOM tree, and that a folded tree: a block
+without blocks inside is a leaf, so is what stands between blocks, and neighbours of one label (element and
+classes) that are leaves or built alike are one repeated node.
+
+1. A host's wrapper tree is the folded tree that most of its different pages have (ties: the least in order).
+2. All different pages of the host are aligned with it by simple tree matching: nodes match if their labels and
+   their parents do, without crossings, so that as many as possible match. Siblings of one label may be up to
+   `BAND` places apart.
+3. A text at a node that `CONSTANT_SHARE` of the pages have, each counted once however often it has it, is template;
+   the others are slots. (Texts at nodes that match nothing are counted by their path of labels.) Where slots hold text outside
+   links is where content is: the wrapper's region is the smallest element with `REGION_SHARE` of it, each page counting alike.
+4. A page's text is that of the slots in its element that matches the region, and of its h1 headings.
+
+Names come second. Elements that are never article text by element or by class, id or role (menus, headers, footers, sidebars, notices,
+adverts, forms, scripts, styles, reader comments) don't count when the region is looked for and are left out inside it,
+but for classes, ids and roles only if they hold less than half of the page's text. An article or main element, where
+the page marks one, bounds what counts, and is the region where the wrapper's is inside of it. Without a wrapper (fewer than `LEAST_PAGES` different pages) or a match of its region, the
+names alone decide. `names=False` turns them off.
+
+Only hashes and folded trees are sent, counted by partial aggregation, so a host with a third of all pages is no
+large task. Wrappers are joined by broadcast if all of them together are under `BROADCAST_BYTES`, which is checked; else those of
+hosts with more than a 1024th of the pages are, and the rest by host.
+
+Cases: null and empty pages give empty text; a null url is the host ``; unclosed elements end with their parent; a tag that never
+ends is text; elements nested over `DEPTH` deep become siblings, as in browsers; markup of any length is read whole in
+time that grows with its length; repeated pages give equal rows and count once (by 64 bits of hash); extra columns are ignored; empty tables give
+empty results.
 """
 
 from __future__ import annotations
 
+import functools
 import html
+import json
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 import xxhash
@@ -30,177 +45,444 @@ from pyspark.sql import functions as F
 from fieldloom.llm import common
 
 LEAST_PAGES = 3
-CONSTANT_SHARE = 0.75
+CONSTANT_SHARE, REGION_SHARE = 0.75, 0.75
+BAND, DEPTH = 8, 512
 BROADCAST_BYTES = 16 << 20
-#: Below places written in so many characters, elements are read but not told apart.
-DEEP = 2000
 
 #: Fixed: HTML's element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body br dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCK - {"br", "body", "html"}
 NEVER = frozenset("head script style noscript template iframe object svg math canvas nav header footer aside form button select textarea input label dialog menu".split())
-RAW = "script|style|textarea|title|noscript|iframe|template"
+RAW = frozenset("script style textarea title noscript iframe template".split())
+#: Fixed: what ends an open element of the same kind.
+_ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+_BOUNDS = frozenset("ul ol dl table article section div body main".split())
 #: Fixed: words of classes, ids and roles of what is not article text.
 MARKS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notices?|alert|nav\w*|menu|breadcrumbs?|sidebar|side|header|masthead|footer|comments?|replies|disqus|share|social|related|newsletter|subscribe|popup|modal|widget|search|login|complementary|contentinfo|navigation)(?=$|[\s_-])", re.I)
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>", re.S | re.I)
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"'=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|["'=])*+)>""")
 _NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+#: Blocks that are inner nodes even without a block inside, and leaves that can be a region.
+_ALWAYS_INNER, _GENERIC = frozenset(("article", "main", "section", "body")), frozenset(("div", "td", "pre"))
+_DIGITS = re.compile(r"\d+")
 
 
 class Node:
-    __slots__ = ("children", "name", "never", "path", "text")
+    """An element or, with the name "", a text. inner: a block is inside; size: characters of text outside links."""
 
-    def __init__(self, name: str, path: str, never: bool, text: str | None = None):
-        self.name, self.path, self.never, self.text, self.children = name, path, never, text, []
+    __slots__ = ("children", "inner", "label", "marked", "name", "never", "size", "text")
 
+    def __init__(self, name: str, label: str = "", marked: bool = False, text: str | None = None):
+        self.name, self.label, self.marked, self.text = name, label, marked, text
+        self.never, self.inner, self.size, self.children = False, False, 0, []
 
-def parse(page: str) -> Node:
-    """A DOM tree; text nodes have the name "" and their text with references decoded."""
-    root = Node("#", "", False)
-    stack, last = [root], 0
+
+def parse(page: str, names: bool = True) -> Node:
+    """A DOM tree; texts have their references decoded."""
+    root = Node("#", "#")
+    stack, open_, last, at, final = [root], {}, 0, page.find("<"), page.rfind(">")
 
     def text(s: str) -> None:
         if s:
-            top = stack[-1]
-            top.children.append(Node("", top.path, top.never, html.unescape(s) if "&" in s else s))
-
-    for m in _TOKEN.finditer(page):
-        if m.start() > last:
-            text(page[last : m.start()])
-        last = m.end()
-        name = m[3]
-        if name is None:
-            continue  # a comment, a declaration, or an element of raw text: never article text
-        name = name.lower()
-        if m[2]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].name == name:
-                    del stack[i:]
-                    break
+            stack[-1].children.append(Node("", text=html.unescape(s) if "&" in s else s))
+
+    def close(i: int) -> None:
+        for x in stack[i:]:
+            open_[x.name] -= 1
+        del stack[i:]
+
+    while 0 <= at < final:
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4) + 3
+            end = len(page) if end < 3 else end
+            text(page[last:at])
+            last, at = end, page.find("<", end)
+            continue
+        m, after = _TAG.match(page, at), page[at + 1]
+        if m is None:
+            if not (after in "!?" or after.isalpha() or (after == "/" and page[at + 2 : at + 3].isalpha())):
+                at = page.find("<", at + 1)
+                continue
+            end = page.find(">", at) + 1
+            name = "" if after in "!?" else re.match(r"/?([^\s/>]*)", page[at + 1 : end])[1].lower()
+            shut, attributes = after == "/", ""
+        else:
+            end, name, shut, attributes = m.end(), m[2].lower(), bool(m[1]), m[3]
+        text(page[last:at])
+        last, at = end, page.find("<", end)
+        if shut:
+            if open_.get(name):
+                close(next(i for i in range(len(stack) - 1, 0, -1) if stack[i].name == name))
+            continue
+        if not name:
             continue
-        if name in CLOSES_P or name in ("li", "dt", "dd", "tr", "td", "th", "option"):
-            ends = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}.get(name, ("p",))
-            for i in range(len(stack) - 1, 0, -1):
+        if name in RAW:  # never article text
+            found = _raw_end(name).search(page, end)
+            last = found.end() if found else len(page)
+            at = page.find("<", last)
+            continue
+        ends = _ENDS.get(name) or (("p",) if name in CLOSES_P else ())
+        if any(open_.get(x) for x in ends):
+            for i in range(len(stack) - 1, max(0, len(stack) - 1 - DEPTH), -1):
                 if stack[i].name in ends:
-                    del stack[i:]
+                    close(i)
                     break
-                if stack[i].name in ("ul", "ol", "dl", "table", "article", "section", "div", "body", "main"):
+                if stack[i].name in _BOUNDS:
                     break
-        marks = "".join(f".{x}" for a in _NAMED.findall(m[4]) for x in "".join(a).split()) if m[4] else ""
-        top = stack[-1]
-        never = top.never or name in NEVER or bool(m[4] and name not in ("html", "body", "article", "main") and any(MARKS.search("".join(a)) for a in _NAMED.findall(m[4])))
-        node = Node(name, f"{top.path}/{name}{marks}" if len(top.path) < DEEP else top.path, never)
-        top.children.append(node)
-        if name not in VOID and not m[4].endswith("/"):
+        said = ["".join(a) for a in _NAMED.findall(attributes)] if attributes else []
+        label = ".".join([name, *(_DIGITS.sub("0", x) for x in said)])
+        node = Node(name, label, names and name not in ("html", "body", "article", "main") and any(map(MARKS.search, said)))
+        stack[min(len(stack), DEPTH) - 1].children.append(node)
+        if name not in VOID and not attributes.endswith("/"):
             stack.append(node)
+            open_[name] = open_.get(name, 0) + 1
     text(page[last:])
+    _measure(root, False)
+    _leave_out(root, False, root.size / 2, names)
     return root
 
 
-def _key(path: str, words: str) -> int:
-    h = xxhash.xxh64_intdigest(f"{path}\0{words}")
+@functools.cache
+def _raw_end(name: str) -> re.Pattern:
+    return re.compile(rf"</{name}\s*>", re.I)
+
+
+def _measure(node: Node, link: bool) -> None:
+    for c in node.children:
+        if c.text is not None:
+            c.size = 0 if link else len(c.text.strip())
+        else:
+            _measure(c, link or c.name == "a")
+            node.inner |= c.inner or c.name in BLOCK
+        node.size += c.size
+
+
+def _leave_out(node: Node, never: bool, half: float, names: bool) -> None:
+    for c in node.children:
+        c.never = never or c.name == "head" or (names and (c.name in NEVER or (c.marked and c.size <= half)))
+        _leave_out(c, c.never, half, names)
+
+
+class Folded:
+    """A node of a folded tree. A leaf has its instances' DOM nodes, an inner node its instances'."""
+
+    __slots__ = ("children", "key", "label", "leaf", "nodes", "number")
+
+    def __init__(self, label: str, leaf: bool, nodes: list):
+        self.label, self.leaf, self.nodes, self.children, self.number = label, leaf, nodes, [], -1
+        self.key = f".{label}" if leaf else ""
+
+    def take(self, other: Folded) -> None:
+        """Become one repeated node with a neighbour that is built alike."""
+        self.nodes += other.nodes
+        for x, y in zip(self.children, other.children, strict=True):
+            x.take(y)
+
+
+def fold(node: Node) -> Folded:
+    out, between = Folded(node.label, False, [node]), []
+
+    def add(x: Folded) -> None:
+        if out.children and out.children[-1].key == x.key:
+            out.children[-1].take(x)
+        else:
+            out.children.append(x)
+
+    def end() -> None:
+        if any(n.text is None or n.text.strip() for n in between if n.name != "br"):
+            add(Folded("", True, [between.copy()]))
+        between.clear()
+
+    for c in node.children:
+        if c.inner or c.name in _ALWAYS_INNER:
+            end()
+            add(fold(c))
+        elif c.name in BLOCK and c.name != "br":
+            end()
+            add(Folded(c.label, True, [[c]]))
+        else:
+            between.append(c)
+    end()
+    out.key = xxhash.xxh64_hexdigest("\0".join([out.label, *(c.key for c in out.children)]))
+    return out
+
+
+def written(tree: Folded) -> str:
+    """A folded tree's labels: (depth, label, leaf) from the root on, parents first."""
+    rows, stack = [], [(tree, 0)]
+    while stack:
+        x, depth = stack.pop()
+        rows.append((depth, x.label, int(x.leaf)))
+        stack.extend((c, depth + 1) for c in reversed(x.children))
+    return json.dumps(rows)
+
+
+@functools.lru_cache(256)
+def read(shape: str) -> list[Folded]:
+    """The nodes of a written tree; a node's number is its place."""
+    nodes, path = [], []
+    for k, (depth, label, leaf) in enumerate(json.loads(shape)):
+        x = Folded(label, bool(leaf), [])
+        x.number = k
+        del path[depth:]
+        if path:
+            path[-1].children.append(x)
+        path.append(x)
+        nodes.append(x)
+    return nodes
+
+
+def _weigh(a: Folded, b: Folded, memo: dict) -> tuple[int, list]:
+    """How many nodes of two trees whose roots match do, and the matched children."""
+    known = memo.get((id(a), id(b)))
+    if known is not None:
+        return known
+    places: dict[str, list[int]] = {}
+    for j, y in enumerate(b.children):
+        places.setdefault(y.label, []).append(j)
+    seen: dict[str, int] = {}
+    # Non-crossing matches by the last child of b: those ends where a longer reach pays.
+    ends, weights, links = [], [], []
+    for x in a.children:
+        k = seen[x.label] = seen.get(x.label, -1) + 1
+        for j in reversed(places.get(x.label, ())[max(0, k - BAND) : k + BAND + 1]):
+            y = b.children[j]
+            at = bisect_left(ends, j)
+            w = _weigh(x, y, memo)[0] + (weights[at - 1] if at else 0)
+            if (at < len(ends) and ends[at] == j and weights[at] >= w) or (at and weights[at - 1] >= w):
+                continue
+            link = (x, y, links[at - 1] if at else None)
+            upto = at
+            while upto < len(ends) and weights[upto] <= w:
+                upto += 1
+            ends[at:upto], weights[at:upto], links[at:upto] = [j], [w], [link]
+    pairs, link = [], links[-1] if links else None
+    while link:
+        pairs.append(link[:2])
+        link = link[2]
+    found = memo[id(a), id(b)] = 1 + (weights[-1] if weights else 0), pairs
+    return found
+
+
+def align(page: Folded, wrapper: list[Folded]) -> None:
+    """Simple tree matching: matched nodes of the page get the wrapper's numbers."""
+    memo: dict = {}
+    _weigh(page, wrapper[0], memo)
+    todo = [(page, wrapper[0])]
+    while todo:
+        a, b = todo.pop()
+        a.number = b.number
+        todo += memo[id(a), id(b)][1]
+
+
+def _words(nodes: list[Node]) -> str:
+    """Text with white space as in extract."""
+    out, stack = [], list(reversed(nodes))
+    while stack:
+        x = stack.pop()
+        if isinstance(x, str):
+            out.append(x)
+        elif x.text is not None:
+            out.append(x.text)
+        else:
+            if x.name in BLOCK:
+                out.append("\n")
+                stack.append("\n")
+            stack.extend(reversed(x.children))
+    return " ".join("".join(out).split())
+
+
+def _key(place: str, words: str) -> int:
+    h = xxhash.xxh64_intdigest(f"{place}\0{words}")
     return h - (h >> 63 << 64)
 
 
-def keys_of(page: str) -> list[int]:
-    """Every (path, text) of the page once, hashed."""
-    found, stack = set(), [parse(page)]
+def _slots(page: Folded):
+    """(place of the nearest matched node, key of place and text, DOM nodes, names and label) of every leaf with text."""
+    stack = [(page, "", -1)]
     while stack:
-        node = stack.pop()
-        if node.text is not None:
-            if words := " ".join(node.text.split()):
-                found.add((node.path, words))
-        stack.extend(node.children)
-    return sorted({_key(*x) for x in found})
+        x, path, over = stack.pop()
+        path = f"{path}/{x.label}" if x.number < 0 else str(x.number)
+        over = x.number if x.number >= 0 else over
+        if x.leaf:
+            for nodes in x.nodes:
+                if words := _words(nodes):
+                    yield over, _key(path, words), nodes
+        stack.extend((c, path, over) for c in reversed(x.children))
+
+
+def _marked(root: Node) -> set[int]:
+    """ids of the outermost article elements, or else main elements, that are not themselves left out."""
+    for name in ("article", "main"):
+        found, stack = set(), [root]
+        while stack:
+            node = stack.pop()
+            if node.name == name and not node.never:
+                found.add(id(node))
+            else:
+                stack.extend(node.children)
+        if found:
+            return found
+    return set()
 
 
-def extract(page: str | None, template: frozenset = frozenset()) -> str:
-    """The page's article text."""
+def _inside(root: Node, bounds: set[int]) -> set[int]:
+    """ids of all nodes at and under those of bounds."""
+    found, stack = set(), [(root, False)]
+    while stack:
+        node, own = stack.pop()
+        own = own or id(node) in bounds
+        if own:
+            found.add(id(node))
+        stack.extend((c, own) for c in node.children)
+    return found
+
+
+def slots_of(page: str, shape: str, names: bool = True) -> list[tuple[int, int, int]]:
+    """(place in the wrapper, key, share of the page's text in millionths) of every text at a place once."""
+    root = parse(page, names)
+    tree = fold(root)
+    align(tree, read(shape))
+    own = _inside(root, _marked(root)) if names else set()
+    found: dict[tuple[int, int], int] = {}
+    for place, key, nodes in _slots(tree):
+        mass = sum(n.size for n in nodes if not n.never and (not own or id(n) in own))
+        found[place, key] = found.get((place, key), 0) + mass
+    total = sum(found.values()) or 1
+    return [(place, key, 1_000_000 * mass // total) for (place, key), mass in sorted(found.items())]
+
+
+def region_of(shape: str, masses: dict[int, int]) -> int:
+    """The smallest element of the wrapper with REGION_SHARE of the masses of its nodes; -1 for none."""
+    nodes = read(shape)
+    total = sum(masses.values())
+    if not total:
+        return -1
+    whole = [masses.get(k, 0) for k in range(len(nodes))]
+    for x in reversed(nodes):
+        whole[x.number] += sum(whole[c.number] for c in x.children)
+    at = [x.number for x in nodes if whole[x.number] >= REGION_SHARE * total and (not x.leaf or x.label.split(".")[0] in _GENERIC)]
+    return at[-1] if at else -1  # each such element is inside the one before: no two apart can have so much
+
+
+def extract(page: str | None, shape: str | None = None, region: int = -1, template: frozenset = frozenset(), names: bool = True) -> str:
+    """The page's article text, by its host's wrapper if there is one."""
     if not page:
         return ""
-    root = parse(page)
-    roots = _marked(root)
+    root = parse(page, names)
+    marked = _marked(root) if names else set()
+    roots, gone = set(), set()
+    if shape is not None:
+        tree = fold(root)
+        align(tree, read(shape))
+        for _, key, nodes in _slots(tree):
+            if key in template:
+                gone.update(map(id, nodes))
+        stack = [tree] if region >= 0 else []
+        while stack:
+            x = stack.pop()
+            if x.number == region:
+                roots.update(id(n) for nodes in x.nodes for n in (nodes if x.leaf else [nodes]))
+            else:
+                stack.extend(x.children)
+    own = _inside(root, marked)
+    if not roots:
+        roots = marked or {id(root)}
+    elif marked and not roots & own == roots:
+        roots = (roots & own) or marked  # the region is outside or around what the page marks
+    elif marked:
+        roots = marked  # the region is inside of it
+    first_heading = not marked
     out: list[str] = []
-    stack = [(r, False) for r in reversed(roots or [root])]
+    stack = [(root, False, False)]
     while stack:
-        node, done = stack.pop()
-        if done or (node.name in BLOCK):
+        node, inside, done = stack.pop()
+        if done or node.name in BLOCK:
             out.append("\n")
-        if done or node.never:
+        if done or node.never or id(node) in gone:
             continue
+        inside = inside or id(node) in roots or (first_heading and node.name == "h1")
         if node.text is not None:
-            if not template or _key(node.path, " ".join(node.text.split())) not in template:
+            if inside:
                 out.append(node.text)
             continue
         if node.name in BLOCK:
-            stack.append((node, True))
-        stack.extend((c, False) for c in reversed(node.children))
+            stack.append((node, inside, True))
+        stack.extend((c, inside, False) for c in reversed(node.children))
     return " ".join("".join(out).split())
 
 
-def _marked(root: Node) -> list[Node]:
-    """The outermost article elements, or else main elements, that are not themselves left out."""
-    for names in (("article",), ("main",)):
-        found, stack = [], [root]
-        while stack:
-            node = stack.pop()
-            if node.name in names and not node.never:
-                found.append(node)
-            else:
-                stack.extend(reversed(node.children))
-        if found:
-            return found
-    return []
-
-
 def with_host(pages: DataFrame) -> DataFrame:
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
-    return pages.select("page_id", "url", "html", host.alias("host"))
+    return pages.select("page_id", "url", "html", host.alias("host"), F.xxhash64("html").alias("hh"))
+
+
+def _with(pages: DataFrame, table: DataFrame, broadcast_bytes: int) -> DataFrame:
+    """pages with their hosts' rows of the checkpointed table, which has n and a text shape, if there are any."""
+    size = table.agg(F.sum(F.length(F.to_json(F.struct("*"))))).first()[0] or 0
+    return pages.join(F.broadcast(table.drop("n")), "host", "left") if size <= broadcast_bytes else common.split_join(pages, table, ["host"], "left")
 
 
-def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, keys) of the hosts that have a template."""
+def shapes(pages: DataFrame, names: bool = True) -> DataFrame:
+    """(host, n, pages, shape) of the hosts with LEAST_PAGES different pages; n rows in all."""
 
     def run(it):
         for b in it:
-            keys = [keys_of(p) for p in b.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("host"), b.column("hh"), pa.array(keys, pa.list_(pa.int64()))], ["host", "hh", "keys"])
+            shape = [written(fold(parse(p, names))) for p in b.column("html").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("host"), b.column("hh"), pa.array(shape, pa.string())], ["host", "hh", "shape"])
 
-    full = with_host(pages).where("html <> ''").select("host", F.xxhash64("html").alias("hh"), "html")
-    one = full.mapInArrow(run, "host string, hh long, keys array<long>").dropDuplicates(["host", "hh"])
-    one = common.checkpoint(one)
-    n = one.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_PAGES)
-    met = one.select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count("*").alias("m")).where("m > 1")
-    constant = met.join(n, "host").where(F.col("m") - 1 >= CONSTANT_SHARE * (F.col("n") - 1))
-    return constant.groupBy("host").agg(F.collect_list("key").alias("keys"))
+    full = with_host(pages).where("html <> ''").select("host", "hh", "html").mapInArrow(run, "host string, hh long, shape string")
+    one = full.groupBy("host", "hh").agg(F.first("shape").alias("shape"), F.count("*").alias("copies"))
+    alike = one.groupBy("host", "shape").agg(F.count("*").alias("m"), F.sum("copies").alias("copies"))
+    best = alike.groupBy("host").agg(F.sum("copies").alias("n"), F.sum("m").alias("pages"), F.min(F.struct((-F.col("m")).alias("m"), "shape")).alias("x"))
+    return common.checkpoint(best.where(F.col("pages") >= LEAST_PAGES).select("host", "n", "pages", "x.shape"))
 
 
-def _texts(it, columns, template_of):
-    for b in it:
-        text = [extract(p, template_of(b, i)) for i, p in enumerate(b.column("html").to_pylist())]
-        yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(text, pa.string()), pa.array(map(len, text), pa.int64())], columns)
+def wrappers(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES, names: bool = True) -> DataFrame:
+    """(host, n, shape, region, template) of the hosts that have a wrapper."""
+    learned = shapes(pages, names)
 
+    def run(it):
+        for b in it:
+            found = [slots_of(p, s, names) for p, s in zip(b.column("html").to_pylist(), b.column("shape").to_pylist(), strict=True)]
+            slots = pa.array([[{"place": a, "key": k, "mass": m} for a, k, m in x] for x in found], pa.list_(pa.struct([("place", pa.int32()), ("key", pa.int64()), ("mass", pa.int32())])))
+            yield pa.RecordBatch.from_arrays([b.column("host"), b.column("hh"), slots], ["host", "hh", "slots"])
+
+    full = _with(with_host(pages).where("html <> ''").select("host", "hh", "html"), learned, broadcast_bytes).where("shape IS NOT NULL").select("host", "hh", "html", "shape")
+    one = full.mapInArrow(run, "host string, hh long, slots array<struct<place:int,key:bigint,mass:int>>").dropDuplicates(["host", "hh"])
+    texts = one.select("host", F.explode("slots").alias("x")).groupBy("host", "x.place", "x.key").agg(F.count("*").alias("m"), F.sum("x.mass").alias("mass"))
+    texts = texts.join(learned.select("host", "pages"), "host").withColumn("constant", (F.col("m") > 1) & (F.col("m") - 1 >= CONSTANT_SHARE * (F.col("pages") - 1)))
+    texts = texts.groupBy("host", "place").agg(F.sum(F.when(F.col("constant"), 0).otherwise(F.col("mass"))).alias("mass"), F.collect_list(F.when(F.col("constant"), F.col("key"))).alias("keys"))
+    texts = texts.groupBy("host").agg(F.collect_list(F.struct("place", "mass")).alias("masses"), F.flatten(F.collect_list("keys")).alias("template"))
+
+    def choose(it):
+        for b in it:
+            region = [region_of(s, {x["place"]: x["mass"] for x in m or () if x["place"] >= 0}) for s, m in zip(b.column("shape").to_pylist(), b.column("masses").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("host"), b.column("n"), b.column("shape"), pa.array(region, pa.int32()), b.column("template")], ["host", "n", "shape", "region", "template"])
 
-def main_text(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """(page_id, url, text, n_chars) of every page."""
-    learned = common.checkpoint(wrappers(pages))
-    columns = ["page_id", "url", "text", "n_chars"]
-    types = dict(pages.dtypes)
-    schema = f"page_id {types['page_id']}, url string, text string, n_chars long"
-    size = learned.agg(F.sum(F.length(F.to_json(F.struct("*")))).alias("n")).first()["n"] or 0
-    if size <= broadcast_bytes:
-        by_host = {r["host"]: frozenset(r["keys"]) for r in learned.toLocalIterator()}
-        sent = pages.sparkSession.sparkContext.broadcast(by_host)
+    every = learned.join(texts, "host", "left").select("host", "n", "shape", "masses", F.coalesce("template", F.array().cast("array<bigint>")).alias("template"))
+    return common.checkpoint(every.mapInArrow(choose, "host string, n long, shape string, region int, template array<bigint>"))
 
-        def run(it):
-            yield from _texts(it, columns, lambda b, i: sent.value.get(b.column("host")[i].as_py(), frozenset()))
 
-        return with_host(pages).mapInArrow(run, schema)
+def main_text(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES, names: bool = True, wrapped: bool = True) -> DataFrame:
+    """(page_id, url, text, n_chars) of every page; names and wrapped turn one of the two sources off."""
+    columns = ["page_id", "url", "text", "n_chars"]
+    types = dict(pages.dtypes)
+    full = with_host(pages)
+    if wrapped:
+        full = _with(full, wrappers(pages, broadcast_bytes, names), broadcast_bytes)
+    else:
+        full = full.withColumn("shape", F.lit(None).cast("string")).withColumn("region", F.lit(-1)).withColumn("template", F.lit(None).cast("array<bigint>"))
 
-    def run_joined(it):
-        yield from _texts(it, columns, lambda b, i: frozenset(b.column("keys")[i].as_py() or ()))
+    def run(it):
+        for b in it:
+            text = []
+            for p, s, r, t in zip(*(b.column(c).to_pylist() for c in ("html", "shape", "region", "template")), strict=True):
+                text.append(extract(p, s, -1 if r is None else r, frozenset(t or ()), names))
+            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(text, pa.string()), pa.array(map(len, text), pa.int64())], columns)
 
-    return with_host(pages).join(learned, "host", "left").mapInArrow(run_joined, schema)
+    schema = f"page_id {types['page_id']}, url {types['url']}, text string, n_chars long"
+    return full.select("page_id", "url", "html", "shape", "region", "template").mapInArrow(run, schema)
 
 
 def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,3 +63,56 @@ def test_a_page_counts_once(spark):
 def test_template_of_long_pages(spark):
     bodies = ["".join(f"<p>{i} {k}</p>" for k in range(80)) + "<p>Always here</p>" for i in range(3)]
     assert not any("Always" in t for t in texts(spark, bodies))
+
+
+def test_wrappers_alone_and_names_alone(spark):
+    """The tables' texts come out without any names, and the wrapper is what brings them out."""
+    df = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    host = {r.page_id: r.host for r in he.with_host(df).collect()}
+    with_wrapper = {r.host for r in he.shapes(df).collect()}
+    full, alone, neither = ({r.page_id: r.text for r in x.collect()} for x in (he.main_text(df), he.main_text(df, names=False), he.main_text(df, names=False, wrapped=False)))
+    ids = [i for i in full if host[i] in with_wrapper]
+    assert len(ids) > 200
+    assert sum(alone[i] == full[i] for i in ids) >= 0.97 * len(ids)
+    assert not any(neither[i] == full[i] for i in ids)
+
+
+def test_unnamed_parts(spark):
+    """Generic elements only: what is constant goes, and what varies outside the region."""
+    rnd = __import__("random").Random(2)
+    w = lambda n: " ".join("w%03d" % rnd.randint(0, 999) for _ in range(n))
+    rows, want = [], []
+    for i in range(8):
+        ps = [w(30) for _ in range(rnd.randint(3, 9))]
+        extra = f"<div><p>{w(3)}</p></div>" if i % 4 == 0 else ""
+        rows.append((i, f"http://g.example/{i}", f"<body><div><ul><li><a href=x>{w(2)}</a><li><a href=y>{w(1)}</a></ul></div>{extra}<div><h1>T {i}</h1><p>By the staff</p>{''.join(f'<p>{p}</p>' for p in ps)}</div><div><p>{w(4)}</p></div></body>"))
+        want.append(" ".join([f"T {i}", *ps]))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for names in (True, False):
+        assert [r.text for r in sorted(he.main_text(df, names=names).collect())] == want
+
+
+def test_a_name_does_not_outweigh_the_text():
+    assert he.extract('<div class="search">' + "<p>word word word</p>" * 20 + '</div><div class="related">other</div>') == " ".join(["word word word"] * 20)
+
+
+def test_simple_tree_matching():
+    a, b = (he.fold(he.parse(x)) for x in ("<div><ul><li>1</ul></div><p>t</p><div><p>x<h2>y</h2></div>", "<p>t</p><div><h2>k</h2><p>x<h2>y</h2></div>"))
+    he.align(b, he.read(he.written(a)))
+    shape = he.json.loads(he.written(a))
+    p, div = b.children
+    assert shape[p.number][1] == "p" and shape[div.number][1] == "div" and div.number > p.number
+    assert [c.number >= 0 for c in div.children] == [False, True, True]
+
+
+def test_markup_of_any_length_is_read_in_time():
+    import time
+
+    start = time.time()
+    for x in ("<a b ", "<", "<!", "<a x='", '<a x=">', "</x>", "<div>", "<b><p>", "<!-- ", "<script>", "&", "<p><b>", '<a "'):
+        he.extract(x * (400_000 // len(x)))
+    he.extract("<div>" * 100_000 + "</b>" * 100_000)
+    assert time.time() - start < 60
+    assert he.extract("one <a b " * 3) == "one <a b one <a b one <a b"
+    assert he.extract('x <a t="1>2" q>y</a> 3 < 4 <b>z') == "x y 3 < 4 z"
+    assert he.extract("<b>" * 2000 + "deep" + "</b>" * 2000 + " end") == "deep end"
