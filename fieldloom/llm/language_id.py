@@ -6,18 +6,20 @@ escapes as different bytes were seen there), down to a uniform byte. The statist
 a text's code length under a language is exact and does not depend on other texts. The language of
 the shortest code is predicted; the score is its share among all, each weighted 2**-bits.
 
-All languages' trees are compiled into one automaton over the union of their contexts: a state is the
-longest known context, and a table gives the next state and every language's cost. Texts are cut into
+The trees of `GROUP` languages at a time are compiled into one automaton over the union of their contexts: a state is the
+longest known context, and a table gives the next state and every language's cost. (Costs do not depend on the grouping; a
+worker's tables take some 20 MB a language.) Texts are cut into
 pieces that run in step, each warmed up over the `order` bytes before it, which fix the state; so whole
 texts are scored whatever their length.
 
 Training takes a bounded sample: of every language the rows of the least hashes of doc_id, about
-`sample_rows` of them, whole texts, up to `sample_bytes`. A language is any non-null value of the label; at
-most `most_languages` (the most frequent) are learned.
+`sample_rows` of them, whole texts, up to `sample_bytes`; of a first text that is longer, that many bytes. A language is any non-null value
+of the label that has a text.
 
 Cases: null texts and texts without a letter are `und` with score 0; without any labelled row all are;
-a language without a usable text is not learned; ties go to the first language in order; repeated
-rows get equal results; extra columns are ignored.
+a language without a text that has bytes is not learned; ties go to the first language in order; repeated
+rows get equal results; a null doc_id is held out; extra columns are returned, but those named like an output (lang_pred, score,
+bits_per_byte) give way to it; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,19 +31,24 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldloom.llm import common
 
 ORDER = 4
-SAMPLE_ROWS, SAMPLE_BYTES, MOST_LANGUAGES = 150, 250_000, 64
+SAMPLE_ROWS, SAMPLE_BYTES = 150, 250_000
+GROUP = 4
 PIECE = 256
 CHUNK_BYTES = 2 << 20
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}").search
 
 
+OUTPUTS = ["lang_pred", "score", "bits_per_byte"]
+
+
 def held_out(doc_id: str = "doc_id"):
-    return F.crc32(F.col(doc_id).cast("string")) % 5 == 0
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(True))
 
 
 class Model:
@@ -68,21 +75,33 @@ class Model:
                 own.append(np.unique(np.concatenate(keys), return_counts=True) if keys else (np.zeros(0, np.int64), np.zeros(0, np.int64)))
             self.counts.append(own)
 
-    def compile(self) -> Automaton:
-        return Automaton(self)
+    def compile(self) -> Machine:
+        return Machine([Automaton(self, slice(i, i + GROUP)) for i in range(0, len(self.languages), GROUP)])
+
+
+class Machine:
+    """The automata of all groups of languages."""
+
+    def __init__(self, groups: list[Automaton]):
+        self.groups = groups
+
+    def bits(self, texts: list[bytes]) -> np.ndarray:
+        """Code lengths [text, language]."""
+        return np.concatenate([g.bits(texts) for g in self.groups], axis=1)
 
 
 class Automaton:
-    """next[state, class] and cost[state, class, language] in bits."""
+    """next[state, class] and cost[state, class, language] in bits, for some of a model's languages."""
 
-    def __init__(self, model: Model):
-        n_lang, n_sym = len(model.languages), model.seen.size
+    def __init__(self, model: Model, some: slice = slice(None)):
+        all_counts = model.counts[some]
+        n_lang, n_sym = len(all_counts), model.seen.size
         self.order, self.pad = model.order, n_sym + 1
         self.class_of = np.full(256, n_sym, np.int32)  # bytes never seen share a class
         self.class_of[model.seen] = np.arange(n_sym)
         levels = [np.ones(1, np.int64)]
         for n in range(1, model.order + 1):
-            levels.append(np.unique(np.concatenate([c[n - 1][0] for c in model.counts] or [np.zeros(0, np.int64)])))
+            levels.append(np.unique(np.concatenate([c[n - 1][0] for c in all_counts] or [np.zeros(0, np.int64)])))
         first = np.concatenate([[0], np.cumsum([x.size for x in levels])])
         n_states = int(first[-1])
         self.next = np.zeros((n_states, n_sym + 2), np.int32)
@@ -97,7 +116,7 @@ class Automaton:
             else:
                 cost, to = uniform[None].copy(), np.zeros((1, n_sym + 2), np.int32)
             for k in range(n_lang):
-                grams, counts = model.counts[k][n]
+                grams, counts = all_counts[k][n]
                 at = np.searchsorted(own, grams >> 8)
                 sym = self.class_of[grams & 255]
                 total = np.bincount(at, counts, own.size)
@@ -142,25 +161,25 @@ class Automaton:
         return out
 
 
-def train(docs: DataFrame, label: str = "lang", sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES, order: int = ORDER, most_languages: int = MOST_LANGUAGES) -> Model:
+def train(docs: DataFrame, label: str = "lang", sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES, order: int = ORDER) -> Model:
     """Learn from (doc_id, text, label); see the module's bounds."""
-    rows = docs.select(F.col(label).cast("string").alias("label"), F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("r"), "text").where("label IS NOT NULL")
-    counted = rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(most_languages).collect()
-    share = F.lit(-1)
-    for r in counted:
-        share = F.when(F.col("label") == r["label"], F.lit(min(1 << 30, int((1 << 30) * sample_rows / r["count"]) + 1))).otherwise(share)
+    rows = docs.select(F.col(label).cast("string").alias("label"), F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("r"), "text").where("label IS NOT NULL AND text <> ''")
+    counted = common.checkpoint(rows.groupBy("label").agg(F.count("*").alias("n"), F.min("r").alias("first"), F.count("*").alias("all")))
+    share = F.greatest(F.col("first"), F.ceil(F.lit(float((1 << 30) * sample_rows)) / F.col("all")))  # one row at least
+    some = common.split_join(rows, counted, ["label"]).where(F.col("r") <= share).select("label", "r", "text")
     samples: dict[str, list[bytes]] = {}
     size: dict[str, int] = {}
-    for r in rows.where(F.col("text").isNotNull() & (F.col("r") < share)).orderBy("r", "text").toLocalIterator():
-        t = r["text"].encode()
-        if size.get(r["label"], 0) + len(t) <= sample_bytes:
-            samples.setdefault(r["label"], []).append(t)
-            size[r["label"]] = size.get(r["label"], 0) + len(t)
+    for r in some.orderBy("r", "text").toLocalIterator():
+        t, have = r["text"].encode(), size.get(r["label"], 0)
+        if not have or have + len(t) <= sample_bytes:
+            samples.setdefault(r["label"], []).append(t[:sample_bytes])
+            size[r["label"]] = have + min(len(t), sample_bytes)
     return Model(samples, order)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """docs' columns with lang_pred, score and bits_per_byte (null where there is nothing to score). No shuffle."""
+    docs = docs.drop(*OUTPUTS)
     sent, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns
     key, languages = model.key, model.languages
 
@@ -180,10 +199,10 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 share = 1 / np.exp2(-np.minimum(bits - bits.min(axis=1)[:, None], 1000)).sum(axis=1)
                 for i, b, s, x, n in zip(np.flatnonzero(usable).tolist(), best.tolist(), share.tolist(), bits.min(axis=1).tolist(), map(len, some), strict=True):
                     lang[i], score[i], rate[i] = languages[b], s, x / n
-            yield pa.RecordBatch.from_arrays([*(t.column(c).combine_chunks() for c in names), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64())], [*names, "lang_pred", "score", "bits_per_byte"])
+            yield pa.RecordBatch.from_arrays([*(t.column(c).combine_chunks() for c in names), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64())], [*names, *OUTPUTS])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, lang_pred string, score double, bits_per_byte double")
+    schema = T.StructType(list(docs.schema)).add("lang_pred", "string").add("score", "double").add("bits_per_byte", "double")
+    return docs.mapInArrow(run, schema)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

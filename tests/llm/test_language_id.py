@@ -59,3 +59,26 @@ def test_edges(spark):
     assert by[None].lang_pred in ("en", "de")
     assert {r.lang_pred for r in li.predict(df, li.train(df.where("lang IS NULL"))).collect()} == {"und"}
     assert li.predict(df.limit(0), li.train(df)).count() == 0
+
+
+def test_many_languages_and_long_texts(spark):
+    rnd = random.Random(6)
+    rows = []
+    for k in range(70):
+        letters = [chr(0x400 + 3 * k + j) for j in range(3)]
+        rows.append((k, " ".join("".join(rnd.choice(letters) for _ in range(4)) for _ in range(400 if k else 200_000)), f"l{k:02d}"))
+    df = spark.createDataFrame(rows + [(100, None, "none"), (101, "", "empty")], "doc_id long, text string, lang string")
+    model = li.train(df, sample_bytes=3000)
+    assert model.languages == [f"l{k:02d}" for k in range(70)]
+    got = li.predict(df.where("text <> ''"), model).collect()
+    assert all(r.lang_pred == r.lang for r in got)
+    one = li.Machine([li.Automaton(model)])
+    texts = [r[1][:300].encode() for r in rows]
+    assert np.allclose(one.bits(texts), model.compile().bits(texts), rtol=1e-5)
+
+
+def test_columns_that_have_the_output_names(spark):
+    df = spark.createDataFrame([(1, "the cat", "en", "x", 5, 6), (2, "der hund", "de", "y", 7, 8)], "doc_id long, text string, lang string, lang_pred string, score int, bits_per_byte int")
+    got = li.predict(df, li.train(df)).orderBy("doc_id")
+    assert sorted(got.columns) == sorted(df.columns)
+    assert [(r.lang_pred, 0 <= r.score <= 1) for r in got.collect()] == [("en", True), ("de", True)]
