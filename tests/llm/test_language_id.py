@@ -65,7 +65,7 @@ def test_many_languages_and_long_texts(spark):
     rnd = random.Random(6)
     rows = []
     for k in range(70):
-        letters = [chr(0x400 + 3 * k + j) for j in range(3)]
+        letters = [chr(0x4E00 + 3 * k + j) for j in range(3)]
         rows.append((k, " ".join("".join(rnd.choice(letters) for _ in range(4)) for _ in range(400 if k else 200_000)), f"l{k:02d}"))
     df = spark.createDataFrame(rows + [(100, None, "none"), (101, "", "empty")], "doc_id long, text string, lang string")
     model = li.train(df, sample_bytes=3000)

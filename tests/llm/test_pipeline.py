@@ -67,3 +67,24 @@ def test_no_rows(spark):
     for _, f in cp.STAGES[:-1]:
         docs = f(spark, docs, d)
         assert docs.count() == 0
+
+
+def test_nulls_repeats_and_clashing_names(spark, tmp_path):
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    first = docs.orderBy("doc_id").limit(3).collect()
+    long = " ".join(f"word{i}" for i in range(30_000))
+    more = [(None, "A clean text of its own that nobody else has, with more than ten words in it.", None, None, None), (None, None, None, None, None), (7_000_001, "", "en", "s", 0), (7_000_002, "\n \t", "en", "s", 3), (7_000_003, None, "en", None, None), (7_000_004, long, "en", "s", len(long)), (None, first[1].text, "en", "s", 1)]
+    extra = spark.createDataFrame(more + [tuple(first[0])], docs.schema)
+    rows = docs.unionByName(extra).withColumn("th", cp.F.lit("x")).withColumn("node", cp.F.lit(1)).withColumn("key", cp.F.lit(2.5)).withColumn("row", cp.F.lit("r"))
+    found = cp.common.checkpoint(rows.repartition(3))
+    for _, f in cp.STAGES[:-1]:
+        found = cp.common.checkpoint(f(spark, found, d))
+        assert found.columns == rows.columns
+    kept = found.collect()
+    assert [r.text for r in kept if r.doc_id is None] == [more[0][1]]
+    assert all(r.text.strip() and (r.th, r.node, r.key, r.row) == ("x", 1, 2.5, "r") for r in kept)
+    assert len({r.text for r in kept}) == len(kept) and 7_000_004 in {r.doc_id for r in kept}
+    tokens = cp.STAGES[-1][1](spark, found, d)
+    assert tokens.count() == len(kept) and tokens.columns[0] == "doc_id"
+    assert cp.STAGES[-1][1](spark, found.limit(0), d).count() == 0
