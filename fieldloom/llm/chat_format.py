@@ -11,7 +11,9 @@ never occur in them, and `unescape` gives back what was there. `loss_spans` has
 trained texts, in code points.
 
 Cases: null texts and roles are empty; a message whose parent is missing is a root; messages on a
-cycle have no root and are left out; rows of a conversation with the same turn go by role and text;
+cycle have no root and are left out; a null tree is one tree; of several messages with one tree and node the least by
+parent, role, text and score counts; a message with a null node is no message; a null score is 0, and equal mean scores go to the smaller
+leaf; rows of a conversation with the same turn go by role and text;
 a null turn comes first; a null conv_id is one conversation; repeated rows are turns of their own;
 extra columns are ignored; empty tables give empty results.
 """
@@ -90,7 +92,15 @@ def chosen_paths(messages: DataFrame, n_paths: int | None = 1) -> DataFrame:
 
 
 def format_trees(messages: DataFrame, n_paths: int | None = 1, trained: str = TRAINED) -> DataFrame:
-    """(tree, leaf, formatted, loss_spans), one row for each chosen path."""
+    """(tree, leaf, formatted, loss_spans), one row for each chosen path, of any messages."""
+    rest = F.struct(F.col("parent").cast("long").alias("parent"), F.col("role").alias("role"), F.col("text").alias("text"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
+    rows = messages.where("node IS NOT NULL").select(F.struct("tree").alias("tree"), F.col("node").cast("long").alias("node"), rest.alias("m"))
+    one = common.checkpoint(rows.groupBy("tree", "node").agg(F.min("m").alias("m")).select("tree", "node", "m.*"))
+    return format_known(one, n_paths, trained).withColumn("tree", F.col("tree.tree"))
+
+
+def format_known(messages: DataFrame, n_paths: int | None = 1, trained: str = TRAINED) -> DataFrame:
+    """format_trees of messages whose tree, node and score are not null and whose (tree, node) are unique."""
     path = chosen_paths(messages, n_paths).join(messages.select("tree", "node", "role", "text"), ["tree", "node"])
     before = F.concat(F.lit(HEAD), escape(F.col("role"), role=True), F.lit(COLON))
     turns = path.select("tree", "leaf", "place", (F.col("role") == trained).alias("own"), before.alias("before"), escape(F.col("text")).alias("body"))
@@ -139,7 +149,7 @@ def chains(conversations: DataFrame) -> DataFrame:
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = common.table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise(TRAINED).alias("role"), F.lit(CONTROL).alias("text"))
-    found = digests(format_trees(chains(rows.unionByName(more))))
+    found = digests(format_known(chains(rows.unionByName(more))))
     return found.select(F.when(F.col("tree") != "null", F.col("tree")).cast("long").alias("conv_id"), "*").drop("tree")
 
 

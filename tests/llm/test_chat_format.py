@@ -55,3 +55,13 @@ def test_conversations(spark):
         assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == (len(own), sha("".join(f"{a}\n{b}\n" for a, b in own)), len(loss), sha(loss))
     assert not got
     assert cf.format_trees(cf.chains(df.limit(0))).count() == 0
+
+
+def test_null_trees_repeated_nodes_and_null_scores(spark):
+    rows = [(None, 1, None, "user", "a", None), (None, 2, 1, "assistant", "b", 0.5), (None, 3, 1, "assistant", "c", None), ("t", 1, None, "user", "x", 1.0), ("t", 1, None, "user", "x", 1.0), ("t", 1, None, "user", "w", 1.0), ("t", None, 1, "user", "lost", 9.0), ("t", 5, 1, "assistant", None, None), ("t", 4, 1, None, "z", 0.0)]
+    df = spark.createDataFrame([(*r, "extra") for r in rows], "tree string, node int, parent int, role string, text string, score double, own string")
+    got = {r.tree: r for r in cf.format_trees(df).collect()}
+    assert {k: (r.leaf, r.formatted) for k, r in got.items()} == {None: (2, "### user: a</turn>\n### assistant: b</turn>\n"), "t": (4, "### user: w</turn>\n### : z</turn>\n")}
+    assert [tuple(x) for x in got[None].loss_spans] == [(got[None].formatted.index("b</turn>"), 1)]
+    assert {r.leaf for r in cf.format_trees(df, None).where("tree = 't'").collect()} == {4, 5}
+    assert cf.format_trees(df.limit(0)).count() == 0
