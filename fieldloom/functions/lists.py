@@ -27,6 +27,19 @@ def add_all(xs: Column, ys: Column) -> Column:
     return F.concat(xs, ys)
 
 
+def add_all_at(xs: Column, i: Column, ys: Column) -> Column:
+    return F.concat(F.slice(xs, F.lit(1), i), ys, F.slice(xs, i + 1, F.greatest(F.size(xs) - i, F.lit(0))))
+
+
+def clear(xs: Column) -> Column:
+    return F.slice(xs, 1, 0)
+
+
+def paired(xs: Column, ys: Column, e: Column) -> Column:
+    """The element of ys at the place where e first stands in xs; null if it does not."""
+    return F.get(ys, F.when(F.array_contains(xs, e), index_of(xs, e)))
+
+
 def remove_at(xs: Column, i: Column) -> Column:
     return F.filter(xs, lambda x, k: k != i)
 

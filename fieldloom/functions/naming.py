@@ -13,7 +13,7 @@ def dotted(name: Column) -> Column:
 
 
 def _rest(name: Column, skip: int) -> Column:
-    return F.concat(F.lower(F.substring(name, skip + 1, 1)), F.substring(name, skip + 2, 1 << 20))
+    return F.concat(F.lower(F.substring(name, skip + 1, 1)), F.substr(name, F.lit(skip + 2)))
 
 
 def accessor_property(name: Column) -> Column:
@@ -37,6 +37,15 @@ def is_blank(c: Column) -> Column:
     return ~c.rlike(r"(?U)[^\s]")
 
 
+def by_length(paths: list[str]) -> list[tuple[int, str]]:
+    """Paths with their places, the shortest first; equal lengths stay in order."""
+    return sorted(enumerate(paths), key=lambda x: len(x[1]))
+
+
+def joined(xs: Column) -> Column:
+    return F.array_join(xs, ", ")
+
+
 def split_path(path: str, objects: list[str]) -> tuple[int, list[str]]:
     """`name:a.b` to (number of the object, segments).
 

@@ -14,6 +14,7 @@ from fieldloom.plans.checkpoints import checkpoint
 #: Fixed: handle kinds of static, virtual, special and interface methods; constructors are left out.
 METHOD_HANDLES = (5, 6, 7, 9)
 METAFACTORIES = ("metafactory", "altMetafactory")
+PUBLIC = 1
 METAFACTORY_OWNER = "java.lang.invoke.LambdaMetafactory"
 
 
@@ -32,46 +33,67 @@ def edges(insns: DataFrame, last_lambda_only: bool = False) -> DataFrame:
 def closure(edge: DataFrame, start: DataFrame) -> DataFrame:
     """(root, node): everything that each start(root) reaches, itself included. Semi-naive, any number of roots at once.
 
-    Each level joins only what is new; levels are checkpointed, so lineage does not
+    Each level joins only what is new, and only that is written; levels are checkpointed, so lineage does not
     grow. Ends when a level finds nothing new.
     """
-    e = edge.select(F.col("caller").alias("node"), F.col("callee").alias("next")).distinct()
+    e = checkpoint(edge.select(F.col("caller").alias("node"), F.col("callee").alias("next")).distinct())
     seen = new = checkpoint(start.select("root", F.col("root").alias("node")).distinct())
     while not new.isEmpty():
         found = new.join(e, "node").select("root", F.col("next").alias("node")).distinct()
         new = checkpoint(found.join(seen, ["root", "node"], "left_anti"))
-        seen = checkpoint(seen.unionByName(new))
+        seen = seen.unionByName(new)
     return seen
 
 
-def call_paths(spark, edge_view: str, start: str, depth: int = 50) -> DataFrame:
-    """Every call path from a method, a cycle cut at its first repetition: (path array, node)."""
-    return spark.sql(
-        f"""WITH RECURSIVE t(node, path) MAX RECURSION LEVEL {int(depth)} AS (
-          SELECT '{start}', array('{start}')
-          UNION ALL SELECT e.callee, array_append(t.path, e.callee) FROM t JOIN {edge_view} e ON e.caller = t.node WHERE NOT array_contains(t.path, e.callee))
-        SELECT path, node FROM t"""
-    )
+def call_paths(edge: DataFrame, start: DataFrame) -> DataFrame:
+    """(path, node): every call path from each start(root), of any length, a cycle cut at its first repetition."""
+    e = checkpoint(edge.select(F.col("caller").alias("node"), F.col("callee").alias("next")).distinct())
+    found = new = checkpoint(start.select(F.array("root").alias("path"), F.col("root").alias("node")).distinct())
+    while not new.isEmpty():
+        longer = new.join(e, "node").where(~F.array_contains("path", F.col("next")))
+        new = checkpoint(longer.select(F.array_append("path", F.col("next")).alias("path"), F.col("next").alias("node")))
+        found = found.unionByName(new)
+    return found
 
 
 def resolve_frames(frames: DataFrame, lines: DataFrame, key: list[str]) -> DataFrame:
-    """frames(key..., line) to methods of lines(key..., method_ord, line).
+    """frames(key..., line, ...) with the method_ord of lines(key..., method_ord, line); every row and column stays.
 
     The method that has the very line (the last of several), else the first whose lines enclose it, else the
-    first of that name.
+    first of that name; null without one.
     """
     spans = lines.groupBy(*key, "method_ord").agg(F.min("line").alias("low"), F.max("line").alias("high"), F.collect_set("line").alias("own"))
-    at = frames.withColumnRenamed("line", "at")
-    both = at.join(spans, key, "left")
+    both = frames.select(*key, F.col("line").alias("at")).distinct().join(spans, key)
     exact = F.array_contains("own", F.col("at"))
     rank = F.when(exact, 1).when((F.col("at") >= F.col("low")) & (F.col("at") <= F.col("high")), 2).otherwise(3)
     best = F.min_by("method_ord", F.struct(rank, F.when(exact, -F.col("method_ord")).otherwise(F.col("method_ord"))))
-    return both.groupBy(*key, F.col("at").alias("line")).agg(best.alias("method_ord"))
+    found = both.groupBy(*key, F.col("at").alias("line")).agg(best.alias("method_ord"))
+    return frames.join(found, [*key, "line"], "left").select(*frames.columns, "method_ord")
+
+
+def find_methods(wanted: DataFrame, declared: DataFrame, above: DataFrame) -> DataFrame:
+    """wanted(class_name, name, descriptor) with found_in: the class itself if it declares the method, else the nearest above that has it public.
+
+    declared(class_name, name, descriptor, access), above(class_name, super_name); null if none has it. One join for each level.
+    """
+    key = ["class_name", "name", "descriptor"]
+    own = declared.select(*key, (F.col("access").bitwiseAND(PUBLIC) != 0).alias("public")).distinct()
+    up = above.where("super_name <> class_name").select("class_name", "super_name").distinct()
+    todo = checkpoint(wanted.select(*key, F.col("class_name").alias("at"), F.lit(False).alias("inherited")).distinct())
+    found = todo.select(*key, F.lit(None).cast("string").alias("found_in")).limit(0)
+    while not todo.isEmpty():
+        met = todo.join(own.select(F.col("class_name").alias("at"), "name", "descriptor", "public"), ["at", "name", "descriptor"], "left")
+        hit = ~F.col("inherited") & F.col("public").isNotNull() | F.coalesce("public", F.lit(False))
+        met = checkpoint(met.select(*key, "at", hit.alias("hit")).groupBy(*key, "at").agg(F.max("hit").alias("hit")))
+        found = found.unionByName(met.where("hit").select(*key, F.col("at").alias("found_in")))
+        rest = met.where("NOT hit").join(up.select(F.col("class_name").alias("at"), "super_name"), "at")
+        todo = checkpoint(rest.select(*key, F.col("super_name").alias("at"), F.lit(True).alias("inherited")))
+    return wanted.join(found, key, "left")
 
 
 def first_frame(frames: Column, skip: list[str], start: int = 2) -> Column:
     """The first class name from place `start` on that has none of these parts."""
-    kept = F.filter(F.slice(frames, start + 1, 1 << 20), lambda x: ~_any(x, skip))
+    kept = F.filter(F.slice(frames, F.lit(start + 1), F.size(frames) + 1), lambda x: ~_any(x, skip))
     return F.get(kept, F.lit(0))
 
 

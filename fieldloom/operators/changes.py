@@ -13,6 +13,19 @@ from fieldloom.functions import lists
 OPS = ("INSERT", "DELETE", "REPLACE")
 
 
+def adding_all(lists_of: DataFrame, key: str, seq: int, pos: str | None, values: str) -> DataFrame:
+    """Log rows that insert an array's elements one after the other, from pos on (null: at the end); their seq rises from seq."""
+    at = F.lit(None).cast("int") if pos is None else (F.col(pos) + F.col("i")).cast("int")
+    rows = lists_of.select(key, *([] if pos is None else [pos]), F.posexplode(values).alias("i", "value"))
+    return rows.select(key, (F.lit(seq) + F.col("i")).cast("int").alias("seq"), F.lit("INSERT").alias("op"), at.alias("pos"), "value")
+
+
+def clearing(state: DataFrame, key: str, seq: int, items: str = "items") -> DataFrame:
+    """Log rows that delete every element, the first one first; their seq rises from seq."""
+    rows = state.select(key, F.posexplode(items).alias("i", "gone"))
+    return rows.select(key, (F.lit(seq) + F.col("i")).cast("int").alias("seq"), F.lit("DELETE").alias("op"), F.lit(0).alias("pos"), F.lit(None).cast("string").alias("value"))
+
+
 def replay(state: DataFrame, log: DataFrame, key: str, items: str = "items") -> DataFrame:
     """state(key, items) after log(key, seq, op, pos, value) in order of seq; pos from 0, null is the end.
 

@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldloom.functions.choice import Rule, column_for, last_non_null
 from fieldloom.functions.naming import split_path
@@ -60,6 +61,25 @@ class PolyListFields:
     rule: Rule = last_non_null
 
 
+#: Which mapping of a field counts where one may have several, the first first.
+PRECEDENCE = (Field, Fields, ListFields, PolyFields, PolyListFields)
+
+
+def effective(mappings: list, name: str = "", strict: bool = True):
+    """A field's mapping: the only one, or by precedence if not strict; without one, the column of the field's name."""
+    for m in mappings:
+        if not isinstance(m, PRECEDENCE):
+            raise TypeError(f"not a mapping: {m!r}")
+    if strict and len(mappings) > 1:
+        raise ValueError(f"{name or 'a field'} has {len(mappings)} mappings")
+    return min(mappings, key=lambda m: PRECEDENCE.index(type(m))) if mappings else name
+
+
+def is_basic(kind: T.DataType) -> bool:
+    """Types whose values are taken as they are; lists, maps, binaries and structs belong to domain objects."""
+    return isinstance(kind, (T.BooleanType, T.NumericType, T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType, T.TimeType))
+
+
 def _walk(c: Column, segments: list[str]) -> Column:
     for s in segments:
         c = c.getField(s)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.functions.naming import is_blank
@@ -13,6 +13,11 @@ def total(items: Column) -> Column:
     return F.aggregate(items, F.lit(0).cast("decimal(38,4)"), lambda acc, x: (acc + (x["unit_price"] * x["quantity"]).cast("decimal(30,4)")).cast("decimal(38,4)"))
 
 
+def totals(items: DataFrame, key: str) -> DataFrame:
+    """(key, total) of item rows, by partial aggregation; total() is for items in an array."""
+    return items.groupBy(key).agg(F.sum((F.col("unit_price") * F.col("quantity")).cast("decimal(30,4)")).cast("decimal(38,4)").alias("total"))
+
+
 def add_item(items: Column, item: Column) -> Column:
     return F.array_append(items, item)
 
@@ -42,5 +47,56 @@ def reduce_stock(stock: Column, by: Column) -> Column:
     return F.when(stock >= by, stock - by).otherwise(stock)
 
 
+def can_modify(status: Column) -> Column:
+    return status == "PENDING"
+
+
+def has_stock(stock: Column) -> Column:
+    return stock > 0
+
+
+def has_enough_stock(stock: Column, wanted: Column) -> Column:
+    return stock >= wanted
+
+
+def add_stock(stock: Column, by: Column) -> Column:
+    return stock + by
+
+
+def update_price(price: Column, new: Column) -> Column:
+    """The new price; the old one plays no part."""
+    return new
+
+
+def summary(kind: str, **parts: Column) -> Column:
+    """`Kind(a=1, b=2)`."""
+    said = [x for i, (k, c) in enumerate(parts.items()) for x in (F.lit(f"{', ' if i else ''}{k}="), F.coalesce(c.cast("string"), F.lit("null")))]
+    return F.concat(F.lit(f"{kind}("), *said, F.lit(")"))
+
+
+def order_summary(order_id: Column, customer: Column, total: Column, status: Column, items: Column) -> Column:
+    return summary("Order", id=order_id, customer=customer, total=total, status=status, itemCount=F.size(items))
+
+
+def user_summary(user_id: Column, name: Column, email: Column, age: Column, active: Column) -> Column:
+    return summary("User", id=user_id, name=name, email=email, age=age, active=active)
+
+
+def update_profile(name: Column, email: Column, new_name: Column, new_email: Column) -> tuple[Column, Column]:
+    return F.when(name.eqNullSafe(new_name), name).otherwise(new_name), F.when(email.eqNullSafe(new_email), email).otherwise(new_email)
+
+
+def activate(active: Column) -> Column:
+    return F.lit(True)
+
+
+def deactivate(active: Column) -> Column:
+    return F.when(active, F.lit(False)).otherwise(active)
+
+
+def increment_age(age: Column) -> Column:
+    return age + 1
+
+
 def valid_user(user_id: Column, name: Column, email: Column, age: Column) -> Column:
     return ~is_blank(user_id) & ~is_blank(name) & email.contains("@") & (age >= 0)

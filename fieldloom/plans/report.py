@@ -7,6 +7,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldloom.functions.naming import joined
+
 FORMATS = ("JSON", "TXT")
 
 
@@ -15,19 +17,27 @@ def as_json(classes: DataFrame) -> str:
     return "[\n  " + ",\n  ".join(rows) + "\n]" if rows else "[]"
 
 
+def text_of(classes: DataFrame, calls: bool = True) -> DataFrame:
+    """(class_name, text): a class's part of the text report."""
+
+    def part(label, xs):
+        return F.when(F.size(xs) > 0, F.concat(F.lit(f"\n    {label}: "), joined(xs))).otherwise("")
+
+    def method(m):
+        said = F.concat(F.lit("  "), m["method_name"], m["method_desc"], part("reads", m["reads"]), part("writes", m["writes"]))
+        return F.concat(said, part("calls", F.transform(m["calls"], lambda x: F.concat(x["method_name"], F.lit("("), x["call_count"].cast("string"), F.lit(")"))))) if calls else said
+
+    body = F.when(F.size("methods") == 0, F.lit("  no property access")).otherwise(F.array_join(F.transform("methods", method), "\n"))
+    return classes.select("class_name", F.concat(F.lit("class: "), F.col("class_name"), F.lit("\n"), body).alias("text"))
+
+
 def as_text(classes: DataFrame, calls: bool = True) -> str:
-    out = []
-    for c in classes.orderBy("class_name").toLocalIterator():
-        out += [f"class: {c.class_name}"]
-        if not c.methods:
-            out.append("  no property access")
-        for m in c.methods:
-            out.append(f"  {m.method_name}{m.method_desc}")
-            parts = [("reads", m.reads), ("writes", m.writes)]
-            if calls:
-                parts.append(("calls", [f"{x.method_name}({x.call_count})" for x in m.calls]))
-            out += [f"    {k}: {', '.join(v)}" for k, v in parts if v]
-    return "\n".join([*out, f"total: {classes.count()}"])
+    return "\n".join([*(r.text for r in text_of(classes, calls).orderBy("class_name").toLocalIterator()), f"total: {classes.count()}"])
+
+
+def as_log(classes: DataFrame) -> str:
+    """The text report under a line that says what was found."""
+    return f"analysis finished, {classes.count()} aggregate classes\n{as_text(classes)}"
 
 
 def write(classes: DataFrame, path: str, form: str = "JSON") -> None:
