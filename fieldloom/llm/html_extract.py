@@ -8,8 +8,10 @@ classes) that are leaves or built alike are one repeated node.
 2. All different pages of the host are aligned with it by simple tree matching: nodes match if their labels and
    their parents do, without crossings, so that as many as possible match. Siblings of one label may be up to
    `BAND` places apart.
+   An alignment depends on shapes only, so it is made once for each different shape of a host, and a page is read twice
+   in all: for its shape and the hashes of its texts, and for its text.
 3. A text at a node that `CONSTANT_SHARE` of the pages have, each counted once however often it has it, is template;
-   the others are slots. (Texts at nodes that match nothing are counted by their path of labels.) Where slots hold text outside
+   the others are slots. (Texts at nodes that match nothing are counted by their path of labels and places.) Where slots hold text outside
    links is where content is: the wrapper's region is the smallest element with `REGION_SHARE` of it, each page counting alike.
 4. A page's text is that of the slots in its element that matches the region, and of its h1 headings.
 
@@ -148,19 +150,28 @@ def _raw_end(name: str) -> re.Pattern:
 
 
 def _measure(node: Node, link: bool) -> None:
+    size, inner = 0, False
     for c in node.children:
         if c.text is not None:
-            c.size = 0 if link else len(c.text.strip())
+            if not link:
+                c.size = len(c.text.strip())
         else:
-            _measure(c, link or c.name == "a")
-            node.inner |= c.inner or c.name in BLOCK
-        node.size += c.size
+            if c.children:
+                _measure(c, link or c.name == "a")
+            if c.inner or c.name in BLOCK:
+                inner = True
+        size += c.size
+    node.size, node.inner = size, inner
 
 
 def _leave_out(node: Node, never: bool, half: float, names: bool) -> None:
     for c in node.children:
-        c.never = never or c.name == "head" or (names and (c.name in NEVER or (c.marked and c.size <= half)))
-        _leave_out(c, c.never, half, names)
+        if c.text is not None:
+            c.never = never
+            continue
+        c.never = out = never or c.name == "head" or (names and (c.name in NEVER or (c.marked and c.size <= half)))
+        if c.children:
+            _leave_out(c, out, half, names)
 
 
 class Folded:
@@ -292,23 +303,28 @@ def _words(nodes: list[Node]) -> str:
     return " ".join("".join(out).split())
 
 
-def _key(place: str, words: str) -> int:
-    h = xxhash.xxh64_intdigest(f"{place}\0{words}")
+def _hash(words: str) -> int:
+    h = xxhash.xxh64_intdigest(words)
     return h - (h >> 63 << 64)
 
 
-def _slots(page: Folded):
-    """(place of the nearest matched node, key of place and text, DOM nodes, names and label) of every leaf with text."""
-    stack = [(page, "", -1)]
+def _places(tree: Folded):
+    """(node, slot, number of the nearest matched node) of an aligned tree, parents first. A slot is a number, or below zero a hash of labels and places."""
+    stack = [(tree, "", -1)]
     while stack:
         x, path, over = stack.pop()
-        path = f"{path}/{x.label}" if x.number < 0 else str(x.number)
-        over = x.number if x.number >= 0 else over
-        if x.leaf:
-            for nodes in x.nodes:
-                if words := _words(nodes):
-                    yield over, _key(path, words), nodes
-        stack.extend((c, path, over) for c in reversed(x.children))
+        if x.number >= 0:
+            path, over, slot = str(x.number), x.number, x.number
+        else:
+            slot = _hash(path) | -1 << 63
+        yield x, slot, over
+        if x.children:
+            seen: dict[str, int] = {}
+            down = []
+            for c in x.children:
+                k = seen[c.label] = seen.get(c.label, -1) + 1
+                down.append((c, f"{path}/{c.label}#{k}" if c.number < 0 else "", over))
+            stack.extend(reversed(down))
 
 
 def _marked(root: Node) -> set[int]:
@@ -338,18 +354,33 @@ def _inside(root: Node, bounds: set[int]) -> set[int]:
     return found
 
 
-def slots_of(page: str, shape: str, names: bool = True) -> list[tuple[int, int, int]]:
-    """(place in the wrapper, key, share of the page's text in millionths) of every text at a place once."""
+def read_page(page: str, names: bool = True) -> tuple[str, list[tuple[int, int, int]]]:
+    """The page's shape, and (number in it, hash of the text, share of the page's text in millionths) of every text at a place once."""
     root = parse(page, names)
     tree = fold(root)
-    align(tree, read(shape))
     own = _inside(root, _marked(root)) if names else set()
     found: dict[tuple[int, int], int] = {}
-    for place, key, nodes in _slots(tree):
-        mass = sum(n.size for n in nodes if not n.never and (not own or id(n) in own))
-        found[place, key] = found.get((place, key), 0) + mass
+    stack, number = [tree], 0
+    while stack:
+        x = stack.pop()
+        for nodes in x.nodes if x.leaf else ():
+            if words := _words(nodes):
+                key = number, _hash(words)
+                found[key] = found.get(key, 0) + sum(n.size for n in nodes if not n.never and (not own or id(n) in own))
+        number += 1
+        stack.extend(reversed(x.children))
     total = sum(found.values()) or 1
-    return [(place, key, 1_000_000 * mass // total) for (place, key), mass in sorted(found.items())]
+    return written(tree), [(k, t, 1_000_000 * mass // total) for (k, t), mass in found.items()]
+
+
+def matched(shape: str, wrapper: str) -> tuple[list[int], list[int]]:
+    """For every number of a shape its slot by the wrapper, and the wrapper's nearest matched number."""
+    nodes = read.__wrapped__(shape)
+    for x in nodes:
+        x.number = -1
+    align(nodes[0], read(wrapper))
+    found = list(_places(nodes[0]))
+    return [slot for _, slot, _ in found], [over for _, _, over in found]
 
 
 def region_of(shape: str, masses: dict[int, int]) -> int:
@@ -365,7 +396,7 @@ def region_of(shape: str, masses: dict[int, int]) -> int:
     return at[-1] if at else -1  # each such element is inside the one before: no two apart can have so much
 
 
-def extract(page: str | None, shape: str | None = None, region: int = -1, template: frozenset = frozenset(), names: bool = True) -> str:
+def extract(page: str | None, shape: str | None = None, region: int = -1, template: frozenset[tuple[int, int]] = frozenset(), names: bool = True) -> str:
     """The page's article text, by its host's wrapper if there is one."""
     if not page:
         return ""
@@ -375,9 +406,12 @@ def extract(page: str | None, shape: str | None = None, region: int = -1, templa
     if shape is not None:
         tree = fold(root)
         align(tree, read(shape))
-        for _, key, nodes in _slots(tree):
-            if key in template:
-                gone.update(map(id, nodes))
+        slots = {slot for slot, _ in template}
+        for x, slot, _ in _places(tree) if slots else ():
+            if x.leaf and slot in slots:
+                for nodes in x.nodes:
+                    if (slot, _hash(_words(nodes))) in template:
+                        gone.update(map(id, nodes))
         stack = [tree] if region >= 0 else []
         while stack:
             x = stack.pop()
@@ -385,7 +419,7 @@ def extract(page: str | None, shape: str | None = None, region: int = -1, templa
                 roots.update(id(n) for nodes in x.nodes for n in (nodes if x.leaf else [nodes]))
             else:
                 stack.extend(x.children)
-    own = _inside(root, marked)
+    own = _inside(root, marked) if marked and roots else set()
     if not roots:
         roots = marked or {id(root)}
     elif marked and not roots & own == roots:
@@ -417,51 +451,55 @@ def with_host(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", "html", host.alias("host"), F.xxhash64("html").alias("hh"))
 
 
-def _with(pages: DataFrame, table: DataFrame, broadcast_bytes: int) -> DataFrame:
-    """pages with their hosts' rows of the checkpointed table, which has n and a text shape, if there are any."""
+def _with(rows: DataFrame, table: DataFrame, on: list[str], broadcast_bytes: int) -> DataFrame:
+    """rows with those of the checkpointed table, which has n rows of each key, if there are any."""
     size = table.agg(F.sum(F.length(F.to_json(F.struct("*"))))).first()[0] or 0
-    return pages.join(F.broadcast(table.drop("n")), "host", "left") if size <= broadcast_bytes else common.split_join(pages, table, ["host"], "left")
+    return rows.join(F.broadcast(table.drop("n")), on, "left") if size <= broadcast_bytes else common.split_join(rows, table, on, "left")
 
 
-def shapes(pages: DataFrame, names: bool = True) -> DataFrame:
-    """(host, n, pages, shape) of the hosts with LEAST_PAGES different pages; n rows in all."""
+def read_pages(pages: DataFrame, names: bool = True) -> DataFrame:
+    """(host, shape, slots, copies): the different pages that are not empty, by read_page."""
 
     def run(it):
         for b in it:
-            shape = [written(fold(parse(p, names))) for p in b.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("host"), b.column("hh"), pa.array(shape, pa.string())], ["host", "hh", "shape"])
+            found = [read_page(p, names) for p in b.column("html").to_pylist()]
+            slots = pa.array([[{"k": k, "text": t, "mass": m} for k, t, m in x] for _, x in found], pa.list_(pa.struct([("k", pa.int32()), ("text", pa.int64()), ("mass", pa.int32())])))
+            yield pa.RecordBatch.from_arrays([b.column("host"), b.column("hh"), pa.array([x for x, _ in found], pa.string()), slots], ["host", "hh", "shape", "slots"])
 
-    full = with_host(pages).where("html <> ''").select("host", "hh", "html").mapInArrow(run, "host string, hh long, shape string")
-    one = full.groupBy("host", "hh").agg(F.first("shape").alias("shape"), F.count("*").alias("copies"))
-    alike = one.groupBy("host", "shape").agg(F.count("*").alias("m"), F.sum("copies").alias("copies"))
-    best = alike.groupBy("host").agg(F.sum("copies").alias("n"), F.sum("m").alias("pages"), F.min(F.struct((-F.col("m")).alias("m"), "shape")).alias("x"))
-    return common.checkpoint(best.where(F.col("pages") >= LEAST_PAGES).select("host", "n", "pages", "x.shape"))
+    full = with_host(pages).where("html <> ''").select("host", "hh", "html").mapInArrow(run, "host string, hh long, shape string, slots array<struct<k:int,text:bigint,mass:int>>")
+    one = full.groupBy("host", "hh").agg(F.first(F.struct("shape", "slots")).alias("x"), F.count("*").alias("copies"))
+    return common.checkpoint(one.select("host", "x.shape", "x.slots", "copies"))
 
 
 def wrappers(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES, names: bool = True) -> DataFrame:
-    """(host, n, shape, region, template) of the hosts that have a wrapper."""
-    learned = shapes(pages, names)
+    """(host, n, shape, region, template) of the hosts that have a wrapper; n rows in all."""
+    one = read_pages(pages, names)
+    kinds = one.groupBy("host", "shape").agg(F.count("*").alias("m"), F.sum("copies").alias("copies"))
+    hosts = kinds.groupBy("host").agg(F.sum("copies").alias("rows"), F.sum("m").alias("pages"), F.min(F.struct((-F.col("m")).alias("m"), "shape")).alias("x"))
+    hosts = common.checkpoint(hosts.where(F.col("pages") >= LEAST_PAGES).select("host", "rows", "pages", F.col("x.shape").alias("wrapper"), F.col("pages").alias("n")))
 
     def run(it):
         for b in it:
-            found = [slots_of(p, s, names) for p, s in zip(b.column("html").to_pylist(), b.column("shape").to_pylist(), strict=True)]
-            slots = pa.array([[{"place": a, "key": k, "mass": m} for a, k, m in x] for x in found], pa.list_(pa.struct([("place", pa.int32()), ("key", pa.int64()), ("mass", pa.int32())])))
-            yield pa.RecordBatch.from_arrays([b.column("host"), b.column("hh"), slots], ["host", "hh", "slots"])
-
-    full = _with(with_host(pages).where("html <> ''").select("host", "hh", "html"), learned, broadcast_bytes).where("shape IS NOT NULL").select("host", "hh", "html", "shape")
-    one = full.mapInArrow(run, "host string, hh long, slots array<struct<place:int,key:bigint,mass:int>>").dropDuplicates(["host", "hh"])
-    texts = one.select("host", F.explode("slots").alias("x")).groupBy("host", "x.place", "x.key").agg(F.count("*").alias("m"), F.sum("x.mass").alias("mass"))
-    texts = texts.join(learned.select("host", "pages"), "host").withColumn("constant", (F.col("m") > 1) & (F.col("m") - 1 >= CONSTANT_SHARE * (F.col("pages") - 1)))
-    texts = texts.groupBy("host", "place").agg(F.sum(F.when(F.col("constant"), 0).otherwise(F.col("mass"))).alias("mass"), F.collect_list(F.when(F.col("constant"), F.col("key"))).alias("keys"))
-    texts = texts.groupBy("host").agg(F.collect_list(F.struct("place", "mass")).alias("masses"), F.flatten(F.collect_list("keys")).alias("template"))
+            found = [matched(*x) for x in zip(b.column("shape").to_pylist(), b.column("wrapper").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("host"), b.column("sh"), b.column("n"), b.column("pages"), pa.array([x for x, _ in found], pa.list_(pa.int64())), pa.array([x for _, x in found], pa.list_(pa.int32()))], ["host", "sh", "n", "pages", "slot", "over"])
+
+    known = _with(kinds, hosts.drop("rows"), ["host"], broadcast_bytes).where("wrapper IS NOT NULL")
+    known = known.select("host", F.xxhash64("shape").alias("sh"), F.col("m").alias("n"), "pages", "shape", "wrapper")
+    known = common.checkpoint(known.mapInArrow(run, "host string, sh long, n long, pages long, slot array<bigint>, over array<int>"))
+    texts = one.select("host", F.xxhash64("shape").alias("sh"), F.explode("slots").alias("x")).groupBy("host", "sh", "x.k", "x.text").agg(F.count("*").alias("m"), F.sum("x.mass").alias("mass"))
+    texts = _with(texts, known, ["host", "sh"], broadcast_bytes).where("slot IS NOT NULL")
+    texts = texts.groupBy("host", F.get("slot", F.col("k")).alias("slot"), F.get("over", F.col("k")).alias("over"), "text").agg(F.sum("m").alias("m"), F.sum("mass").alias("mass"), F.first("pages").alias("pages"))
+    texts = texts.withColumn("constant", (F.col("m") > 1) & (F.col("m") - 1 >= CONSTANT_SHARE * (F.col("pages") - 1)))
+    texts = texts.groupBy("host", "over").agg(F.sum(F.when(F.col("constant"), 0).otherwise(F.col("mass"))).alias("mass"), F.collect_list(F.when(F.col("constant"), F.struct("slot", "text"))).alias("keys"))
+    texts = texts.groupBy("host").agg(F.collect_list(F.struct("over", "mass")).alias("masses"), F.flatten(F.collect_list("keys")).alias("template"))
 
     def choose(it):
         for b in it:
-            region = [region_of(s, {x["place"]: x["mass"] for x in m or () if x["place"] >= 0}) for s, m in zip(b.column("shape").to_pylist(), b.column("masses").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("host"), b.column("n"), b.column("shape"), pa.array(region, pa.int32()), b.column("template")], ["host", "n", "shape", "region", "template"])
+            region = [region_of(s, {x["over"]: x["mass"] for x in m or () if x["over"] >= 0}) for s, m in zip(b.column("wrapper").to_pylist(), b.column("masses").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("host"), b.column("rows"), b.column("wrapper"), pa.array(region, pa.int32()), b.column("template")], ["host", "n", "shape", "region", "template"])
 
-    every = learned.join(texts, "host", "left").select("host", "n", "shape", "masses", F.coalesce("template", F.array().cast("array<bigint>")).alias("template"))
-    return common.checkpoint(every.mapInArrow(choose, "host string, n long, shape string, region int, template array<bigint>"))
+    every = hosts.join(texts, "host", "left").select("host", "rows", "wrapper", "masses", F.coalesce("template", F.array().cast("array<struct<slot:bigint,text:bigint>>")).alias("template"))
+    return common.checkpoint(every.mapInArrow(choose, "host string, n long, shape string, region int, template array<struct<slot:bigint,text:bigint>>"))
 
 
 def main_text(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES, names: bool = True, wrapped: bool = True) -> DataFrame:
@@ -470,15 +508,15 @@ def main_text(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES, names: b
     types = dict(pages.dtypes)
     full = with_host(pages)
     if wrapped:
-        full = _with(full, wrappers(pages, broadcast_bytes, names), broadcast_bytes)
+        full = _with(full, wrappers(pages, broadcast_bytes, names), ["host"], broadcast_bytes)
     else:
-        full = full.withColumn("shape", F.lit(None).cast("string")).withColumn("region", F.lit(-1)).withColumn("template", F.lit(None).cast("array<bigint>"))
+        full = full.withColumn("shape", F.lit(None).cast("string")).withColumn("region", F.lit(-1)).withColumn("template", F.lit(None).cast("array<struct<slot:bigint,text:bigint>>"))
 
     def run(it):
         for b in it:
             text = []
             for p, s, r, t in zip(*(b.column(c).to_pylist() for c in ("html", "shape", "region", "template")), strict=True):
-                text.append(extract(p, s, -1 if r is None else r, frozenset(t or ()), names))
+                text.append(extract(p, s, -1 if r is None else r, frozenset((x["slot"], x["text"]) for x in t or ()), names))
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(text, pa.string()), pa.array(map(len, text), pa.int64())], columns)
 
     schema = f"page_id {types['page_id']}, url {types['url']}, text string, n_chars long"

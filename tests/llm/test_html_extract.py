@@ -69,7 +69,7 @@ def test_wrappers_alone_and_names_alone(spark):
     """The tables' texts come out without any names, and the wrapper is what brings them out."""
     df = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     host = {r.page_id: r.host for r in he.with_host(df).collect()}
-    with_wrapper = {r.host for r in he.shapes(df).collect()}
+    with_wrapper = {r.host for r in he.wrappers(df).collect()}
     full, alone, neither = ({r.page_id: r.text for r in x.collect()} for x in (he.main_text(df), he.main_text(df, names=False), he.main_text(df, names=False, wrapped=False)))
     ids = [i for i in full if host[i] in with_wrapper]
     assert len(ids) > 200
