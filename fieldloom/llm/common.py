@@ -12,7 +12,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import tempfile
 import threading
 from collections.abc import Callable, Iterator
 
@@ -22,6 +21,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldloom.plans.checkpoints import checkpoint, ensure_checkpoint_dir  # noqa: F401
+
 U64 = np.uint64
 MASK64 = (1 << 64) - 1
 ASCII_SPACE = bytes([9, 10, 11, 12, 13, 32])
@@ -31,25 +32,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder that spark.checkpoint.dir names; only a local master gets a temporary one."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if named:
-        sc.setCheckpointDir(named)
-    elif sc.master.startswith("local[") or sc.master == "local":
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="fieldloom-checkpoint-"))
-    else:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def delete(spark: SparkSession, path: str) -> None:
     """Delete a folder in whatever store it is."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
