@@ -16,6 +16,7 @@ MODULES = (
     "suffix_dedup",
     "host_rules",
     "substring_dedup",
+    "piece_bpe",
 )
 
 
