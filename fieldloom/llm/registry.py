@@ -16,6 +16,8 @@ MODULES = (
     "suffix_dedup",
     "host_rules",
     "substring_dedup",
+    "prefix_trie",
+    "hard_negatives",
     "piece_bpe",
 )
 
