@@ -11,9 +11,14 @@ from pyspark.sql import functions as F
 Rule = Callable[[list[Column], list[str]], Column]
 
 
+def last_or_null(candidates: list[Column], types: list[str]) -> Column:
+    """The type of the last candidate that is not null, null where there is none."""
+    return F.coalesce(*(F.when(c.isNotNull(), F.lit(t)) for c, t in reversed(list(zip(candidates, types, strict=True)))))
+
+
 def last_non_null(candidates: list[Column], types: list[str]) -> Column:
-    chosen = F.coalesce(*(F.when(c.isNotNull(), F.lit(t)) for c, t in reversed(list(zip(candidates, types, strict=True)))))
-    return F.coalesce(chosen, F.raise_error(F.lit("no candidate is set")).cast("string"))
+    """The same; without a candidate it is an error."""
+    return F.coalesce(last_or_null(candidates, types), F.raise_error(F.lit("no candidate is set")).cast("string"))
 
 
 def column_for(chosen: Column, types: list[str], columns: list[Column]) -> Column:

@@ -1,4 +1,4 @@
-"""List operations on arrays; indexes are from 0. Equal elements stay apart, and positions decide."""
+"""List operations on arrays; indexes are from 0. Equal elements stay apart, and positions decide; a null element is one like any other."""
 
 from __future__ import annotations
 
@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 
 def index_of(xs: Column, e: Column) -> Column:
-    return (F.array_position(xs, e) - 1).cast("int")
+    """Place of the first element equal to e (null equals null), -1 without one; null for a null list."""
+    null_at = F.array_position(F.transform(xs, lambda x: x.isNull()), F.lit(True))
+    return (F.when(e.isNull(), null_at).otherwise(F.array_position(xs, e)) - 1).cast("int")
 
 
 def last_index_of(xs: Column, e: Column) -> Column:
-    at = F.array_position(F.reverse(xs), e)
-    return F.when(at == 0, -1).otherwise(F.size(xs) - at).cast("int")
+    at = index_of(F.reverse(xs), e)
+    return F.when(at < 0, -1).otherwise(F.size(xs) - 1 - at).cast("int")
 
 
 def add(xs: Column, e: Column) -> Column:
@@ -37,11 +39,13 @@ def clear(xs: Column) -> Column:
 
 def paired(xs: Column, ys: Column, e: Column) -> Column:
     """The element of ys at the place where e first stands in xs; null if it does not."""
-    return F.get(ys, F.when(F.array_contains(xs, e), index_of(xs, e)))
+    at = index_of(xs, e)
+    return F.get(ys, F.when(at >= 0, at))
 
 
 def remove_at(xs: Column, i: Column) -> Column:
-    return F.filter(xs, lambda x, k: k != i)
+    """Without the element at place i; a place that is null or outside takes nothing away."""
+    return F.filter(xs, lambda x, k: ~k.eqNullSafe(i))
 
 
 def remove_first(xs: Column, e: Column) -> Column:
@@ -50,12 +54,13 @@ def remove_first(xs: Column, e: Column) -> Column:
 
 
 def remove_all(xs: Column, ys: Column) -> Column:
-    """Without one occurrence for each element of ys."""
+    """Without one occurrence for each element of ys; bags.remove_all is for long lists."""
     return F.aggregate(ys, xs, lambda acc, y: remove_first(acc, y))
 
 
 def retain_all(xs: Column, ys: Column) -> Column:
-    return F.filter(xs, lambda x: F.array_contains(ys, x))
+    """The elements that ys has, null included; bags.retain_all is for long lists."""
+    return F.filter(xs, lambda x: F.exists(ys, lambda y: y.eqNullSafe(x)))
 
 
 def set_at(xs: Column, i: Column, e: Column) -> Column:
@@ -67,4 +72,5 @@ def sub_list(xs: Column, start: Column, end: Column) -> Column:
 
 
 def contains_all(xs: Column, ys: Column) -> Column:
+    """Every element of ys is one of xs; array_except takes null for an element."""
     return F.size(F.array_except(ys, xs)) == 0

@@ -33,8 +33,8 @@ def method_text(owner: Column, name: Column, desc: Column) -> Column:
 
 
 def is_blank(c: Column) -> Column:
-    """No character that is not Unicode white space."""
-    return ~c.rlike(r"(?U)[^\s]")
+    """Null, or no character that is not Unicode white space."""
+    return F.coalesce(~c.rlike(r"(?U)[^\s]"), F.lit(True))
 
 
 def by_length(paths: list[str]) -> list[tuple[int, str]]:

@@ -19,29 +19,39 @@ METAFACTORY_OWNER = "java.lang.invoke.LambdaMetafactory"
 
 
 def edges(insns: DataFrame, last_lambda_only: bool = False) -> DataFrame:
-    """(caller, callee, kind) from insns with a caller column; with last_lambda_only each method keeps its last lambda."""
+    """(caller, callee, kind) from insns with a caller column; with last_lambda_only each method keeps its last lambda (of several at one place the greatest by owner, name and descriptor)."""
     callee = F.struct("owner", "name", "descriptor").alias("callee")
     calls = insns.where("kind = 'CALL'").select("caller", callee, F.lit("call").alias("kind")).distinct()
     lambdas = insns.where((F.col("kind") == "INDY") & (F.col("bootstrap_owner") == METAFACTORY_OWNER) & F.col("bootstrap_name").isin(*METAFACTORIES) & F.col("handle_tag").isin(*METHOD_HANDLES))
     if last_lambda_only:
-        lambdas = lambdas.groupBy("caller").agg(F.max_by(F.struct("owner", "name", "descriptor"), "insn_ord").alias("callee"))
+        lambdas = lambdas.groupBy("caller").agg(F.max(F.struct("insn_ord", "owner", "name", "descriptor")).alias("x")).select("caller", F.struct("x.owner", "x.name", "x.descriptor").alias("callee"))
     else:
         lambdas = lambdas.select("caller", callee).distinct()
     return calls.unionByName(lambdas.withColumn("kind", F.lit("lambda")))
 
 
+#: Steps of one round of closure(), at most; rounds begin with one and double.
+MOST_STEPS = 8
+
+
 def closure(edge: DataFrame, start: DataFrame) -> DataFrame:
-    """(root, node): everything that each start(root) reaches, itself included. Semi-naive, any number of roots at once.
+    """(root, node): everything that each start(root) reaches, itself included. Any number of roots at once.
 
-    Each level joins only what is new, and only that is written; levels are checkpointed, so lineage does not
-    grow. Ends when a level finds nothing new.
+    A round goes on from what the last one found, by 1, 2, 4 and then `MOST_STEPS` steps in one job, and leaves out what is known; only
+    what is new is written, in checkpoints, so lineage does not grow. Ends when a round finds nothing new.
     """
     e = checkpoint(edge.select(F.col("caller").alias("node"), F.col("callee").alias("next")).distinct())
     seen = new = checkpoint(start.select("root", F.col("root").alias("node")).distinct())
+    steps = 1
     while not new.isEmpty():
-        found = new.join(e, "node").select("root", F.col("next").alias("node")).distinct()
+        found, last = None, new
+        for _ in range(steps):
+            last = last.join(e, "node").select("root", F.col("next").alias("node")).distinct()
+            found = last if found is None else found.unionByName(last)
+        found = found.distinct() if steps > 1 else found
         new = checkpoint(found.join(seen, ["root", "node"], "left_anti"))
         seen = seen.unionByName(new)
+        steps = min(2 * steps, MOST_STEPS)
     return seen
 
 
@@ -56,49 +66,81 @@ def call_paths(edge: DataFrame, start: DataFrame) -> DataFrame:
     return found
 
 
+#: Widths of line bins as powers of two: a span lies in at most two bins of the least width that it fits, the last one holds any.
+BIN_BITS = (8, 10, 12, 14, 16, 32)
+
+
 def resolve_frames(frames: DataFrame, lines: DataFrame, key: list[str]) -> DataFrame:
     """frames(key..., line, ...) with the method_ord of lines(key..., method_ord, line); every row and column stays.
 
     The method that has the very line (the last of several), else the first whose lines enclose it, else the
-    first of that name; null without one.
+    first of that name; null without one. Exact lines meet by an equi-join; what is left meets the spans of methods by bins of lines; only the
+    rest goes by name.
     """
-    spans = lines.groupBy(*key, "method_ord").agg(F.min("line").alias("low"), F.max("line").alias("high"), F.collect_set("line").alias("own"))
-    both = frames.select(*key, F.col("line").alias("at")).distinct().join(spans, key)
-    exact = F.array_contains("own", F.col("at"))
-    rank = F.when(exact, 1).when((F.col("at") >= F.col("low")) & (F.col("at") <= F.col("high")), 2).otherwise(3)
-    best = F.min_by("method_ord", F.struct(rank, F.when(exact, -F.col("method_ord")).otherwise(F.col("method_ord"))))
-    found = both.groupBy(*key, F.col("at").alias("line")).agg(best.alias("method_ord"))
+    asked = frames.select(*key, F.col("line").alias("at")).distinct()
+    own = lines.groupBy(*key, F.col("line").alias("at")).agg(F.max("method_ord").alias("exact"))
+    spans = lines.groupBy(*key, "method_ord").agg(F.min("line").cast("long").alias("low"), F.max("line").cast("long").alias("high"))
+    width = F.col("high") - F.col("low")
+    bits = F.coalesce(*(F.when(width < 1 << n, n) for n in BIN_BITS), F.lit(BIN_BITS[-1]))
+    place = lambda c, n: F.floor(c / F.pow(F.lit(2.0), n)).cast("long")
+    binned = spans.withColumn("bits", bits).withColumn("bin", F.explode(F.sequence(place(F.col("low"), F.col("bits")), place(F.col("high"), F.col("bits")))))
+    met = asked.join(own, [*key, "at"], "left")
+    probes = met.where("exact IS NULL").select(*key, "at", F.explode(F.array(*map(F.lit, BIN_BITS))).alias("bits")).withColumn("bin", place(F.col("at"), F.col("bits")))
+    inside = probes.join(binned, [*key, "bits", "bin"]).where((F.col("at") >= F.col("low")) & (F.col("at") <= F.col("high"))).groupBy(*key, "at").agg(F.min("method_ord").alias("around"))
+    named = lines.groupBy(*key).agg(F.min("method_ord").alias("named"))
+    best = F.coalesce("exact", "around", "named").alias("method_ord")
+    found = met.join(inside, [*key, "at"], "left").join(named, key, "left").select(*key, F.col("at").alias("line"), best)
     return frames.join(found, [*key, "line"], "left").select(*frames.columns, "method_ord")
 
 
+def ancestors(above: DataFrame) -> DataFrame:
+    """(class_name, ancestor, depth, path) of above(class_name, super_name, ord): every class that each one inherits from, in order of resolution.
+
+    Nearer ones come first, then those by the path of smaller ord (0 for the superclass, then interfaces in order; 0 for all
+    where the column is absent). A pair is kept once, with its first path, so diamonds give one row and cycles end; a class isn't its own ancestor. Paths are doubled: a
+    round joins those of the greatest length with all of them, so rounds grow as the logarithm of the depth.
+    """
+    ord_ = F.col("ord") if "ord" in above.columns else F.lit(0)
+    step = above.where("super_name <> class_name").groupBy("class_name", F.col("super_name").alias("ancestor")).agg(F.min(ord_).alias("ord"))
+    known = checkpoint(step.select("class_name", "ancestor", F.lit(1).alias("depth"), F.array("ord").alias("path")))
+    reach = 1
+    while True:
+        far = known.where(F.col("depth") == reach).select("class_name", F.col("ancestor").alias("via"), F.col("depth").alias("d1"), F.col("path").alias("p1"))
+        on = known.select(F.col("class_name").alias("via"), "ancestor", F.col("depth").alias("d2"), F.col("path").alias("p2"))
+        longer = far.join(on, "via").where("ancestor <> class_name").select("class_name", "ancestor", (F.col("d1") + F.col("d2")).alias("depth"), F.concat("p1", "p2").alias("path"))
+        first = longer.groupBy("class_name", "ancestor").agg(F.min(F.struct("depth", "path")).alias("x")).select("class_name", "ancestor", "x.depth", "x.path")
+        new = checkpoint(first.join(known.select("class_name", "ancestor"), ["class_name", "ancestor"], "left_anti"))
+        if new.isEmpty():
+            return known
+        known, reach = known.unionByName(new), 2 * reach
+
+
 def find_methods(wanted: DataFrame, declared: DataFrame, above: DataFrame) -> DataFrame:
-    """wanted(class_name, name, descriptor) with found_in: the class itself if it declares the method, else the nearest above that has it public.
+    """wanted(class_name, name, descriptor) with found_in: the class itself if it declares the method, else its first ancestor that has it public.
 
-    declared(class_name, name, descriptor, access), above(class_name, super_name); null if none has it. One join for each level.
+    declared(class_name, name, descriptor, access), above(class_name, super_name[, ord]); null if none has it. Each row of wanted
+    stays one row, whatever cycles and diamonds the parents form.
     """
     key = ["class_name", "name", "descriptor"]
-    own = declared.select(*key, (F.col("access").bitwiseAND(PUBLIC) != 0).alias("public")).distinct()
-    up = above.where("super_name <> class_name").select("class_name", "super_name").distinct()
-    todo = checkpoint(wanted.select(*key, F.col("class_name").alias("at"), F.lit(False).alias("inherited")).distinct())
-    found = todo.select(*key, F.lit(None).cast("string").alias("found_in")).limit(0)
-    while not todo.isEmpty():
-        met = todo.join(own.select(F.col("class_name").alias("at"), "name", "descriptor", "public"), ["at", "name", "descriptor"], "left")
-        hit = ~F.col("inherited") & F.col("public").isNotNull() | F.coalesce("public", F.lit(False))
-        met = checkpoint(met.select(*key, "at", hit.alias("hit")).groupBy(*key, "at").agg(F.max("hit").alias("hit")))
-        found = found.unionByName(met.where("hit").select(*key, F.col("at").alias("found_in")))
-        rest = met.where("NOT hit").join(up.select(F.col("class_name").alias("at"), "super_name"), "at")
-        todo = checkpoint(rest.select(*key, F.col("super_name").alias("at"), F.lit(True).alias("inherited")))
+    own = declared.select(*key).distinct().withColumn("own", F.col("class_name"))
+    public = declared.where(F.col("access").bitwiseAND(PUBLIC) != 0).select(F.col("class_name").alias("ancestor"), "name", "descriptor").distinct()
+    asked = wanted.select(*key).distinct().join(own, key, "left")
+    up = asked.where("own IS NULL").join(ancestors(above), "class_name").join(public, ["ancestor", "name", "descriptor"])
+    best = up.groupBy(*key).agg(F.min_by("ancestor", F.struct("depth", "path")).alias("inherited"))
+    found = asked.join(best, key, "left").select(*key, F.coalesce("own", "inherited").alias("found_in"))
     return wanted.join(found, key, "left")
 
 
-def first_frame(frames: Column, skip: list[str], start: int = 2) -> Column:
-    """The first class name from place `start` on that has none of these parts."""
-    kept = F.filter(F.slice(frames, F.lit(start + 1), F.size(frames) + 1), lambda x: ~_any(x, skip))
+def first_frame(frames: Column, prefixes: list[str], parts: list[str], start: int = 2) -> Column:
+    """The first class name from place `start` on that begins with none of the prefixes and has none of the parts; null names are skipped."""
+    kept = F.filter(F.slice(frames, F.lit(start + 1), F.size(frames) + 1), lambda x: x.isNotNull() & ~_any(x, prefixes, parts))
     return F.get(kept, F.lit(0))
 
 
-def _any(x: Column, parts: list[str]) -> Column:
+def _any(x: Column, prefixes: list[str], parts: list[str]) -> Column:
     out = F.lit(False)
+    for p in prefixes:
+        out = out | x.startswith(p)
     for p in parts:
         out = out | x.contains(p)
     return out

@@ -1,15 +1,19 @@
-"""Change-tracked lists: a log of INSERT, DELETE and REPLACE rows, replayed onto arrays.
+"""Change-tracked lists: a log of INSERT, DELETE and REPLACE rows, replayed onto lists.
 
 Positions are resolved before a change, so equal elements and the two sides of a list never come apart.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from fieldloom.functions import lists
+from fieldloom.operators.rope import Rope
 
+#: Lists that are given back at once.
+OUT_ROWS = 1000
 OPS = ("INSERT", "DELETE", "REPLACE")
 
 
@@ -27,18 +31,58 @@ def clearing(state: DataFrame, key: str, seq: int, items: str = "items") -> Data
 
 
 def replay(state: DataFrame, log: DataFrame, key: str, items: str = "items") -> DataFrame:
-    """state(key, items) after log(key, seq, op, pos, value) in order of seq; pos from 0, null is the end.
+    """state(key, items, ...) after log(key, seq, op, pos, value) in order of seq; pos from 0, for INSERT null is the end.
 
-    A key's changes are folded by one array expression: one shuffle by key, no driver loop.
+    A position that is out of range or missing, an unknown op and a null element to put in are errors. Lists without changes are not touched; the
+    others meet their changes in one shuffle, in order, and a task streams them through a Rope, so a list of n elements with m
+    changes takes (n + m) log n steps and its log is never one row. A null list or a key that only the log has stays as it is.
     """
-    change = F.struct("seq", "op", "pos", "value")
-    grouped = log.groupBy(key).agg(F.sort_array(F.collect_list(change)).alias("_log"))
-    both = state.join(grouped, key, "left")
+    changed = log.select(key).distinct()
+    rest, touched = state.join(changed, key, "left_anti"), state.join(changed, key, "left_semi")
+    element = state.schema[items].dataType.elementType
+    none = lambda kind: F.lit(None).cast(kind)
+    rows = touched.select(*touched.columns, none("long").alias("_seq"), none("string").alias("_op"), none("long").alias("_pos"), none(element).alias("_value"), F.lit(0).alias("_change"))
+    steps = log.where(F.col(key).isNotNull()).select(*(F.col(c) if c == key else none(touched.schema[c].dataType).alias(c) for c in touched.columns), F.col("seq").cast("long").alias("_seq"), F.col("op").alias("_op"), F.col("pos").cast("long").alias("_pos"), F.col("value").cast(element).alias("_value"), F.lit(1).alias("_change"))
+    met = rows.unionByName(steps).repartition(key).sortWithinPartitions(key, "_change", "_seq", "_op", "_pos")
+    arrow = to_arrow_schema(state.schema)
 
-    def step(acc, c):
-        at = F.coalesce(c["pos"], F.size(acc))
-        ok = F.when(c["value"].isNull() & (c["op"] != "DELETE"), F.raise_error(F.lit("null element")).cast("boolean")).when((at < 0) | (at > F.size(acc)), F.raise_error(F.lit("no such position")).cast("boolean")).otherwise(F.lit(True))
-        return F.when(ok & (c["op"] == "INSERT"), lists.add_at(acc, at, c["value"])).when(c["op"] == "DELETE", lists.remove_at(acc, at)).when(c["op"] == "REPLACE", lists.set_at(acc, at, c["value"])).otherwise(acc)
+    def run(it):
+        held, ready = [], []
+        for b in it:
+            for r in b.to_pylist():
+                if not r["_change"]:
+                    if held and held[0][0][key] != r[key]:
+                        ready += map(finish, held)
+                        held = []
+                    held.append((r, None if r[items] is None else Rope(r[items])))
+                elif held and held[0][0][key] == r[key]:
+                    for _, xs in held:
+                        if xs is not None:
+                            step(xs, r)
+                if len(ready) >= OUT_ROWS:
+                    yield pa.RecordBatch.from_pylist(ready, schema=arrow)
+                    ready = []
+        ready += map(finish, held)
+        if ready:
+            yield pa.RecordBatch.from_pylist(ready, schema=arrow)
 
-    folded = F.aggregate(F.coalesce("_log", F.slice(F.col("_log"), 1, 0)), F.col(items), step)
-    return both.withColumn(items, F.when(F.col("_log").isNull(), F.col(items)).otherwise(folded)).drop("_log")
+    def finish(x):
+        row, xs = x
+        return {c: row[c] for c in arrow.names} | {items: None if xs is None else list(xs)}
+
+    def step(xs: Rope, r: dict) -> None:
+        op, at, value = r["_op"], r["_pos"], r["_value"]
+        if op not in OPS:
+            raise ValueError(f"unknown change: {op}")
+        if value is None and op != "DELETE":
+            raise ValueError("null element")
+        if op == "INSERT":
+            xs.insert(len(xs) if at is None else at, value)
+        elif at is None:
+            raise IndexError("no such position")
+        elif op == "DELETE":
+            xs.delete(at)
+        else:
+            xs.set(at, value)
+
+    return rest.unionByName(met.mapInArrow(run, state.schema))

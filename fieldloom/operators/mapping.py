@@ -80,6 +80,15 @@ def is_basic(kind: T.DataType) -> bool:
     return isinstance(kind, (T.BooleanType, T.NumericType, T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType, T.TimeType))
 
 
+def declared(kind: T.DataType, path: str = "") -> Field:
+    """The mapping of a domain field of this type: a basic value is taken as it is, any other becomes a struct around the value, named as its first field."""
+    if is_basic(kind):
+        return Field(path)
+    if not isinstance(kind, T.StructType) or not kind.names:
+        raise TypeError(f"{kind.simpleString()} cannot hold a single value")
+    return Field(path, kind.names[0])
+
+
 def _walk(c: Column, segments: list[str]) -> Column:
     for s in segments:
         c = c.getField(s)

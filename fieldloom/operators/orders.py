@@ -23,7 +23,8 @@ def add_item(items: Column, item: Column) -> Column:
 
 
 def remove_item(items: Column, product_id: Column) -> Column:
-    return F.filter(items, lambda x: x["product_id"] != product_id)
+    """Without the items of this product; one without a product stays."""
+    return F.filter(items, lambda x: ~(x["product_id"].eqNullSafe(product_id) & product_id.isNotNull()))
 
 
 def transition(status: Column, before: list[str], after: str, also: Column | None = None) -> Column:
@@ -99,4 +100,5 @@ def increment_age(age: Column) -> Column:
 
 
 def valid_user(user_id: Column, name: Column, email: Column, age: Column) -> Column:
-    return ~is_blank(user_id) & ~is_blank(name) & email.contains("@") & (age >= 0)
+    """False where any part is missing."""
+    return ~is_blank(user_id) & ~is_blank(name) & F.coalesce(email.contains("@"), F.lit(False)) & F.coalesce(age >= 0, F.lit(False))

@@ -51,5 +51,5 @@ def analyse(spark: SparkSession, project: str, options: Options = Options()) ->
     if options.output:
         report.write(found, options.output, options.form)
     if options.verbose:
-        print(report.as_log(found))
+        report.log(found)
     return found

@@ -1,22 +1,24 @@
-"""Reports of property access: JSON, text and console. Reports are for people, so rows are collected."""
+"""Reports of property access and call trees, written where the data is: rows are sorted and written by Spark, on any path that it can write.
+
+A report is lines in order. It becomes one file, or a folder of part files whose names are in the order of their lines
+(`parts`): then as many tasks write as the report needs. Files are written beside the target and renamed into place when
+all are complete, so a failed job leaves the report of before.
+"""
 
 from __future__ import annotations
 
-from pathlib import Path
+import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.functions.naming import joined
+from fieldloom.plans.checkpoints import checkpoint
 
 FORMATS = ("JSON", "TXT")
 
 
-def as_json(classes: DataFrame) -> str:
-    rows = [r[0] for r in classes.orderBy("class_name").select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).toLocalIterator()]
-    return "[\n  " + ",\n  ".join(rows) + "\n]" if rows else "[]"
-
-
 def text_of(classes: DataFrame, calls: bool = True) -> DataFrame:
     """(class_name, text): a class's part of the text report."""
 
@@ -31,21 +33,69 @@ def text_of(classes: DataFrame, calls: bool = True) -> DataFrame:
     return classes.select("class_name", F.concat(F.lit("class: "), F.col("class_name"), F.lit("\n"), body).alias("text"))
 
 
-def as_text(classes: DataFrame, calls: bool = True) -> str:
-    return "\n".join([*(r.text for r in text_of(classes, calls).orderBy("class_name").toLocalIterator()), f"total: {classes.count()}"])
+def _in_order(rows: DataFrame, *keys: str) -> tuple[DataFrame, int, int]:
+    """(at, value) of rows(keys..., value) in order of the keys, their number, and the last place; the sorted rows are checkpointed."""
+    placed = checkpoint(rows.orderBy(*keys).select("value").withColumn("at", F.monotonically_increasing_id()))
+    n, last = placed.agg(F.count("*"), F.max("at")).first()
+    return placed.select("at", "value"), n, -1 if last is None else last
 
 
-def as_log(classes: DataFrame) -> str:
-    """The text report under a line that says what was found."""
-    return f"analysis finished, {classes.count()} aggregate classes\n{as_text(classes)}"
+def _around(body: DataFrame, last: int, head: list[str], foot: list[str]) -> DataFrame:
+    more = [(k - len(head), x) for k, x in enumerate(head)] + [(last + 1 + k, x) for k, x in enumerate(foot)]
+    return body.unionByName(body.sparkSession.createDataFrame(more, "at long, value string")) if more else body
 
 
-def write(classes: DataFrame, path: str, form: str = "JSON") -> None:
+def lines(classes: DataFrame, form: str = "JSON", calls: bool = True, head: str | None = None) -> DataFrame:
+    """(at, value): the report's lines, at in their order. JSON: an array with an object on each line; text: a part for each class, then the total."""
     if form.upper() not in FORMATS:
         raise ValueError(f"unknown format: {form}")
-    Path(path).write_text(as_json(classes) if form.upper() == "JSON" else as_text(classes))
+    if form.upper() == "TXT":
+        body, n, last = _in_order(text_of(classes, calls).select("class_name", F.col("text").alias("value")), "class_name", "value")
+        return _around(body, last, [] if head is None else [head.format(n)], [f"total: {n}"])
+    objects = classes.select("class_name", F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
+    body, n, last = _in_order(objects, "class_name", "value")
+    ended: Column = F.when(F.col("at") == last, "").otherwise(",")
+    return _around(body.select("at", F.concat(F.lit("  "), F.col("value"), ended).alias("value")), last, ["["], ["]"])
+
+
+def write_lines(ordered: DataFrame, path: str, parts: bool = False) -> None:
+    """Lines (at, value) as one text file, or as a folder of part files in order."""
+    spark = ordered.sparkSession
+    rows = ordered.orderBy("at").select("value")
+    beside = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    (rows if parts else rows.coalesce(1)).write.text(beside)
+    jvm = spark._jvm
+    at, target = (jvm.org.apache.hadoop.fs.Path(p) for p in (beside, path.rstrip("/")))
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    made = at if parts else next(x.getPath() for x in fs.listStatus(at) if x.getPath().getName().startswith("part-"))
+    fs.delete(target, True)
+    if not fs.rename(made, target):
+        raise OSError(f"cannot rename to {path}")
+    fs.delete(at, True)
+
+
+def write(classes: DataFrame, path: str, form: str = "JSON", parts: bool = False) -> None:
+    write_lines(lines(classes, form), path, parts)
+
+
+def say(ordered: DataFrame, out: Callable[[str], object] = print) -> None:
+    """Lines to the driver's console, one after the other: the driver holds one partition at a time."""
+    for r in ordered.orderBy("at").select("value").toLocalIterator():
+        out(r.value)
+
+
+def log(classes: DataFrame, out: Callable[[str], object] = print) -> None:
+    """The text report under a line that says what was found."""
+    say(lines(classes, "TXT", head="analysis finished, {} aggregate classes"), out)
+
+
+def tree_lines(paths: DataFrame) -> DataFrame:
+    """(at, value): call paths (path array) as the lines of an indented tree, a caller before what it calls."""
+    depth = F.size("path")
+    text = F.concat(F.repeat(F.lit("    "), depth - 2), F.when(depth > 1, F.lit("└── ")).otherwise(""), F.element_at("path", -1))
+    return _in_order(paths.select("path", text.alias("value")), "path")[0]
 
 
-def tree_text(paths: DataFrame) -> str:
-    """Call paths (path array, node) as an indented tree."""
-    return "\n".join("    " * (len(p) - 2) + ("└── " if len(p) > 1 else "") + p[-1] for p in sorted(r.path for r in paths.toLocalIterator()))
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, value) of a written report; file names are in the order of the lines."""
+    return spark.read.text(path).select(F.input_file_name().alias("file"), "value")

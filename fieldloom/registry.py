@@ -3,25 +3,28 @@
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldloom.functions import defaults, lists
 from fieldloom.functions import entry as entry_forms
-from fieldloom.functions.choice import column_for, last_non_null
+from fieldloom.functions.choice import column_for, last_or_null
 from fieldloom.functions.naming import accessor_kind, accessor_property, is_blank, joined, method_text
-from fieldloom.operators import callgraph, hydrate, members, orders
+from fieldloom.operators import bags, callgraph, hydrate, members, orders
 from fieldloom.operators.changes import adding_all, clearing, replay
-from fieldloom.operators.mapping import Binding, Field, Fields, ListFields, Poly, PolyFields, PolyListFields
+from fieldloom.operators.mapping import Binding, declared, Field, Fields, ListFields, Poly, PolyFields, PolyListFields
 from fieldloom.operators.property_access import classes_report, facts, methods_report
-from fieldloom.plans import fetch, report
-from fieldloom.plans.checkpoints import checkpoint
-from fieldloom.sources import classfile
+from fieldloom.plans import analysis, fetch, report
+from fieldloom.plans.checkpoints import checkpoint, ensure_checkpoint_dir
+from fieldloom.sources import classfile, scan
 from fieldloom.sources.assemble import class_file
+from fieldloom.sources.store import EntityOperator, ParquetStore, Schemas
 
 ROLE = "Lexample/AggregateRoot;"
 METAFACTORY = callgraph.METAFACTORY_OWNER
@@ -43,7 +46,11 @@ LAMBDAS = [
 #: Customers as nodes: a heap, and ways back.
 DOWN = ["CAST(floor(c_custkey / 2) AS BIGINT) AS caller", "c_custkey AS callee"]
 BACK = ["c_custkey AS caller", "CAST(floor(c_custkey / 3) AS BIGINT) AS callee"]
+#: A class's parents in order: two that meet again above, and for some one below, which makes a cycle.
+PARENTS = ["CAST(floor(c_custkey / 2) AS BIGINT)", "CAST(floor(c_custkey / 3) AS BIGINT)", "CASE WHEN c_nationkey = 3 THEN 2 * c_custkey END"]
 ACCESSORS = ["p_partkey", "CASE p_size % 7 WHEN 0 THEN 'get' WHEN 1 THEN 'is' WHEN 2 THEN 'set' WHEN 3 THEN 'issue' WHEN 4 THEN 'other' WHEN 5 THEN '<init>' ELSE 'getaway' END || CASE WHEN p_partkey % 5 = 0 OR p_size % 7 = 5 THEN '' ELSE replace(p_brand, '#', '') END AS name"]
+#: Class names of frames: proxies and platform classes, and names that only contain a platform prefix.
+FRAME_NAME = "CASE event_type WHEN 'click' THEN 'x.Proxy$1' WHEN 'view' THEN 'java.lang.Thread' WHEN 'error' THEN 'org.springframework.X' WHEN 'signup' THEN 'com.java.App' ELSE 'app.' || event_type END"
 LINES = ["l_suppkey AS cls", "l_returnflag AS name", "l_linenumber AS method_ord", "l_partkey AS line"]
 FRAMES = ["o_orderkey", "o_custkey AS cls", "CASE o_orderstatus WHEN 'F' THEN 'A' WHEN 'O' THEN 'N' ELSE 'R' END AS name", "o_orderkey % 2500 AS line"]
 
@@ -74,16 +81,16 @@ def element_sum(spark, d):
 
 
 def poly_choice(spark, d):
-    e = _t(spark, d, "events").where("event_type <> 'view' OR value > 50")
+    e = _t(spark, d, "events")
     c = [F.when(F.col("event_type") == "click", F.col("value")), F.when(F.col("value") > 50, F.col("value")), F.when(F.col("event_type") != "view", F.col("value") * 2)]
     types = ["click", "large", "other"]
-    chosen = e.select("event_id", last_non_null(c, types).alias("type"), *(x.alias(t) for x, t in zip(c, types, strict=True)))
+    chosen = e.select("event_id", last_or_null(c, types).alias("type"), *(x.alias(t) for x, t in zip(c, types, strict=True)))
     return chosen.select("event_id", "type", column_for(F.col("type"), types, [F.col(t) for t in types]).alias("chosen"))
 
 
 def accessor_inference(spark, d):
     n = F.col("name")
-    return _t(spark, d, "part").selectExpr(*ACCESSORS).where(n != "<init>").select("p_partkey", "name", accessor_kind(n).alias("kind"), accessor_property(n).alias("property"))
+    return _t(spark, d, "part").selectExpr(*ACCESSORS).select("p_partkey", "name", accessor_kind(n).alias("kind"), accessor_property(n).alias("property"))
 
 
 def _calls(spark, d):
@@ -102,6 +109,11 @@ def call_tree(spark, d):
     return callgraph.call_paths(edge, _t(spark, d, "region").selectExpr("concat('r', r_regionkey) AS root")).select(F.array_join("path", "/").alias("path"), "node")
 
 
+def call_tree_text(spark, d):
+    paths = call_tree(spark, d).select(F.split("path", "/").alias("path"))
+    return report.tree_lines(paths).select("value")
+
+
 def frame_resolve(spark, d):
     return callgraph.resolve_frames(_t(spark, d, "orders").selectExpr(*FRAMES), _t(spark, d, "lineitem").selectExpr(*LINES), ["cls", "name"])
 
@@ -151,6 +163,17 @@ def _lists(spark, d):
     return _items(spark, d).select("o_orderkey", F.struct("o_orderstatus", "items").alias("order"))
 
 
+def entity_ops(spark, d):
+    """Entities of a class by its schemas, a value wrapped by its domain type, and lists changed through the adapter."""
+    schemas = Schemas({"shop.Order": {"order": T.StructType().add("id", "long").add("tags", T.ArrayType(T.StringType())), "place": T.StructType().add("code", "string")}})
+    op, e = EntityOperator(), F.col("order")
+    df = _t(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus", *schemas.create("shop.Order"))
+    df = df.withColumn("order", op.set(op.set(e, "id", F.col("o_orderkey")), "tags", F.array("o_orderpriority", "o_orderstatus", "o_orderpriority")))
+    df = df.withColumn("order", op.add(e, "tags", F.lit("end"))).withColumn("order", op.add_at(e, "tags", F.lit(1), F.lit("new"))).withColumn("order", op.remove(e, "tags", F.col("o_orderpriority")))
+    b, money = Binding(["order", "place"], [e, F.col("place")]), T.StructType().add("number", "long")
+    return df.select("o_orderkey", F.array_join(op.get(e, "tags"), ",").alias("tags"), b.read(declared(money, "order:id")).alias("w"), b.read(declared(T.LongType(), "order:id")).alias("id"), b.read(declared(T.StringType(), "place:code")).alias("code")).select("o_orderkey", "tags", "w.number", "id", "code")
+
+
 def list_map(spark, d):
     b = Binding(["order"], [F.col("order")])
     df = _lists(spark, d).select("o_orderkey", F.explode(b.read(ListFields("order:items", {"product": "base:product_id", "quantity": "base:quantity", "status": "order:o_orderstatus"}))).alias("x"))
@@ -180,7 +203,7 @@ def retain_all(spark, d):
 def list_replay(spark, d):
     users = _types_by_user(spark, d).select("user_id", F.col("xs").alias("items"))
     change = lambda seq, op, pos, value: F.struct(F.lit(seq).alias("seq"), F.lit(op).alias("op"), F.lit(pos).cast("int").alias("pos"), F.lit(value).cast("string").alias("value"))
-    log = users.select("user_id", F.explode(F.array(change(1, "INSERT", 0, "new"), change(2, "INSERT", None, "end"), change(3, "DELETE", 1, None))).alias("c")).select("user_id", "c.*")
+    log = users.select("user_id", F.explode(F.array(change(1, "INSERT", 0, "new"), change(2, "INSERT", None, "end"), change(3, "DELETE", 1, None), change(4, "REPLACE", 0, "first"))).alias("c")).select("user_id", "c.*")
     return replay(users, log, "user_id").select("user_id", F.array_join("items", ",").alias("items"))
 
 
@@ -195,6 +218,24 @@ def upsert_replace(spark, d):
     return roots.join(n, "o_orderkey", "left").select("o_orderkey", "o_orderstatus", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "quantity")
 
 
+def store_save(spark, d):
+    """The same save through a store: two tables are written and changed by one store object and read by another."""
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+    o, li = _t(spark, d, "orders").select("o_orderkey", "o_orderstatus"), _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    writer = ParquetStore(spark, folder)
+    writer.write("orders", o)
+    writer.write("lines", li)
+    changed = o.where("o_orderstatus = 'P'")
+    delta = changed.select("o_orderkey", F.lit("S").alias("o_orderstatus")).unionByName(changed.select((-F.col("o_orderkey") - 1).alias("o_orderkey"), F.lit("N").alias("o_orderstatus")))
+    children = delta.select(F.col("o_orderkey").alias("l_orderkey"), F.lit(1).alias("l_linenumber"), F.lit(9.0).alias("l_quantity"))
+    writer.save("orders", delta, "o_orderkey")
+    writer.save_children("lines", children, children, "l_orderkey")
+    reader = ParquetStore(spark, folder)
+    n = reader.read("lines").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"), F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("decimal(18,2)").alias("quantity"))
+    return reader.read("orders").join(n, "o_orderkey", "left").select("o_orderkey", "o_orderstatus", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "quantity")
+
+
 def status_transition(spark, d):
     s = F.expr("CASE o_orderstatus WHEN 'O' THEN 'PENDING' WHEN 'P' THEN 'CONFIRMED' ELSE 'SHIPPED' END")
     df = _items(spark, d).select("o_orderkey", s.alias("status"), "items")
@@ -204,7 +245,7 @@ def status_transition(spark, d):
 
 def validate_rows(spark, d):
     c = _t(spark, d, "customer")
-    name, email = F.when(F.col("c_custkey") % 7 == 0, F.lit(" \t")).otherwise(F.col("c_name")), F.when(F.col("c_custkey") % 5 == 0, F.lit("none")).otherwise(F.concat(F.lit("u@"), F.col("c_mktsegment")))
+    name, email = F.when(F.col("c_custkey") % 7 == 0, F.lit(" \t")).when(F.col("c_custkey") % 11 != 0, F.col("c_name")), F.when(F.col("c_custkey") % 5 == 0, F.lit("none")).otherwise(F.concat(F.lit("u@"), F.col("c_mktsegment")))
     return c.select("c_custkey", is_blank(name).alias("blank"), orders.valid_user(F.col("c_custkey").cast("string"), name, email, F.col("c_acctbal")).alias("valid"))
 
 
@@ -244,11 +285,101 @@ def class_facts(spark, d):
     return rows.select("class_name", method_text(F.lit(""), F.col("method_name"), F.col("method_desc")).alias("method"), joined(F.col("reads")).alias("reads"), joined(F.col("writes")).alias("writes"), joined(calls).alias("calls"))
 
 
+def _jars(it):
+    """One jar of a task's classes, in the folder of checkpoints that all executors share."""
+    for path, rows in it:
+        store, inner, _ = scan._store(path)
+        store.create_dir(inner.rpartition("/")[0])
+        with store.open_output_stream(inner) as f, zipfile.ZipFile(f, "w", zipfile.ZIP_DEFLATED) as z:
+            for name, b in rows:
+                z.writestr(name, b)
+        yield path
+
+
+def class_scan(spark, d):
+    """Customers' classes, written as jars by tasks, and scanned again by runs of entries."""
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+
+    def write(it):
+        def entries():
+            for pdf in it:
+                for k, segment in zip(pdf["c_custkey"].tolist(), pdf["c_mktsegment"], strict=True):
+                    b = class_file(f"shop.C{k}", [("update", "()V", [("getfield", f"shop.C{k}", "balance", "D")])] * (k % 3), (), f"shop.C{k // 2}")
+                    yield f"shop/C{k}.class", b[:40] if segment == "MACHINERY" else b
+
+        paths = list(_jars([(f"{folder}/{TaskContext.get().partitionId()}.jar", entries())]))
+        yield pd.DataFrame({"path": paths})
+
+    written = _t(spark, d, "customer").select("c_custkey", "c_mktsegment").mapInPandas(write, "path string").collect()
+    found = scan.read(spark, *(r.path for r in written), columns=["entry_name", "class_name", "super_name", "methods", "corrupt"])
+    return found.select("entry_name", "class_name", "super_name", F.size("methods").alias("n_methods"), F.col("corrupt").isNotNull().alias("corrupt"))
+
+
+def _built(spark, d):
+    """A project folder with the customers' class files in its build folder, and the paths of their jars, written by tasks."""
+    ensure_checkpoint_dir(spark)
+    project = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+
+    def write(it):
+        for pdf in it:
+            paths = [f"{project}/{analysis.BUILD_FOLDERS[1] if p.endswith('.class') else 'lib'}/{p}" for p in pdf["path"]]
+            for path, content in zip(paths, pdf["content"], strict=True):
+                store, inner, _ = scan._store(path)
+                store.create_dir(inner.rpartition("/")[0])
+                with store.open_output_stream(inner) as f:
+                    f.write(bytes(content))
+            yield pd.DataFrame({"path": [p for p in paths if p.endswith(".jar")]})
+
+    files = _t(spark, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment").mapInPandas(_assembled, "path string, content binary")
+    return project, [r.path for r in files.mapInPandas(write, "path string").collect()]
+
+
+def build_scan(spark, d):
+    """The whole analysis of a project by its build folder."""
+    project, _ = _built(spark, d)
+    return analysis.analyse(spark, project).select("class_name", F.size("methods").alias("n_methods"))
+
+
+def path_dispatch(spark, d):
+    """Folders, class files, jars and files of other kinds in one list of paths; a path that is given twice counts twice."""
+    project, jars = _built(spark, d)
+    folder = f"{project}/{analysis.BUILD_FOLDERS[1]}"
+    found = scan.read(spark, folder, *jars, *jars[:1], columns=["source_path", "entry_name", "class_name", "corrupt"])
+    kind = F.when(F.col("source_path").endswith(".jar"), "jar").otherwise("file")
+    return found.groupBy(kind.alias("kind"), F.col("entry_name") != "").agg(F.count_distinct("source_path").alias("n"), F.count_distinct("class_name").alias("classes")).select("kind", "n", "classes")
+
+
+def class_by_name(spark, d):
+    """Nations' numbers as class names, looked for in the build folder by a filter that reaches the scan."""
+    project, jars = _built(spark, d)
+    names = [f"shop/C{r.n_nationkey}" for r in _t(spark, d, "nation").select("n_nationkey").collect()]
+    return scan.find(spark, [f"{project}/{analysis.BUILD_FOLDERS[1]}", *jars], *names, columns=["class_name", "super_name", "annotations"]).select("class_name", "super_name", joined(F.col("annotations")).alias("roles"))
+
+
 def method_report(spark, d):
     t = _class_tables(spark, d)
     return report.text_of(classes_report(t["classes"], t["methods"], t["insns"], [ROLE]))
 
 
+def _reported(spark, d, form, parts):
+    ensure_checkpoint_dir(spark)
+    t, path = _class_tables(spark, d), f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+    report.write(classes_report(t["classes"], t["methods"], t["insns"], [ROLE]), path, form, parts)
+    return path
+
+
+def report_text(spark, d):
+    """The lines of the text report, from the folder of files that they were written to."""
+    return report.read_lines(spark, _reported(spark, d, "TXT", True)).select("value")
+
+
+def report_json(spark, d):
+    """The JSON report's objects, from the one file that it was written to."""
+    found = spark.read.option("multiLine", "true").schema("class_name string, is_aggregate_root boolean, methods array<struct<method_name:string,reads:array<string>>>").json(_reported(spark, d, "JSON", False))
+    return found.select("class_name", "is_aggregate_root", F.explode("methods").alias("m")).select("class_name", "is_aggregate_root", "m.method_name", joined(F.col("m.reads")).alias("reads"))
+
+
 def caller_fetch(spark, d):
     t = _class_tables(spark, d)
     frames = _t(spark, d, "customer").select(F.concat(F.lit("shop.C"), F.col("c_custkey").cast("string")).alias("class_name"), F.lit("update").alias("method_name"), F.lit(1).alias("line"))
@@ -270,8 +401,8 @@ def find_inherited(spark, d):
     key = F.col("c_custkey")
     wanted = c.select(cls(key).alias("class_name"), name(F.col("c_nationkey")).alias("name"), F.lit("()V").alias("descriptor"))
     declared = c.select(cls(key).alias("class_name"), name(key).alias("name"), F.lit("()V").alias("descriptor"), (key % 3).cast("int").alias("access"))
-    above = c.where("c_custkey > 0").select(cls(key).alias("class_name"), cls(F.floor(key / 2).cast("long")).alias("super_name"))
-    return callgraph.find_methods(wanted, declared, above)
+    parents = c.selectExpr("c_custkey", f"inline(array({', '.join(f'struct({up} AS up, {i} AS ord)' for i, up in enumerate(PARENTS))}))").where("up IS NOT NULL")
+    return callgraph.find_methods(wanted, declared, parents.select(cls(key).alias("class_name"), cls(F.col("up")).alias("super_name"), "ord"))
 
 
 def entry_keys(spark, d):
@@ -283,9 +414,9 @@ def entry_keys(spark, d):
 
 
 def first_frames(spark, d):
-    name = F.expr("CASE event_type WHEN 'click' THEN 'x.Proxy$1' WHEN 'view' THEN 'java.lang.Thread' WHEN 'error' THEN 'org.springframework.X' ELSE 'app.' || event_type END")
+    name = F.expr(FRAME_NAME)
     e = _t(spark, d, "events").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_id", name.alias("frame")))).alias("e"))
-    return e.select("user_id", callgraph.first_frame(F.transform("e", lambda x: x["frame"]), ["Proxy", "java.", "springframework", "cglib"]).alias("frame"))
+    return e.select("user_id", callgraph.first_frame(F.transform("e", lambda x: x["frame"]), ["java.", "org.springframework."], ["Proxy$"]).alias("frame"))
 
 
 # --- lists, members, entities -------------------------------------------------------------------------
@@ -298,6 +429,27 @@ def list_ops(spark, d):
     return _types_by_user(spark, d).select("user_id", *(F.array_join(c, ",").alias(k) for k, c in out.items()), lists.index_of(xs, n("view")).alias("first"), lists.last_index_of(xs, n("view")).alias("last"), lists.contains_all(xs, two).alias("both"), lists.paired(xs, place, n("error")).alias("pair"))
 
 
+def list_nulls(spark, d):
+    """Lists with null elements, and null as an argument."""
+    e = _t(spark, d, "events").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_id", F.expr("nullif(event_type, 'error')").alias("t")))).alias("e"))
+    xs, none = F.col("xs"), F.lit(None).cast("string")
+    two = F.array(none, F.lit("click"))
+    said = lambda c: F.array_join(c, ",", "-")
+    return e.select("user_id", F.transform("e", lambda x: x["t"]).alias("xs")).select(
+        "user_id", said(lists.remove_first(xs, none)).alias("without"), said(lists.remove_all(xs, two)).alias("removed"), said(lists.retain_all(xs, two)).alias("retained"), lists.index_of(xs, none).alias("first"), lists.last_index_of(xs, none).alias("last"), lists.contains_all(xs, two).alias("both"),
+    )
+
+
+def list_bags(spark, d):
+    """Each user's event types, null for errors, without one occurrence for each event of a large value; and those of the types that have a large one."""
+    e = _t(spark, d, "events").select("user_id", "event_id", "value", F.expr("nullif(event_type, 'error')").alias("t"))
+    users = e.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_id", "t"))).alias("e")).select("user_id", F.transform("e", lambda x: x["t"]).alias("items"))
+    large = e.where("value > 50").select("user_id", F.col("t").alias("value"))
+    said = F.array_join("items", ",", "-")
+    kept = bags.retain_all(users, large, "user_id").select("user_id", said.alias("kept"))
+    return bags.remove_all(users, large, "user_id").select("user_id", said.alias("removed")).join(kept, "user_id")
+
+
 def list_clear_refill(spark, d):
     users = _types_by_user(spark, d).select("user_id", F.col("xs").alias("items"))
     new = users.select("user_id", F.slice("items", 1, 2).alias("values"), F.lit(0).alias("at"))
@@ -315,8 +467,7 @@ def list_listener(spark, d):
 
 def poly_field(spark, d):
     o = _t(spark, d, "orders").select("o_orderkey", F.struct(F.when(F.col("o_orderpriority").startswith("1"), F.col("o_totalprice")).alias("urgent"), F.when(F.col("o_totalprice") > 200000, F.col("o_totalprice")).alias("large"), F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice")).alias("plain"), F.col("o_totalprice").alias("price")).alias("order"))
-    o = o.where("order.urgent IS NOT NULL OR order.large IS NOT NULL OR order.plain IS NOT NULL")
-    m = PolyFields({"Urgent": "order:urgent", "Large": "order:large", "Plain": "order:plain"}, {"price": Poly("order:price"), "amount": Poly(by_type={"Urgent": "order:urgent", "Large": "order:large", "Plain": "order:plain"})})
+    m = PolyFields({"Urgent": "order:urgent", "Large": "order:large", "Plain": "order:plain"}, {"price": Poly("order:price"), "amount": Poly(by_type={"Urgent": "order:urgent", "Large": "order:large", "Plain": "order:plain"})}, last_or_null)
     return o.select("o_orderkey", Binding(["order"], [F.col("order")]).read(m).alias("x")).select("o_orderkey", "x.*")
 
 
@@ -332,7 +483,8 @@ def new_entities(spark, d):
 
 
 def order_items(spark, d):
-    o, items = _items(spark, d), F.col("items")
+    o = _items(spark, d).withColumn("items", F.transform("items", lambda x: x.withField("product_id", F.when(x["product_id"] % 7 != 0, x["product_id"]))))
+    items = F.col("items")
     item = F.struct(F.lit(0).cast("long").alias("product_id"), F.lit(2).cast("decimal(18,2)").alias("quantity"), F.lit(5).cast("decimal(18,2)").alias("unit_price"), F.lit(0).alias("l_linenumber"))
     more, less = orders.add_item(items, item.cast(o.schema["items"].dataType.elementType)), orders.remove_item(items, F.col("o_orderkey") % 50)
     said = orders.order_summary(F.col("o_orderkey"), F.col("o_orderstatus"), orders.total(more), F.lit("PENDING"), more)
@@ -359,11 +511,28 @@ def stamped(spark, d):
     return o.select("o_orderkey", defaults.updated_at(given, now).alias("updated"), defaults.created_at(given, F.col("o_orderpriority") > "3", now).alias("created"), number.alias("number"))
 
 
+def snowflake_ids(spark, d):
+    """Orders of three milliseconds: more than a millisecond has numbers for, on larger tables."""
+    o = _t(spark, d, "orders").select("o_orderkey", (F.lit(defaults.EPOCH_MS) + F.col("o_custkey") % 3).alias("ms"))
+    return defaults.numbered(o, "ms", ["o_orderkey"]).select("o_orderkey", "number")
+
+
+def nested_fetch(spark, d):
+    """Orders stored with their lines, read again with the fields that a plan names: of all others, none is in the scan's schema."""
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+    _bound(spark, d).select("o_orderkey", "order", "customer").join(_items(spark, d).select("o_orderkey", "items"), "o_orderkey").write.parquet(folder)
+    plan = _t(spark, d, "region").selectExpr("'shop.Order' AS owner", "CASE r_regionkey WHEN 0 THEN 'price' WHEN 1 THEN 'products' WHEN 2 THEN 'quantities' WHEN 3 THEN 'customer' ELSE 'other' END AS field")
+    mapping = {"price": "order.detail.o_totalprice", "status": "order.o_orderstatus", "products": "items.product_id", "quantities": "items.quantity", "lines": "items.l_linenumber", "customer": "customer.c_name"}
+    found = fetch.load(spark.read.parquet(folder), "o_orderkey", plan, "shop.Order", mapping)
+    return found.select("o_orderkey", "order.detail.o_totalprice", "customer.c_name", F.explode_outer("items").alias("i")).select("o_orderkey", "o_totalprice", "c_name", "i.product_id", "i.quantity")
+
+
 _NAMES = (
-    hydrate_by_key, element_sum, poly_choice, accessor_inference, call_closure, call_tree, frame_resolve, property_access_rows, lambda_last_edge, fetch_plan,
-    mapped_path, list_map, poly_list_map, list_remove_first, retain_all, list_replay, upsert_replace, status_transition, validate_rows,
-    edge_extract, declared_calls, class_facts, method_report, caller_fetch, entity_by_frame, find_inherited, entry_keys, first_frames,
-    list_ops, list_clear_refill, list_listener, poly_field, new_entities, order_items, stock, user_updates, stamped,
+    hydrate_by_key, element_sum, poly_choice, accessor_inference, call_closure, call_tree, call_tree_text, frame_resolve, property_access_rows, lambda_last_edge, fetch_plan,
+    mapped_path, entity_ops, list_map, poly_list_map, list_remove_first, retain_all, list_replay, upsert_replace, store_save, status_transition, validate_rows,
+    edge_extract, declared_calls, class_facts, class_scan, build_scan, path_dispatch, class_by_name, method_report, report_text, report_json, caller_fetch, entity_by_frame, find_inherited, entry_keys, first_frames,
+    list_ops, list_nulls, list_bags, list_clear_refill, list_listener, poly_field, new_entities, order_items, stock, user_updates, stamped, snowflake_ids, nested_fetch,
 )
 
 
@@ -378,8 +547,13 @@ _FROM_LINES = f"SELECT {', '.join(INSNS)} FROM lineitem"
 _FROM_PARTS = f"SELECT {', '.join(CLASSES)} FROM part"
 _FROM_LAMBDAS = f"SELECT {', '.join(LAMBDAS)} FROM lineitem"
 _LAMBDA = f"kind = 'INDY' AND bootstrap_owner = '{METAFACTORY}' AND bootstrap_name IN ('metafactory', 'altMetafactory') AND handle_tag IN (5, 6, 7, 9)"
+_SAVED = "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'S' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderstatus = 'P' THEN 1 ELSE count(l_orderkey) END AS n, CASE WHEN o_orderstatus = 'P' THEN 9 ELSE CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DECIMAL(18,2)) END AS quantity FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey, o_orderstatus UNION ALL SELECT -o_orderkey - 1, 'N', 1, 9 FROM orders WHERE o_orderstatus = 'P'"
 _KEPT = "(SELECT c_custkey AS k, c_nationkey AS n FROM customer WHERE c_mktsegment <> 'MACHINERY' AND c_nationkey % 2 = 0)"
 
+_REPORT = f"SELECT 'shop.C' || k AS class_name, 'class: shop.C' || k || e || '  update()V' || e || '    reads: balance' || e || '    writes: status' || CASE WHEN n % 4 > 0 THEN e || '    calls: recalc(' || (n % 4) || ')' ELSE '' END || e || '  recalc()V' || e || '    reads: total' || CASE WHEN n % 3 = 0 THEN e || '    calls: audit(1)' ELSE '' END || e || '  audit()V' || e || '    reads: log' || e || '  getName()V' || e || '    reads: name' AS text FROM {_KEPT}, (SELECT chr(10) AS e)"
+
+_TREE = "WITH RECURSIVE e AS (SELECT 'r' || n_regionkey AS caller, 'n' || n_nationkey AS callee FROM nation UNION SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer UNION SELECT 'c' || c_custkey, 'c' || CAST(floor(c_custkey / 2) AS BIGINT) FROM customer WHERE c_acctbal < 0 UNION SELECT 'c' || c_custkey, 'c' || c_custkey FROM customer WHERE 'c' || c_custkey LIKE '%7'), r(node, path) AS (SELECT 'r' || r_regionkey, ['r' || r_regionkey] FROM region UNION ALL SELECT callee, list_append(path, callee) FROM r JOIN e ON caller = node WHERE NOT list_contains(path, callee))"
+
 
 def _without(xs: str, e: str) -> str:
     return f"CASE WHEN list_contains({xs}, '{e}') THEN list_concat({xs}[:list_position({xs}, '{e}') - 1], {xs}[list_position({xs}, '{e}') + 1:]) ELSE {xs} END"
@@ -393,39 +567,55 @@ def oracle_sql() -> dict[str, str]:
     return {
         "hydrate_by_key": "SELECT o_orderkey, o_orderstatus, l_linenumber, l_quantity, p_name FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey LEFT JOIN part ON l_partkey = p_partkey",
         "element_sum": "SELECT o_orderkey, CAST(coalesce(sum(CAST(CAST(l_quantity AS DECIMAL(18,2)) * CAST(l_extendedprice AS DECIMAL(18,2)) AS DECIMAL(30,4))), 0) AS DECIMAL(38,4)) AS total FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey",
-        "poly_choice": "SELECT event_id, CASE WHEN event_type <> 'view' THEN 'other' WHEN value > 50 THEN 'large' ELSE 'click' END AS type, CASE WHEN event_type <> 'view' THEN value * 2 ELSE value END AS chosen FROM events WHERE event_type <> 'view' OR value > 50",
-        "accessor_inference": f"WITH x AS (SELECT {', '.join(ACCESSORS)} FROM part) SELECT p_partkey, name, {_KIND} AS kind, {_PROPERTY} AS property FROM x WHERE name <> '<init>'",
+        "poly_choice": "SELECT event_id, CASE WHEN event_type <> 'view' THEN 'other' WHEN value > 50 THEN 'large' END AS type, CASE WHEN event_type <> 'view' THEN value * 2 WHEN value > 50 THEN value END AS chosen FROM events",
+        "accessor_inference": f"WITH x AS (SELECT {', '.join(ACCESSORS)} FROM part) SELECT p_partkey, name, {_KIND} AS kind, {_PROPERTY} AS property FROM x",
         "call_closure": f"{_CLOSED} SELECT root, node FROM r",
-        "call_tree": "WITH RECURSIVE e AS (SELECT 'r' || n_regionkey AS caller, 'n' || n_nationkey AS callee FROM nation UNION SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer UNION SELECT 'c' || c_custkey, 'c' || CAST(floor(c_custkey / 2) AS BIGINT) FROM customer WHERE c_acctbal < 0 UNION SELECT 'c' || c_custkey, 'c' || c_custkey FROM customer WHERE 'c' || c_custkey LIKE '%7'), r(node, path) AS (SELECT 'r' || r_regionkey, ['r' || r_regionkey] FROM region UNION ALL SELECT callee, list_append(path, callee) FROM r JOIN e ON caller = node WHERE NOT list_contains(path, callee)) SELECT array_to_string(path, '/') AS path, node FROM r",
+        "call_tree": f"{_TREE} SELECT array_to_string(path, '/') AS path, node FROM r",
+        "call_tree_text": f"{_TREE} SELECT repeat('    ', len(path) - 2) || CASE WHEN len(path) > 1 THEN '└── ' ELSE '' END || node AS value FROM r",
         "frame_resolve": f"WITH l AS (SELECT {', '.join(LINES)} FROM lineitem), f AS (SELECT {', '.join(FRAMES)} FROM orders), s AS (SELECT cls, name, method_ord, min(line) AS low, max(line) AS high, list(line) AS own FROM l GROUP BY ALL), j AS (SELECT f.*, method_ord, row_number() OVER (PARTITION BY f.o_orderkey ORDER BY CASE WHEN list_contains(own, f.line) THEN 1 WHEN f.line BETWEEN low AND high THEN 2 ELSE 3 END, CASE WHEN list_contains(own, f.line) THEN -method_ord ELSE method_ord END) AS k FROM f LEFT JOIN s ON s.cls = f.cls AND s.name = f.name) SELECT o_orderkey, cls, name, line, method_ord FROM j WHERE k = 1",
         "property_access_rows": f"WITH c AS ({_FROM_PARTS}), i AS ({_FROM_LINES}), o AS (SELECT i.* FROM i JOIN c USING (class_id) WHERE role = '{ROLE}' AND owner = class_name), x AS (SELECT class_id, method_ord, CASE opcode WHEN 180 THEN 'R' ELSE 'W' END AS kind, name, '' AS descriptor, 1 AS n FROM o WHERE kind = 'FIELD' AND opcode IN (180, 181) UNION ALL SELECT class_id, method_ord, {_KIND}, {_PROPERTY}, '', 1 FROM o WHERE kind = 'CALL' AND name NOT IN ('<init>', '<clinit>') AND {_KIND} IS NOT NULL UNION ALL SELECT class_id, method_ord, 'C', name, descriptor, 1 FROM o WHERE kind = 'CALL' AND name NOT IN ('<init>', '<clinit>')) SELECT class_id, method_ord, kind, name, descriptor, CAST(CASE WHEN kind = 'C' THEN sum(n) ELSE 1 END AS BIGINT) AS n FROM x GROUP BY class_id, method_ord, kind, name, descriptor",
         "lambda_last_edge": f"SELECT caller, arg_max(name, insn_ord) AS target FROM ({_FROM_LAMBDAS}) WHERE {_LAMBDA} GROUP BY caller",
         "fetch_plan": f"{_CLOSED}, i AS ({_FROM_LINES}), c AS ({_FROM_PARTS}) SELECT DISTINCT root, owner, i.name AS field FROM r JOIN i ON i.caller = r.node JOIN c ON c.class_name = i.owner WHERE kind = 'FIELD' AND opcode = 180 AND role = '{ROLE}'",
         "mapped_path": "SELECT o_orderkey, o_orderstatus AS status, o_totalprice AS price, c_name AS name, c_mktsegment AS segment, CASE WHEN o_orderkey % 2 = 0 THEN 'NONE' ELSE o_orderpriority END AS priority FROM orders JOIN customer ON o_custkey = c_custkey",
+        "entity_ops": "SELECT o_orderkey, 'new,' || o_orderstatus || ',' || o_orderpriority || ',end' AS tags, o_orderkey AS number, o_orderkey AS id, CAST(NULL AS VARCHAR) AS code FROM orders",
         "list_map": "SELECT o_orderkey, l_partkey AS product, CAST(l_quantity AS DECIMAL(18,2)) AS quantity, o_orderstatus AS status FROM orders JOIN lineitem ON o_orderkey = l_orderkey",
         "poly_list_map": "SELECT o_orderkey, l_partkey AS id, CASE WHEN l_quantity > 20 THEN 'Many' ELSE 'Few' END AS type, CAST(CASE WHEN l_quantity > 20 THEN l_quantity * 10 ELSE l_quantity END AS DECIMAL(18,2)) AS amount FROM orders JOIN lineitem ON o_orderkey = l_orderkey",
         "list_remove_first": f"{_USERS} SELECT user_id, array_to_string(CASE WHEN list_contains(xs, 'click') THEN list_concat(xs[:list_position(xs, 'click') - 1], xs[list_position(xs, 'click') + 1:]) ELSE xs END, ',') AS \"left\" FROM u",
         "retain_all": f"{_USERS} SELECT user_id, array_to_string(list_filter(xs, lambda x: x IN ('click', 'view')), ',') AS kept FROM u",
-        "list_replay": f"{_USERS} SELECT user_id, array_to_string(list_concat(['new'], xs[2:], ['end']), ',') AS items FROM u",
-        "upsert_replace": "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'S' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderstatus = 'P' THEN 1 ELSE count(l_orderkey) END AS n, CASE WHEN o_orderstatus = 'P' THEN 9 ELSE CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DECIMAL(18,2)) END AS quantity FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey, o_orderstatus UNION ALL SELECT -o_orderkey - 1, 'N', 1, 9 FROM orders WHERE o_orderstatus = 'P'",
+        "list_replay": f"{_USERS} SELECT user_id, array_to_string(list_concat(['first'], xs[2:], ['end']), ',') AS items FROM u",
+        "upsert_replace": _SAVED,
+        "store_save": _SAVED,
         "status_transition": "WITH o AS (SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'PENDING' WHEN 'P' THEN 'CONFIRMED' ELSE 'SHIPPED' END AS status, o_orderkey IN (SELECT l_orderkey FROM lineitem) AS has FROM orders) SELECT o_orderkey, CASE WHEN status = 'PENDING' AND has THEN 'CONFIRMED' ELSE status END AS confirmed, CASE WHEN status = 'CONFIRMED' THEN 'SHIPPED' ELSE status END AS shipped, CASE WHEN status IN ('PENDING', 'CONFIRMED') THEN 'CANCELLED' ELSE status END AS cancelled, status = 'PENDING' AS can_modify FROM o",
-        "validate_rows": "SELECT c_custkey, c_custkey % 7 = 0 AS blank, c_custkey % 7 <> 0 AND c_custkey % 5 <> 0 AND c_acctbal >= 0 AS valid FROM customer",
+        "validate_rows": "SELECT c_custkey, c_custkey % 7 = 0 OR c_custkey % 11 = 0 AS blank, c_custkey % 7 <> 0 AND c_custkey % 11 <> 0 AND c_custkey % 5 <> 0 AND c_acctbal >= 0 AS valid FROM customer",
         "edge_extract": f"SELECT DISTINCT caller, owner, name, 'call' AS kind FROM ({_FROM_LAMBDAS}) WHERE kind = 'CALL' UNION ALL SELECT DISTINCT caller, owner, name, 'lambda' FROM ({_FROM_LAMBDAS}) WHERE {_LAMBDA}",
         "declared_calls": f"SELECT DISTINCT owner, name, descriptor FROM ({_FROM_LINES}) i WHERE kind = 'CALL' AND EXISTS (SELECT 1 FROM part WHERE i.owner = 'shop.P' || p_partkey AND i.name = CASE p_size % 3 WHEN 0 THEN 'recalc' WHEN 1 THEN 'total' ELSE 'items' END AND i.descriptor = '()V')",
         "class_facts": f"SELECT 'shop.C' || k AS class_name, '.' || m AS method, CASE m WHEN 'update()V' THEN 'balance' WHEN 'recalc()V' THEN 'total' WHEN 'audit()V' THEN 'log' ELSE 'name' END AS reads, CASE m WHEN 'update()V' THEN 'status' ELSE '' END AS writes, CASE WHEN m = 'update()V' AND n % 4 > 0 THEN 'recalc()V*' || (n % 4) WHEN m = 'recalc()V' AND n % 3 = 0 THEN 'audit()V*1' ELSE '' END AS calls FROM {_KEPT}, (SELECT unnest(['update()V', 'recalc()V', 'audit()V', 'getName()V']) AS m)",
-        "method_report": f"SELECT 'shop.C' || k AS class_name, 'class: shop.C' || k || e || '  update()V' || e || '    reads: balance' || e || '    writes: status' || CASE WHEN n % 4 > 0 THEN e || '    calls: recalc(' || (n % 4) || ')' ELSE '' END || e || '  recalc()V' || e || '    reads: total' || CASE WHEN n % 3 = 0 THEN e || '    calls: audit(1)' ELSE '' END || e || '  audit()V' || e || '    reads: log' || e || '  getName()V' || e || '    reads: name' AS text FROM {_KEPT}, (SELECT chr(10) AS e)",
+        "class_scan": "SELECT 'shop/C' || c_custkey || '.class' AS entry_name, CASE WHEN c_mktsegment <> 'MACHINERY' THEN 'shop.C' || c_custkey END AS class_name, CASE WHEN c_mktsegment <> 'MACHINERY' THEN 'shop.C' || CAST(floor(c_custkey / 2) AS BIGINT) END AS super_name, CASE WHEN c_mktsegment <> 'MACHINERY' THEN CAST(c_custkey % 3 AS INT) ELSE 0 END AS n_methods, c_mktsegment = 'MACHINERY' AS corrupt FROM customer",
+        "build_scan": f"SELECT 'shop.C' || k AS class_name, 4 AS n_methods FROM {_KEPT} WHERE n % 5 <> 0",
+        "path_dispatch": "SELECT CASE WHEN c_nationkey % 5 = 0 THEN 'jar' ELSE 'file' END AS kind, count(*) AS n, count(*) FILTER (c_mktsegment <> 'MACHINERY') AS classes FROM customer GROUP BY 1",
+        "class_by_name": f"SELECT 'shop.C' || c_custkey AS class_name, 'java.lang.Object' AS super_name, CASE WHEN c_nationkey % 2 = 0 THEN '{ROLE}' ELSE 'Lexample/Other;' END AS roles FROM customer WHERE c_mktsegment <> 'MACHINERY' AND c_custkey IN (SELECT n_nationkey FROM nation)",
+        "method_report": _REPORT,
+        "report_text": f"SELECT unnest(string_split(text, chr(10))) AS value FROM ({_REPORT}) UNION ALL SELECT 'total: ' || count(*) FROM {_KEPT}",
+        "report_json": f"SELECT 'shop.C' || k AS class_name, true AS is_aggregate_root, method_name, CASE method_name WHEN 'update' THEN 'balance' WHEN 'recalc' THEN 'total' WHEN 'audit' THEN 'log' ELSE 'name' END AS reads FROM {_KEPT}, (SELECT unnest(['update', 'recalc', 'audit', 'getName']) AS method_name)",
         "caller_fetch": f"SELECT 'shop.C' || k || '.update()V' AS root, 'shop.C' || k AS owner, field FROM {_KEPT}, (SELECT unnest(['total', 'log']) AS field) WHERE n % 4 > 0 AND (field = 'total' OR n % 3 = 0)",
         "entity_by_frame": "SELECT c_custkey, c_acctbal, c_mktsegment FROM customer",
-        "find_inherited": "WITH RECURSIVE u(k, name, place, depth) AS (SELECT c_custkey, c_nationkey % 5, c_custkey, 0 FROM customer UNION ALL SELECT k, name, CAST(floor(place / 2) AS BIGINT), depth + 1 FROM u WHERE place > 0), h AS (SELECT k, place, row_number() OVER (PARTITION BY k ORDER BY depth) AS r FROM u JOIN customer c ON c.c_custkey = place AND c.c_custkey % 5 = name WHERE depth = 0 OR (c.c_custkey % 3) % 2 = 1) SELECT 'C' || c_custkey AS class_name, 'm' || (c_nationkey % 5) AS name, '()V' AS descriptor, 'C' || place AS found_in FROM customer LEFT JOIN h ON k = c_custkey AND r = 1",
+        "find_inherited": f"""WITH RECURSIVE e AS (SELECT k, up, min(ord) AS ord FROM ({' UNION ALL '.join(f'SELECT c_custkey AS k, {up} AS up, {i} AS ord FROM customer' for i, up in enumerate(PARENTS))}) WHERE up <> k GROUP BY k, up),
+r(k, a, depth, path) AS (SELECT k, up, 1, [ord] FROM e UNION ALL SELECT r.k, e.up, r.depth + 1, min(list_append(r.path, e.ord)) FROM r JOIN e ON e.k = r.a WHERE e.up <> r.k AND r.depth < 20 GROUP BY r.k, e.up, r.depth + 1),
+h AS (SELECT w.c_custkey AS k, r.a, row_number() OVER (PARTITION BY w.c_custkey ORDER BY r.depth, r.path) AS n FROM customer w JOIN r ON r.k = w.c_custkey JOIN customer o ON o.c_custkey = r.a AND o.c_custkey % 5 = w.c_nationkey % 5 WHERE (o.c_custkey % 3) % 2 = 1)
+SELECT 'C' || c_custkey AS class_name, 'm' || (c_nationkey % 5) AS name, '()V' AS descriptor, 'C' || CASE WHEN c_custkey % 5 = c_nationkey % 5 THEN c_custkey ELSE a END AS found_in FROM customer LEFT JOIN h ON k = c_custkey AND n = 1""",
         "entry_keys": "SELECT event_id, 'shop.' || event_type || '.run(' || CASE event_type WHEN 'click' THEN 'I[Ljava/lang/String;' WHEN 'view' THEN '[[J' ELSE '' END || ')V' AS reflected, 'shop.' || event_type || '.lambda$0()V' AS \"lambda\" FROM events",
-        "first_frames": "WITH u AS (SELECT user_id, list(CASE event_type WHEN 'click' THEN 'x.Proxy$1' WHEN 'view' THEN 'java.lang.Thread' WHEN 'error' THEN 'org.springframework.X' ELSE 'app.' || event_type END ORDER BY event_id) AS xs FROM events GROUP BY user_id) SELECT user_id, list_filter(xs[3:], lambda x: starts_with(x, 'app.'))[1] AS frame FROM u",
+        "first_frames": f"WITH u AS (SELECT user_id, list({FRAME_NAME} ORDER BY event_id) AS xs FROM events GROUP BY user_id) SELECT user_id, list_filter(xs[3:], lambda x: NOT starts_with(x, 'java.') AND NOT starts_with(x, 'org.springframework.') AND NOT contains(x, 'Proxy$'))[1] AS frame FROM u",
         "list_ops": f"{_USERS}, v AS (SELECT *, {_without('xs', 'click')} AS a FROM u) SELECT user_id, array_to_string({_without('a', 'view')}, ',') AS removed, array_to_string(list_concat(xs[:1], CASE WHEN len(xs) > 1 THEN ['new'] ELSE [] END, xs[3:]), ',') AS replaced, array_to_string(xs[1:3], ',') AS part, array_to_string(list_concat(xs[:1], ['click', 'view'], xs[2:]), ',') AS inserted, array_to_string(list_concat(xs, ['click', 'view', 'end']), ',') AS longer, '' AS cleared, CAST(coalesce(list_position(xs, 'view'), 0) AS INT) - 1 AS first, CASE WHEN list_contains(xs, 'view') THEN CAST(len(xs) - list_position(list_reverse(xs), 'view') AS INT) ELSE -1 END AS last, list_contains(xs, 'click') AND list_contains(xs, 'view') AS both, CASE WHEN list_contains(xs, 'error') THEN CAST(list_position(xs, 'error') - 1 AS INT) END AS pair FROM v",
+        "list_nulls": f"WITH u AS (SELECT user_id, list(CASE event_type WHEN 'error' THEN '-' ELSE event_type END ORDER BY event_id) AS xs FROM events GROUP BY user_id), v AS (SELECT *, {_without('xs', '-')} AS a FROM u) SELECT user_id, array_to_string(a, ',') AS without, array_to_string({_without('a', 'click')}, ',') AS removed, array_to_string(list_filter(xs, lambda x: x IN ('-', 'click')), ',') AS retained, CAST(coalesce(list_position(xs, '-'), 0) AS INT) - 1 AS first, CASE WHEN list_contains(xs, '-') THEN CAST(len(xs) - list_position(list_reverse(xs), '-') AS INT) ELSE -1 END AS last, list_contains(xs, '-') AND list_contains(xs, 'click') AS both FROM v",
+        "list_bags": "WITH e AS (SELECT user_id, event_id, CASE event_type WHEN 'error' THEN '-' ELSE event_type END AS t, value FROM events), k AS (SELECT user_id, event_id, t, row_number() OVER (PARTITION BY user_id, t ORDER BY event_id) AS k, count(*) FILTER (value > 50) OVER (PARTITION BY user_id, t) AS n FROM e) SELECT user_id, coalesce(string_agg(t, ',' ORDER BY event_id) FILTER (k > n), '') AS removed, coalesce(string_agg(t, ',' ORDER BY event_id) FILTER (n > 0), '') AS kept FROM k GROUP BY user_id",
         "list_clear_refill": f"{_USERS} SELECT user_id, array_to_string(list_concat(xs[1:2], xs[1:2]), ',') AS items FROM u",
         "list_listener": "SELECT o_orderkey, o_orderstatus <> 'F' AS created, CASE WHEN o_orderstatus = 'F' THEN o_totalprice END AS price, CASE WHEN o_orderstatus <> 'P' THEN o_orderpriority END AS name, CASE WHEN o_orderstatus <> 'P' THEN o_custkey END AS customer FROM orders",
-        "poly_field": "SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN 'Plain' WHEN o_totalprice > 200000 THEN 'Large' ELSE 'Urgent' END AS type, o_totalprice AS price, o_totalprice AS amount FROM orders WHERE o_orderstatus <> 'P' OR o_totalprice > 200000 OR starts_with(o_orderpriority, '1')",
+        "poly_field": "SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN 'Plain' WHEN o_totalprice > 200000 THEN 'Large' WHEN starts_with(o_orderpriority, '1') THEN 'Urgent' END AS type, o_totalprice AS price, CASE WHEN o_orderstatus <> 'P' OR o_totalprice > 200000 OR starts_with(o_orderpriority, '1') THEN o_totalprice END AS amount FROM orders",
         "new_entities": "SELECT n_regionkey, CAST(n_nationkey AS BIGINT) AS id, n_name AS name, CAST(NULL AS VARCHAR) AS detail, CAST(NULL AS VARCHAR) AS code FROM nation",
-        "order_items": "WITH l AS (SELECT l_orderkey, l_partkey, CAST(CAST(l_quantity AS DECIMAL(18,2)) * CAST(l_extendedprice AS DECIMAL(18,2)) AS DECIMAL(30,4)) AS p FROM lineitem), a AS (SELECT o_orderkey, o_orderstatus, count(p) AS n, coalesce(sum(p), 0) AS t, count(p) FILTER (l_partkey <> o_orderkey % 50) AS n2, coalesce(sum(p) FILTER (l_partkey <> o_orderkey % 50), 0) AS t2 FROM orders LEFT JOIN l ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderstatus) SELECT o_orderkey, 'Order(id=' || o_orderkey || ', customer=' || o_orderstatus || ', total=' || CAST(t + 10 AS DECIMAL(38,4)) || ', status=PENDING, itemCount=' || (n + 1) || ')' AS said, CAST(t2 AS DECIMAL(38,4)) AS total, n2 AS n FROM a",
+        "order_items": "WITH l AS (SELECT l_orderkey, l_partkey, CAST(CAST(l_quantity AS DECIMAL(18,2)) * CAST(l_extendedprice AS DECIMAL(18,2)) AS DECIMAL(30,4)) AS p FROM lineitem), a AS (SELECT o_orderkey, o_orderstatus, count(p) AS n, coalesce(sum(p), 0) AS t, count(p) FILTER (l_partkey % 7 = 0 OR l_partkey <> o_orderkey % 50) AS n2, coalesce(sum(p) FILTER (l_partkey % 7 = 0 OR l_partkey <> o_orderkey % 50), 0) AS t2 FROM orders LEFT JOIN l ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderstatus) SELECT o_orderkey, 'Order(id=' || o_orderkey || ', customer=' || o_orderstatus || ', total=' || CAST(t + 10 AS DECIMAL(38,4)) || ', status=PENDING, itemCount=' || (n + 1) || ')' AS said, CAST(t2 AS DECIMAL(38,4)) AS total, n2 AS n FROM a",
         "stock": "SELECT p_partkey, p_size > 0 AS some, p_size >= 20 AS enough, CASE WHEN p_size >= 20 THEN p_size - 20 ELSE p_size END AS reduced, p_size + 20 AS added, p_retailprice * 2 AS price FROM part",
         "user_updates": "SELECT c_custkey, CASE WHEN c_nationkey > 12 THEN 'new' ELSE c_name END AS name, 'u@x' AS email, c_nationkey + 1 AS age, true AS \"on\", false AS \"off\", 'User(id=' || c_custkey || ', name=' || CASE WHEN c_nationkey > 12 THEN 'new' ELSE c_name END || ', email=u@x, age=' || c_nationkey || ', active=' || CASE WHEN c_acctbal > 0 THEN 'true' ELSE 'false' END || ')' AS said FROM customer",
+        "snowflake_ids": f"WITH o AS (SELECT o_orderkey, {defaults.EPOCH_MS} + o_custkey % 3 AS ms, row_number() OVER (ORDER BY o_custkey % 3, o_orderkey) - 1 AS i FROM orders), s AS (SELECT o_orderkey, i + max(ms * 4096 - i) OVER (ORDER BY i) AS slot FROM o) SELECT o_orderkey, (slot // 4096 - {defaults.EPOCH_MS}) * 4194304 + 135168 + slot % 4096 AS number FROM s",
+        "nested_fetch": "SELECT o_orderkey, o_totalprice, c_name, l_partkey AS product_id, CAST(l_quantity AS DECIMAL(18,2)) AS quantity FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey",
         "stamped": "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN o_orderdate ELSE TIMESTAMP '2024-01-01' END AS updated, CASE WHEN o_orderstatus = 'F' THEN o_orderdate WHEN o_orderpriority > '3' THEN TIMESTAMP '2024-01-01' END AS created, o_custkey * 4194304 + 135168 + o_orderkey % 4096 AS number FROM orders",
     }

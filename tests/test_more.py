@@ -1,5 +1,6 @@
 """Mappings' rules, members, stores, options and build folders."""
 
+import random
 import shutil
 from pathlib import Path
 
@@ -15,7 +16,7 @@ from fieldloom.operators.mapping import Field, Fields, ListFields, effective, is
 from fieldloom.plans import analysis, fetch, report
 from fieldloom.sources import classfile
 from fieldloom.sources.assemble import class_file
-from fieldloom.sources.store import EntityOperator, ParquetStore, Schemas
+from fieldloom.sources.store import Conflict, EntityOperator, ParquetStore, Schemas
 
 ORDER = Path(__file__).parent / "data" / "Order.class"
 
@@ -64,12 +65,46 @@ def test_store_and_schemas(spark, tmp_path):
     store.write("lines", spark.createDataFrame([(1, "l1"), (2, "l2")], "id long, line string"))
     store.save_children("lines", spark.createDataFrame([(1, "new")], "id long, line string"), spark.createDataFrame([(1,)], "id long"), "id")
     assert {tuple(r) for r in store.read("lines").collect()} == {(1, "new"), (2, "l2")}
+    again = ParquetStore(spark, str(tmp_path))
+    assert {tuple(r) for r in again.read("goods").collect()} == {(1, "a"), (2, "c"), (3, "d")} and again.read("goods", 1).count() == 2
+    again.save("goods", spark.createDataFrame([(3, "e")], "id long, name string"), "id")
+    assert store.read("goods").where("id = 3").first().name == "e"
     schemas = Schemas({"Goods": {"goods": T.StructType().add("id", "long"), "address": T.StructType().add("x", T.StructType().add("y", "integer"))}})
     assert spark.range(1).select(*schemas.create("Goods")).schema.simpleString() == "struct<goods:struct<id:bigint>,address:struct<x:struct<y:int>>>"
     with pytest.raises(LookupError, match="no entities for Other"):
         schemas.create("Other")
 
 
+def test_a_save_rewrites_what_it_touches(spark, tmp_path):
+    store = ParquetStore(spark, str(tmp_path))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        store.write("t", spark.range(8000).selectExpr("id", "'a' AS v"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    before = {f["path"] for f in store.manifest("t")["files"]}
+    assert len(before) > 4
+    store.save("t", spark.createDataFrame([(17, "b"), (90_000, "c"), (17, "b2")], "id long, v string"), "id")
+    after = {f["path"] for f in store.manifest("t")["files"]}
+    assert len(before - after) == 1
+    rows = store.read("t")
+    assert rows.count() == 8002 and sorted(r.v for r in rows.where("id = 17 OR id > 8000").collect()) == ["b", "b2", "c"]
+    store.save_children("t", rows.limit(0), spark.range(4000, 4002), "id")
+    assert store.read("t").count() == 8000 and store.version("t") == 3
+    store.save("t", rows.limit(0), "id")
+    assert store.read("t").count() == 8000
+
+
+def test_two_writers_of_one_version(spark, tmp_path):
+    one, two = ParquetStore(spark, str(tmp_path)), ParquetStore(spark, str(tmp_path))
+    one.write("t", spark.range(3).toDF("id"))
+    made = two.manifest("t")
+    two.save("t", spark.createDataFrame([(9,)], "id long"), "id")
+    with pytest.raises(Conflict, match="version 2 of t"):
+        one._commit("t", 2, made)
+    assert one.read("t").count() == 4 and not [x for x in (tmp_path / "t" / "_log").iterdir() if len(x.name) == 33]
+
+
 def test_entity_operator(spark):
     e, op = F.col("e"), EntityOperator()
     df = spark.createDataFrame([(("n", ["a", "b", "a"]),)], "e struct<name:string,xs:array<string>>")
@@ -92,6 +127,54 @@ def test_snowflake(spark):
         at(defaults.EPOCH_MS, 4096)
 
 
+@pytest.mark.parametrize("parts", [1, 9])
+def test_snowflake_numbers(spark, parts):
+    rnd = random.Random(parts)
+    ms = [defaults.EPOCH_MS + t for t in rnd.choices([0, 0, 0, 1, 5, 6, 900], k=30_000)]
+    rows = spark.createDataFrame(list(enumerate(ms)), "id long, ms long").repartition(parts)
+    got = {r.id: r.number for r in defaults.numbered(rows, "ms", ["id"]).collect()}
+    slot, want = -1, {}
+    for i in sorted(range(len(ms)), key=lambda i: (ms[i], i)):
+        slot = max(slot + 1, (ms[i] - defaults.EPOCH_MS) * 4096)
+        want[i] = slot // 4096 << 22 | 1 << 17 | 1 << 12 | slot % 4096
+    assert got == want and len(set(got.values())) == len(ms)
+    assert defaults.numbered(rows.limit(0), "ms", ["id"]).count() == 0
+
+
+def test_planned_fields_alone_reach_the_scan(spark, tmp_path):
+    row = "id long, name string, address struct<city:string,place:struct<code:string,zip:string>>, items array<struct<sku:string,n:int,maker:struct<id:long,name:string>>>"
+    df = spark.createDataFrame([(1, "a", ("x", ("c", "z")), [("s", 1, (7, "m")), ("t", 2, None)]), (2, "b", None, None), (3, "c", ("y", None), [])], row)
+    df.write.parquet(str(tmp_path / "t"))
+    stored = spark.read.parquet(str(tmp_path / "t"))
+    got = stored.select(*fetch.projection(stored, ["id", "address.place.code", "items.sku", "items.maker.id"]))
+    scans = got._jdf.queryExecution().executedPlan().collectLeaves()
+    assert scans.head().requiredSchema().simpleString() == "struct<id:bigint,address:struct<place:struct<code:string>>,items:array<struct<sku:string,maker:struct<id:bigint>>>>"
+    rows = {r.id: r for r in got.collect()}
+    assert rows[1].address.place.code == "c" and [(x.sku, x.maker) for x in rows[1]["items"]] == [("s", (7,)), ("t", (None,))]
+    assert rows[2].address is None and rows[2]["items"] is None and rows[3].address.place is None and rows[3]["items"] == []
+    assert stored.select(*fetch.projection(stored, ["items", "items.n"])).schema["items"].dataType == stored.schema["items"].dataType
+    for bad in ("zip", "address.street", "name.first", "items.maker.x"):
+        with pytest.raises(ValueError, match="no field|has no fields"):
+            fetch.projection(stored, [bad])
+
+
+def test_frames_by_bins(spark):
+    rnd = random.Random(3)
+    lines = [("C", rnd.choice("ab"), m, rnd.choice([5, 300, 1030, 70_000, 1_000_000]) + rnd.randint(0, 400)) for m in range(12) for _ in range(rnd.randint(1, 5))]
+    frames = [(k, "C", rnd.choice("abz"), rnd.choice([x[3] for x in lines]) if k % 2 else rnd.randint(0, 80_000)) for k in range(300)]
+
+    def resolve(name, at):
+        own = [(m, line) for _, n, m, line in lines if n == name]
+        if any(line == at for _, line in own):
+            return max(m for m, line in own if line == at)
+        around = [m for m in {m for m, _ in own} if min(x for k, x in own if k == m) <= at <= max(x for k, x in own if k == m)]
+        return min(around) if around else min((m for m, _ in own), default=None)
+
+    df = spark.createDataFrame(frames, "k int, cls string, name string, line int")
+    got = {r.k: r.method_ord for r in callgraph.resolve_frames(df, spark.createDataFrame(lines, "cls string, name string, method_ord int, line int"), ["cls", "name"]).collect()}
+    assert got == {k: resolve(n, at) for k, _, n, at in frames}
+
+
 def test_build_folders_and_options(spark, tmp_path, capsys):
     project = str(tmp_path)
     assert analysis.class_folders(spark, project) == [f"{project}/{p}" for p in analysis.BUILD_FOLDERS]
@@ -111,7 +194,7 @@ def test_build_folders_and_options(spark, tmp_path, capsys):
     assert analysis.class_folders(spark, project, options) == [str(dotted)]
     read = classfile.read(spark, str(dotted), str(out))
     assert read.count() == 1 and classfile.by_name(read, "example/Order").count() == 1 and classfile.by_name(read, "x.Y").count() == 0
-    assert "calls" not in report.as_text(found, calls=False)
+    assert not any("calls" in r.value for r in report.lines(found, "TXT", calls=False).collect())
     with pytest.raises(ValueError, match="unknown format"):
         analysis.analyse(spark, project, analysis.Options(form="xml"))
     assert analysis.version("no-such-package") == "1.0.0"
@@ -138,6 +221,39 @@ def test_inherited_methods(spark):
     assert got == {("C", "m"): "A", ("C", "p"): "B", ("C", "q"): "C", ("B", "q"): "A", ("A", "p"): "A", ("A", "none"): None, ("X", "m"): None}
 
 
+def test_inheritance_with_cycles_and_diamonds(spark):
+    key = "class_name string, name string, descriptor string"
+    # D has parents B and C (in this order), both under A; X and Y are each other's parent.
+    above = spark.createDataFrame([("D", "B", 0), ("D", "C", 1), ("B", "A", 0), ("C", "A", 0), ("X", "Y", 0), ("Y", "X", 0), ("Y", "A", 1), ("X", "X", 1), ("D", "C", 2)], "class_name string, super_name string, ord int")
+    declared = spark.createDataFrame([("A", "m", "()V", 1), ("B", "n", "()V", 1), ("C", "n", "()V", 1), ("C", "p", "()V", 1), ("X", "q", "()V", 2), ("D", "r", "()V", 2), ("A", "r", "()V", 1)], key + ", access int")
+    wanted = spark.createDataFrame([(c, n, "()V") for c in "DXY" for n in "mnpqr"] + [("D", "m", "()V"), (None, "m", "()V")], key)
+    got = sorted(((r.class_name or "", r.name, r.found_in or "") for r in callgraph.find_methods(wanted, declared, above).collect()))
+    assert got == sorted([("", "m", ""), ("D", "m", "A"), ("D", "m", "A"), ("D", "n", "B"), ("D", "p", "C"), ("D", "q", ""), ("D", "r", "D"), ("X", "m", "A"), ("X", "n", ""), ("X", "p", ""), ("X", "q", "X"), ("X", "r", "A"), ("Y", "m", "A"), ("Y", "n", ""), ("Y", "p", ""), ("Y", "q", ""), ("Y", "r", "A")])
+
+
+def test_order_of_ancestors_equals_search(spark):
+    rnd = random.Random(5)
+    up = {f"c{i}": [f"c{rnd.randrange(60)}" for _ in range(rnd.randint(0, 3))] for i in range(60)}
+    above = spark.createDataFrame([(c, p, i) for c, ps in up.items() for i, p in enumerate(ps)], "class_name string, super_name string, ord int")
+    got = {}
+    for r in callgraph.ancestors(above).orderBy("class_name", "depth", "path").collect():
+        got.setdefault(r.class_name, []).append((r.ancestor, r.depth))
+    for c in up:
+        seen, level, want, depth = {c}, [c], [], 0
+        while level:
+            depth += 1
+            level = [p for x in level for p in up[x] if p not in seen and not seen.add(p)]
+            want += [(p, depth) for p in level]
+        assert got.get(c, []) == want
+
+
+def test_a_long_chain_of_parents(spark):
+    above = spark.createDataFrame([(f"c{i}", f"c{i + 1}") for i in range(120)], "class_name string, super_name string")
+    declared = spark.createDataFrame([("c120", "m", "()V", 1)], "class_name string, name string, descriptor string, access int")
+    wanted = spark.createDataFrame([("c0", "m", "()V"), ("c119", "m", "()V")], "class_name string, name string, descriptor string")
+    assert {r.found_in for r in callgraph.find_methods(wanted, declared, above).collect()} == {"c120"}
+
+
 def test_load_by_the_caller(spark):
     role = analysis.AGGREGATE_ROOT
     service = class_file("app.Service", [("handle", "()V", [("invokevirtual", "shop.Goods", "rename", "()V")]), ("other", "()V", [("invokevirtual", "shop.Goods", "price", "()V")])])
