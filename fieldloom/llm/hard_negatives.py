@@ -6,7 +6,7 @@ query goes through the lists by their upper bounds, leaves out those that lie ou
 when the next upper bound is strictly below the kth score that it has. So the answer is exact, ties included, whatever
 the centroids are. A first search finds each anchor's positives, a second one the rows of other labels in each positive's window.
 
-Spark runs the visits in rounds of `FIRST_VISITS` lists, then twice that and so on: queries meet lists in a shuffle by list and piece,
+Spark runs the visits in rounds of `FIRST_VISITS` lists, then four times as many and so on: queries meet lists in a shuffle by list and piece,
 the best k of each query are kept by a window that Spark limits before it shuffles, and queries that may stop leave.
 Lists are dealt into pieces of at most about `PIECE_CELLS` numbers, so a list that holds a third of all rows (one vector copied
 many times) is many tasks. Within a task one piece is a matrix, and queries stream past it.
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.llm import common
 
-SAMPLE = 50_000
+SAMPLE, SAMPLE_TASKS = 50_000, 16
 MOST_LISTS = 1024
 LIST_CELLS = 1 << 21
 PIECE_CELLS = 1 << 20
@@ -66,7 +66,7 @@ def matrix(column: pa.Array, dims: int) -> np.ndarray:
 def centroids(rows: DataFrame, n: int, dims: int, seed: int) -> np.ndarray:
     """At most about the square root of n points, from a sample of bounded size."""
     k = max(1, min(MOST_LISTS, math.isqrt(n), LIST_CELLS // dims))
-    sample = rows.select("x").sample(min(1.0, SAMPLE / n), seed)
+    sample = common.checkpoint(rows.select("x").sample(min(1.0, SAMPLE / n), seed).repartition(SAMPLE_TASKS))
     points = sample.distinct().limit(k + 1).collect()
     if len(points) <= k or k < FEW:  # nothing to fit: these points themselves, or the origin
         return np.array([p.x for p in points[:k]] or [[0] * dims], np.float64)
@@ -212,7 +212,7 @@ class Index:
             found = met.mapInArrow(self._scores(k), "qid long, score long, found long")
             every = found if best is None else best.unionByName(found)
             best = common.checkpoint(every.withColumn("k", F.row_number().over(first)).where(F.col("k") <= k).drop("k"))
-            start, more = start + more, 2 * more
+            start, more = start + more, 4 * more
         return best
 
 
