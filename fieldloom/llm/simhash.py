@@ -169,12 +169,13 @@ def links(nodes: DataFrame, most: int = MOST_BITS) -> DataFrame:
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, most: int = MOST_BITS) -> DataFrame:
     """(doc_id, fp, component_id), one row per row of docs."""
     prints = common.checkpoint(fingerprints(docs, size))
-    nodes = common.checkpoint(pivot_table(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))))
+    nodes = common.checkpoint(pivot_table(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))))
     root = components(links(nodes.select("fp", "pivots"), most)).select(F.col("u").alias("fp"), F.col("v").alias("root"))
-    placed = nodes.join(root, "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+    placed = nodes.join(root, "fp", "left").select("fp", "rep", "n", F.coalesce("root", "fp").alias("root"))
     least = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = placed.join(least, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = common.checkpoint(placed.join(least, "root").select("fp", "component_id", "n"))
+    # Copies of one text share a fingerprint, which may be that of a third of all documents.
+    return common.split_join(prints, named, ["fp"]).select("doc_id", "fp", "component_id")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
