@@ -389,7 +389,8 @@ def merged(todo: DataFrame, n_buckets: int) -> DataFrame:
         x = again[unpack(cls)]
         return pa.Table.from_batches([_table(_by_document(np.frombuffer(ids, np.int64), np.frombuffer(th, np.int64), unpack(lo), seg[x], start[x]), _SPANS)])
 
-    return todo.mapInArrow(send, _EXCHANGE).groupBy("bucket").applyInArrow(meet, _CODES).groupBy("batch").applyInArrow(back, _SPANS)
+    # A task that is run again must make the same batches: (doc_id, th) is unique here and gives their order.
+    return todo.sortWithinPartitions("doc_id", "th").mapInArrow(send, _EXCHANGE).groupBy("bucket").applyInArrow(meet, _CODES).groupBy("batch").applyInArrow(back, _SPANS)
 
 
 # --- the operator ----------------------------------------------------------------------------------
