@@ -273,8 +273,13 @@ def _assembled(it):
         yield pd.DataFrame(out, columns=["path", "content"])
 
 
+def _customers(spark, d):
+    """Customers dealt to all cores: the table is one small file, and making and reading class files takes longer than moving rows."""
+    return _t(spark, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment").repartition(spark.sparkContext.defaultParallelism)
+
+
 def _class_tables(spark, d):
-    files = _t(spark, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment").mapInPandas(_assembled, "path string, content binary")
+    files = _customers(spark, d).mapInPandas(_assembled, "path string, content binary")
     return classfile.tables(checkpoint(classfile.from_bytes(files)))
 
 
@@ -311,7 +316,7 @@ def class_scan(spark, d):
         paths = list(_jars([(f"{folder}/{TaskContext.get().partitionId()}.jar", entries())]))
         yield pd.DataFrame({"path": paths})
 
-    written = _t(spark, d, "customer").select("c_custkey", "c_mktsegment").mapInPandas(write, "path string").collect()
+    written = _customers(spark, d).mapInPandas(write, "path string").collect()
     found = scan.read(spark, *(r.path for r in written), columns=["entry_name", "class_name", "super_name", "methods", "corrupt"])
     return found.select("entry_name", "class_name", "super_name", F.size("methods").alias("n_methods"), F.col("corrupt").isNotNull().alias("corrupt"))
 
@@ -331,7 +336,7 @@ def _built(spark, d):
                     f.write(bytes(content))
             yield pd.DataFrame({"path": [p for p in paths if p.endswith(".jar")]})
 
-    files = _t(spark, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment").mapInPandas(_assembled, "path string, content binary")
+    files = _customers(spark, d).mapInPandas(_assembled, "path string, content binary")
     return project, [r.path for r in files.mapInPandas(write, "path string").collect()]
 
 
