@@ -65,3 +65,16 @@ def test_null_trees_repeated_nodes_and_null_scores(spark):
     assert [tuple(x) for x in got[None].loss_spans] == [(got[None].formatted.index("b</turn>"), 1)]
     assert {r.leaf for r in cf.format_trees(df, None).where("tree = 't'").collect()} == {4, 5}
     assert cf.format_trees(df.limit(0)).count() == 0
+
+
+def test_null_turns_come_first_in_spark_and_sql(spark, tmp_path):
+    import duckdb
+
+    rows = [(1, 2, "assistant", "c"), (1, None, "user", "a"), (1, 1, "user", "b"), (1, None, "assistant", "z"), (2, None, None, None), (2, 0, "user", "")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    got = cf.op1_chat_format(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    rel = con.sql(cf.ORACLE_SQL["op1_chat_format"])
+    at = [rel.columns.index(c) for c in got.columns]
+    assert sorted(map(tuple, got.collect())) == sorted(tuple(r[i] for i in at) for r in rel.fetchall())

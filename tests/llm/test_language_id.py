@@ -82,3 +82,9 @@ def test_columns_that_have_the_output_names(spark):
     got = li.predict(df, li.train(df)).orderBy("doc_id")
     assert sorted(got.columns) == sorted(df.columns)
     assert [(r.lang_pred, 0 <= r.score <= 1) for r in got.collect()] == [("en", True), ("de", True)]
+
+
+def test_ties_go_to_the_first_language(spark):
+    rows = [(i, "the same words are here for both of them", lang) for i, lang in enumerate(["zz", "aa"] * 10)]
+    train = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {(r.lang_pred, r.score) for r in li.predict(train, li.train(train)).collect()} == {("aa", 0.5)}

@@ -65,3 +65,13 @@ def test_hot_lines_and_runs(spark, monkeypatch):
     ten = " ".join("abcdefghij")
     rows = [(i, f"w{i}\n" + (ten if i % 3 else "a b c d e\nf g h i j k") + f"\nq{i % 5} q q q q q q q q q") for i in range(40)]
     check(spark, [*rows, (None, ten), (50, None)])
+
+
+def test_other_bounds_than_ten_words(spark):
+    rnd = random.Random(3)
+    pool = ["a", "b c", "d e f", "one two three four five", "", "é"]
+    rows = [(i, "\n".join(rnd.choice(pool) for _ in range(rnd.randint(0, 12)))) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for words in (1, 3):
+        got = sorted(((r.doc_id, r.kept, r.n_lines, r.n_removed) for r in ld.dedup(df, words).collect()), key=str)
+        assert got == brute(rows, words)
