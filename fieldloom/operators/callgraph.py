@@ -31,13 +31,13 @@ def edges(insns: DataFrame, last_lambda_only: bool = False) -> DataFrame:
 
 
 #: Steps of one round of closure(), at most; rounds begin with one and double.
-MOST_STEPS = 8
+MOST_STEPS = 4
 
 
 def closure(edge: DataFrame, start: DataFrame) -> DataFrame:
     """(root, node): everything that each start(root) reaches, itself included. Any number of roots at once.
 
-    A round goes on from what the last one found, by 1, 2, 4 and then `MOST_STEPS` steps in one job, and leaves out what is known; only
+    A round goes on from what the last one found, by 1, 2 and then `MOST_STEPS` steps in one job, and leaves out what is known; only
     what is new is written, in checkpoints, so lineage does not grow. Ends when a round finds nothing new.
     """
     e = checkpoint(edge.select(F.col("caller").alias("node"), F.col("callee").alias("next")).distinct())
@@ -74,22 +74,21 @@ def resolve_frames(frames: DataFrame, lines: DataFrame, key: list[str]) -> DataF
     """frames(key..., line, ...) with the method_ord of lines(key..., method_ord, line); every row and column stays.
 
     The method that has the very line (the last of several), else the first whose lines enclose it, else the
-    first of that name; null without one. Exact lines meet by an equi-join; what is left meets the spans of methods by bins of lines; only the
-    rest goes by name.
+    first of that name; null without one. Frames whose name is there meet lines by an equi-join; what is left meets the spans of methods by bins of lines;
+    only the rest goes by name.
     """
-    asked = frames.select(*key, F.col("line").alias("at")).distinct()
-    own = lines.groupBy(*key, F.col("line").alias("at")).agg(F.max("method_ord").alias("exact"))
     spans = lines.groupBy(*key, "method_ord").agg(F.min("line").cast("long").alias("low"), F.max("line").cast("long").alias("high"))
+    named = spans.groupBy(*key).agg(F.min("method_ord").alias("named"))
+    asked = frames.select(*key, F.col("line").alias("at")).distinct().join(named, key)
+    own = asked.join(lines.select(*key, F.col("line").alias("at"), "method_ord"), [*key, "at"]).groupBy(*key, "at").agg(F.max("method_ord").alias("exact"))
+    met = asked.join(own, [*key, "at"], "left")
     width = F.col("high") - F.col("low")
     bits = F.coalesce(*(F.when(width < 1 << n, n) for n in BIN_BITS), F.lit(BIN_BITS[-1]))
     place = lambda c, n: F.floor(c / F.pow(F.lit(2.0), n)).cast("long")
     binned = spans.withColumn("bits", bits).withColumn("bin", F.explode(F.sequence(place(F.col("low"), F.col("bits")), place(F.col("high"), F.col("bits")))))
-    met = asked.join(own, [*key, "at"], "left")
     probes = met.where("exact IS NULL").select(*key, "at", F.explode(F.array(*map(F.lit, BIN_BITS))).alias("bits")).withColumn("bin", place(F.col("at"), F.col("bits")))
     inside = probes.join(binned, [*key, "bits", "bin"]).where((F.col("at") >= F.col("low")) & (F.col("at") <= F.col("high"))).groupBy(*key, "at").agg(F.min("method_ord").alias("around"))
-    named = lines.groupBy(*key).agg(F.min("method_ord").alias("named"))
-    best = F.coalesce("exact", "around", "named").alias("method_ord")
-    found = met.join(inside, [*key, "at"], "left").join(named, key, "left").select(*key, F.col("at").alias("line"), best)
+    found = met.join(inside, [*key, "at"], "left").select(*key, F.col("at").alias("line"), F.coalesce("exact", "around", "named").alias("method_ord"))
     return frames.join(found, [*key, "line"], "left").select(*frames.columns, "method_ord")
 
 

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fieldloom.operators.property_access import classes_report
 from fieldloom.plans import report
-from fieldloom.sources import classfile
+from fieldloom.plans.checkpoints import checkpoint
+from fieldloom.sources import classfile, scan
 
 #: Where builds put compiled classes, relative to a project.
 BUILD_FOLDERS = ("build/classes/kotlin/main", "build/classes/java/main")
@@ -46,7 +47,9 @@ def analyse(spark: SparkSession, project: str, options: Options = Options()) ->
     if options.form.upper() not in report.FORMATS:
         raise ValueError(f"unknown format: {options.form}")
     folders = [p for p in class_folders(spark, project, options) if classfile.is_folder(spark, p)]
-    t = classfile.tables(classfile.read(spark, *folders))
+    # Facts are parsed once, by ranges of files where the store can be opened, else through Spark's reader of whole files.
+    read = scan.read if folders and all(map(scan.opens, folders)) else classfile.read
+    t = classfile.tables(checkpoint(read(spark, *folders)))
     found = classes_report(t["classes"], t["methods"], t["insns"], list(options.roles))
     if options.output:
         report.write(found, options.output, options.form)

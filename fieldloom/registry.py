@@ -329,9 +329,11 @@ def _built(spark, d):
     def write(it):
         for pdf in it:
             paths = [f"{project}/{analysis.BUILD_FOLDERS[1] if p.endswith('.class') else 'lib'}/{p}" for p in pdf["path"]]
+            for folder in {p.rpartition("/")[0] for p in paths}:
+                store, inner, _ = scan._store(folder)
+                store.create_dir(inner)
             for path, content in zip(paths, pdf["content"], strict=True):
                 store, inner, _ = scan._store(path)
-                store.create_dir(inner.rpartition("/")[0])
                 with store.open_output_stream(inner) as f:
                     f.write(bytes(content))
             yield pd.DataFrame({"path": [p for p in paths if p.endswith(".jar")]})

@@ -58,10 +58,10 @@ def _runs(items: list, size_of, most: int) -> Iterator[list]:
 
 
 class Split(InputPartition):
-    """Class files (path, size), or entries (name, offset, end, compressed size, method) of one jar."""
+    """Class files (path, size), and runs of entries (name, offset, end, compressed size, method) of jars by their paths."""
 
-    def __init__(self, jar: str | None, items: list):
-        self.jar, self.items = jar, items
+    def __init__(self, files: list[tuple[str, int]], jars: list[tuple[str, list[tuple]]]):
+        self.files, self.jars = files, jars
 
 
 class ClassFiles(DataSource):
@@ -119,43 +119,50 @@ class ClassFileReader(DataSourceReader):
         files = [x for x in self._files() if self._fits("source_path", x[0])]
         jars = [p for p, _ in files if p.endswith(".jar")]
         plain = [x for x in files if x[0].endswith(".class")] if self._fits("entry_name", "") else []
-        out = [Split(None, run) for run in _runs(plain, lambda x: x[1] + OPEN_BYTES, self.split_bytes)]
+        out = [Split(run, []) for run in _runs(plain, lambda x: x[1] + OPEN_BYTES, self.split_bytes)]
+        parts = []
         with ThreadPoolExecutor(16) as pool:
             for jar, entries in zip(jars, pool.map(self._entries, jars), strict=True):
                 kept = [x for x in entries if self._fits("entry_name", x[0])]
-                out += [Split(jar, run) for run in _runs(kept, lambda x: x[2] - x[1], self.split_bytes)]
-        return out or [Split(None, [])]
+                parts += [(jar, run) for run in _runs(kept, lambda x: x[2] - x[1], self.split_bytes)]
+        # Small jars share a task.
+        out += [Split([], run) for run in _runs(parts, lambda x: x[1][-1][2] - x[1][0][1] + OPEN_BYTES, self.split_bytes)]
+        return out or [Split([], [])]
 
     def _bytes(self, split: Split) -> Iterator[tuple[str, str, bytes | None, str | None]]:
         """(path, entry, content or None, what is wrong)."""
-        if split.jar is None:
-            for path, _ in split.items:
-                store, inner, _ = _store(path)
-                with store.open_input_file(inner) as f:
-                    yield path, "", f.read(), None
-            return
-        store, inner, _ = _store(split.jar)
-        with store.open_input_file(inner) as f:
-            held, start = b"", 0
-            for name, at, end, size, method in split.items:
-                if not start <= at < end <= start + len(held):
-                    # Entries that lie side by side are one read.
-                    last = end
-                    for _, a, e, _, _ in split.items[split.items.index((name, at, end, size, method)) + 1 :]:
-                        if a != last:
-                            break
-                        last = e
-                    f.seek(at)
-                    held, start = f.read(last - at), at
-                try:
-                    head = struct.unpack_from(_LOCAL, held, at - start)
-                    s = at - start + struct.calcsize(_LOCAL) + head[9] + head[10]
-                    raw = held[s : s + size]
-                    if head[0] != b"PK\x03\x04" or method not in (_STORED, _DEFLATED) or head[2] & 1:
-                        raise ValueError("an entry that cannot be read")
-                    yield split.jar, name, raw if method == _STORED else zlib.decompress(raw, -15), None
-                except (struct.error, zlib.error, ValueError) as e:
-                    yield split.jar, name, None, f"{type(e).__name__}: {e}"
+        for path, _ in split.files:
+            store, inner, _ = _store(path)
+            with store.open_input_file(inner) as f:
+                yield path, "", f.read(), None
+        for jar, entries in split.jars:
+            store, inner, _ = _store(jar)
+            with store.open_input_file(inner) as f:
+                for name, content, wrong in self._unzipped(f, entries):
+                    yield jar, name, content, wrong
+
+    @staticmethod
+    def _unzipped(f, entries: list[tuple]) -> Iterator[tuple[str, bytes | None, str | None]]:
+        """(entry, content or None, what is wrong); entries that lie side by side are one read."""
+        held, start = b"", 0
+        for k, (name, at, end, size, method) in enumerate(entries):
+            if not start <= at < end <= start + len(held):
+                last = end
+                for _, a, e, _, _ in entries[k + 1 :]:
+                    if a != last:
+                        break
+                    last = e
+                f.seek(at)
+                held, start = f.read(last - at), at
+            try:
+                head = struct.unpack_from(_LOCAL, held, at - start)
+                s = at - start + struct.calcsize(_LOCAL) + head[9] + head[10]
+                raw = held[s : s + size]
+                if head[0] != b"PK\x03\x04" or method not in (_STORED, _DEFLATED) or head[2] & 1:
+                    raise ValueError("an entry that cannot be read")
+                yield name, raw if method == _STORED else zlib.decompress(raw, -15), None
+            except (struct.error, zlib.error, ValueError) as e:
+                yield name, None, f"{type(e).__name__}: {e}"
 
     def read(self, partition: Split) -> Iterator[tuple]:
         names = self.wanted.get("class_name")
@@ -176,6 +183,16 @@ class ClassFileReader(DataSourceReader):
             yield tuple(row[c] for c in self.columns)
 
 
+def opens(path: str) -> bool:
+    """Whether pyarrow has the path's store, so that this format can read it."""
+    try:
+        store, inner, _ = _store(path)
+        store.get_file_info(inner)
+    except (ValueError, OSError, NotImplementedError):
+        return False
+    return True
+
+
 def register(spark: SparkSession) -> None:
     """Make the format known to the session; Spark pushes filters to Python sources only where the session allows it."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")

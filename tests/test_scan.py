@@ -74,7 +74,7 @@ def test_pushed_filters_choose_files_and_entries(folder):
     reader = scan.ClassFileReader(["class_name"], [str(folder), str(folder / "lib.jar")], scan.SPLIT_BYTES)
     left = list(reader.pushFilters([scan.EqualTo(("entry_name",), "shop/Stored.class"), scan.EqualTo(("class_id",), "x")]))
     assert [f.attribute for f in left] == [("class_id",)]
-    assert [[x[0] for x in s.items] for s in reader.partitions()] == [["shop/Stored.class"]]
+    assert [[x[0] for _, run in s.jars for x in run] + s.files for s in reader.partitions()] == [["shop/Stored.class"]]
     assert [r for s in reader.partitions() for r in reader.read(s)] == [("shop.C1",)]
     nothing = scan.ClassFileReader(["class_name"], [str(folder)], scan.SPLIT_BYTES)
     list(nothing.pushFilters([scan.In(("source_path",), ("nowhere",))]))
@@ -92,6 +92,14 @@ def test_a_large_jar_is_many_tasks(spark, tmp_path):
     assert len({r.p for r in rows}) > 10
 
 
+def test_small_jars_share_a_task(spark, tmp_path):
+    for k in range(300):
+        with zipfile.ZipFile(tmp_path / f"j{k}.jar", "w") as z:
+            z.writestr(f"shop/C{k}.class", some_class(k))
+    df = scan.read(spark, *(str(tmp_path / f"j{k}.jar") for k in range(300)), columns=["class_name"])
+    assert df.rdd.getNumPartitions() < 10 and df.distinct().count() == 300
+
+
 def test_ten_thousand_files(spark, tmp_path):
     for k in range(10_000):
         at = tmp_path / f"p{k % 50}"
