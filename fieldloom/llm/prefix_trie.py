@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from fieldloom.llm import common
 
 BLOCK = 1024
-#: Bytes of ids in one portion.
-PORTION = 1 << 20
+#: Bytes of ids in one portion, and nodes that leave a task together.
+PORTION, ROWS = 1 << 20, 4096
 #: Fixed: the white space of `[^\x20\x09-\x0D]+`.
 WHITE = " \t\n\x0b\f\r"
 
@@ -140,21 +140,34 @@ def paths(turns: DataFrame) -> DataFrame:
 
 def _listed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted (node, conv_id) rows to (node, first, ids): ids in decimals, comma-joined, in portions."""
-    held, first, ids, have = None, None, [], 0
+    held, first, ids, size = None, None, [], 0
+    rows, waiting = ([], [], []), 0
 
-    def row():
-        return pa.RecordBatch.from_arrays([pa.array([held], pa.binary()), pa.array([first], pa.int64()), pa.array([",".join(ids)], pa.string())], ["node", "first", "ids"])
+    def close():
+        for column, x in zip(rows, (held, first, ",".join(ids)), strict=True):
+            column.append(x)
+
+    def taken():
+        out = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, (pa.binary(), pa.int64(), pa.string()), strict=True)], ["node", "first", "ids"])
+        for column in rows:
+            column.clear()
+        return out
 
     for b in it:
         for node, c in zip(b.column("node").to_pylist(), b.column("conv_id").to_pylist(), strict=True):
-            if node != held or have > PORTION:
+            if node != held or size > PORTION:
                 if ids:
-                    yield row()
-                held, first, ids, have = node, c, [], 0
+                    close()
+                    waiting += size
+                if waiting > PORTION or len(rows[0]) >= ROWS:
+                    yield taken()
+                    waiting = 0
+                held, first, ids, size = node, c, [], 0
             ids.append(str(c))
-            have += len(ids[-1]) + 1
+            size += len(ids[-1]) + 1
     if ids:
-        yield row()
+        close()
+    yield taken()
 
 
 def _hashed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
