@@ -84,6 +84,11 @@ def say(ordered: DataFrame, out: Callable[[str], object] = print) -> None:
         out(r.value)
 
 
+def show(classes: DataFrame, out: Callable[[str], object] = print) -> None:
+    """The text report without calls, for a console."""
+    say(lines(classes, "TXT", calls=False), out)
+
+
 def log(classes: DataFrame, out: Callable[[str], object] = print) -> None:
     """The text report under a line that says what was found."""
     say(lines(classes, "TXT", head="analysis finished, {} aggregate classes"), out)

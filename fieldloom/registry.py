@@ -290,31 +290,19 @@ def class_facts(spark, d):
     return rows.select("class_name", method_text(F.lit(""), F.col("method_name"), F.col("method_desc")).alias("method"), joined(F.col("reads")).alias("reads"), joined(F.col("writes")).alias("writes"), joined(calls).alias("calls"))
 
 
-def _jars(it):
-    """One jar of a task's classes, in the folder of checkpoints that all executors share."""
-    for path, rows in it:
-        store, inner, _ = scan._store(path)
-        store.create_dir(inner.rpartition("/")[0])
-        with store.open_output_stream(inner) as f, zipfile.ZipFile(f, "w", zipfile.ZIP_DEFLATED) as z:
-            for name, b in rows:
-                z.writestr(name, b)
-        yield path
-
-
 def class_scan(spark, d):
     """Customers' classes, written as jars by tasks, and scanned again by runs of entries."""
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
 
     def write(it):
-        def entries():
+        path = f"{folder}/{TaskContext.get().partitionId()}.jar"
+        with scan.create(path) as f, zipfile.ZipFile(f, "w", zipfile.ZIP_DEFLATED) as z:
             for pdf in it:
                 for k, segment in zip(pdf["c_custkey"].tolist(), pdf["c_mktsegment"], strict=True):
                     b = class_file(f"shop.C{k}", [("update", "()V", [("getfield", f"shop.C{k}", "balance", "D")])] * (k % 3), (), f"shop.C{k // 2}")
-                    yield f"shop/C{k}.class", b[:40] if segment == "MACHINERY" else b
-
-        paths = list(_jars([(f"{folder}/{TaskContext.get().partitionId()}.jar", entries())]))
-        yield pd.DataFrame({"path": paths})
+                    z.writestr(f"shop/C{k}.class", b[:40] if segment == "MACHINERY" else b)
+        yield pd.DataFrame({"path": [path]})
 
     written = _customers(spark, d).mapInPandas(write, "path string").collect()
     found = scan.read(spark, *(r.path for r in written), columns=["entry_name", "class_name", "super_name", "methods", "corrupt"])
@@ -329,12 +317,8 @@ def _built(spark, d):
     def write(it):
         for pdf in it:
             paths = [f"{project}/{analysis.BUILD_FOLDERS[1] if p.endswith('.class') else 'lib'}/{p}" for p in pdf["path"]]
-            for folder in {p.rpartition("/")[0] for p in paths}:
-                store, inner, _ = scan._store(folder)
-                store.create_dir(inner)
             for path, content in zip(paths, pdf["content"], strict=True):
-                store, inner, _ = scan._store(path)
-                with store.open_output_stream(inner) as f:
+                with scan.create(path) as f:
                     f.write(bytes(content))
             yield pd.DataFrame({"path": [p for p in paths if p.endswith(".jar")]})
 

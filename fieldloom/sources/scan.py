@@ -36,7 +36,7 @@ _LOCAL, _STORED, _DEFLATED = "<4s5H3I2H", 0, 8
 _SETS = ("class_name", "source_path", "entry_name")
 
 
-def _store(path: str) -> tuple[stores.FileSystem, str, str]:
+def store_of(path: str) -> tuple[stores.FileSystem, str, str]:
     """The store of a path, the path in it, and what its files' names begin with as URIs."""
     if "://" in path and not path.startswith("file:"):
         store, inner = stores.FileSystem.from_uri(path)
@@ -45,6 +45,13 @@ def _store(path: str) -> tuple[stores.FileSystem, str, str]:
     return stores.LocalFileSystem(), "/" + inner.lstrip("/") if inner.startswith("/") else inner, "file:"
 
 
+def create(path: str):
+    """A file to write bytes to, as a context; its folder is made."""
+    store, inner, _ = store_of(path)
+    store.create_dir(inner.rpartition("/")[0])
+    return store.open_output_stream(inner)
+
+
 def _runs(items: list, size_of, most: int) -> Iterator[list]:
     run, have = [], 0
     for x in items:
@@ -99,7 +106,7 @@ class ClassFileReader(DataSourceReader):
 
     def _files(self) -> Iterator[tuple[str, int]]:
         for path in self.paths:
-            store, inner, head = _store(path)
+            store, inner, head = store_of(path)
             info = store.get_file_info(inner)
             if info.type == stores.FileType.NotFound:
                 raise FileNotFoundError(path)
@@ -110,7 +117,7 @@ class ClassFileReader(DataSourceReader):
                 yield head + info.path, info.size
 
     def _entries(self, jar: str) -> list[tuple]:
-        store, inner, _ = _store(jar)
+        store, inner, _ = store_of(jar)
         with store.open_input_file(inner) as f, zipfile.ZipFile(f) as z:
             ends = sorted(x.header_offset for x in z.infolist())[1:] + [z.start_dir]
             return [(x.filename, x.header_offset, end, x.compress_size, x.compress_type) for x, end in zip(sorted(z.infolist(), key=lambda x: x.header_offset), ends, strict=True) if x.filename.endswith(".class")]
@@ -132,11 +139,11 @@ class ClassFileReader(DataSourceReader):
     def _bytes(self, split: Split) -> Iterator[tuple[str, str, bytes | None, str | None]]:
         """(path, entry, content or None, what is wrong)."""
         for path, _ in split.files:
-            store, inner, _ = _store(path)
+            store, inner, _ = store_of(path)
             with store.open_input_file(inner) as f:
                 yield path, "", f.read(), None
         for jar, entries in split.jars:
-            store, inner, _ = _store(jar)
+            store, inner, _ = store_of(jar)
             with store.open_input_file(inner) as f:
                 for name, content, wrong in self._unzipped(f, entries):
                     yield jar, name, content, wrong
@@ -186,7 +193,7 @@ class ClassFileReader(DataSourceReader):
 def opens(path: str) -> bool:
     """Whether pyarrow has the path's store, so that this format can read it."""
     try:
-        store, inner, _ = _store(path)
+        store, inner, _ = store_of(path)
         store.get_file_info(inner)
     except (ValueError, OSError, NotImplementedError):
         return False
