@@ -43,7 +43,8 @@ def replay(state: DataFrame, log: DataFrame, key: str, items: str = "items") ->
     none = lambda kind: F.lit(None).cast(kind)
     rows = touched.select(*touched.columns, none("long").alias("_seq"), none("string").alias("_op"), none("long").alias("_pos"), none(element).alias("_value"), F.lit(0).alias("_change"))
     steps = log.where(F.col(key).isNotNull()).select(*(F.col(c) if c == key else none(touched.schema[c].dataType).alias(c) for c in touched.columns), F.col("seq").cast("long").alias("_seq"), F.col("op").alias("_op"), F.col("pos").cast("long").alias("_pos"), F.col("value").cast(element).alias("_value"), F.lit(1).alias("_change"))
-    met = rows.unionByName(steps).repartition(key).sortWithinPartitions(key, "_change", "_seq", "_op", "_pos")
+    # By a hash of the key: a union of two sides that are partitioned by the key counts as partitioned already, though their partitions are merged apart at run time.
+    met = rows.unionByName(steps).repartition(F.xxhash64(key)).sortWithinPartitions(key, "_change", "_seq", "_op", "_pos")
     arrow = to_arrow_schema(state.schema)
 
     def run(it):

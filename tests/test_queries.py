@@ -28,3 +28,15 @@ def test_query_equals_sql(spark, duck, name):
     got = sorted(repr(tuple(r)) for r in df.collect())
     want = sorted(repr(tuple(r[i] for i in at)) for r in rel.fetchall())
     assert got and got == want
+
+
+@pytest.mark.parametrize("name", ["list_replay", "list_clear_refill"])
+def test_lists_meet_their_changes_where_partitions_are_merged_apart(spark, duck, name):
+    """The two sides of the replay have partitions of different sizes, as larger tables do under the usual sizes."""
+    size = "spark.sql.adaptive.coalescePartitions.minPartitionSize"
+    spark.conf.set(size, "2k")
+    try:
+        got = sorted(map(tuple, registry.queries()[name](spark, D).collect()))
+    finally:
+        spark.conf.unset(size)
+    assert got == sorted(duck.sql(registry.oracle_sql()[name]).fetchall())
