@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.functions.naming import accessor_kind, accessor_property
+from fieldloom.plans.checkpoints import large
 
 #: Fixed: opcodes of the class-file format.
 GETFIELD, PUTFIELD = 180, 181
@@ -23,7 +24,7 @@ def kept_classes(classes: DataFrame, roles: list[str]) -> DataFrame:
 
 def facts(classes: DataFrame, insns: DataFrame, roles: list[str], strict: bool = False) -> DataFrame:
     """(class_id, method_ord, kind R/W/C, name, descriptor, n): what each method does to its own class."""
-    own = insns.join(kept_classes(classes, roles).select("class_id", "class_name"), "class_id").where(F.col("owner") == F.col("class_name"))
+    own = insns.join(large(kept_classes(classes, roles).select("class_id", "class_name")), "class_id").where(F.col("owner") == F.col("class_name"))
     key = ["class_id", "method_ord"]
     fields = own.where((F.col("kind") == "FIELD") & F.col("opcode").isin(GETFIELD, PUTFIELD))
     fields = fields.select(*key, F.when(F.col("opcode") == GETFIELD, "R").otherwise("W").alias("kind"), "name", F.lit("").alias("descriptor"), F.lit(1).alias("n"))
@@ -42,7 +43,7 @@ def methods_report(classes: DataFrame, methods: DataFrame, insns: DataFrame, rol
     pick = lambda k, c: F.sort_array(F.collect_list(F.when(F.col("kind") == k, c)))
     call = F.struct(F.col("name").alias("method_name"), F.col("descriptor").alias("method_desc"), F.col("n").alias("call_count"))
     rows = facts(classes, insns, roles, strict).groupBy("class_id", "method_ord").agg(pick("R", F.col("name")).alias("reads"), pick("W", F.col("name")).alias("writes"), pick("C", call).alias("calls"))
-    return rows.join(methods.select("class_id", "method_ord", "method_name", "method_desc"), ["class_id", "method_ord"])
+    return rows.join(large(methods.select("class_id", "method_ord", "method_name", "method_desc")), ["class_id", "method_ord"])
 
 
 def classes_report(classes: DataFrame, methods: DataFrame, insns: DataFrame, roles: list[str]) -> DataFrame:
@@ -50,4 +51,4 @@ def classes_report(classes: DataFrame, methods: DataFrame, insns: DataFrame, rol
     rows = methods_report(classes, methods, insns, roles)
     listed = rows.groupBy("class_id").agg(F.sort_array(F.collect_list(F.struct("method_ord", "method_name", "method_desc", "reads", "writes", "calls"))).alias("methods"))
     kept = kept_classes(classes, roles).select("class_id", "class_name", F.lit(True).alias("is_aggregate_root"))
-    return kept.join(listed, "class_id", "left").withColumn("methods", F.coalesce("methods", F.slice(F.array(F.lit(None).cast(listed.schema["methods"].dataType.elementType)), 1, 0)))
+    return kept.join(large(listed), "class_id", "left").withColumn("methods", F.coalesce("methods", F.slice(F.array(F.lit(None).cast(listed.schema["methods"].dataType.elementType)), 1, 0)))

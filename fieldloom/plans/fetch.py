@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from fieldloom.functions.naming import method_text
 from fieldloom.operators import callgraph
+from fieldloom.plans.checkpoints import large
 
 
 def caller_fields(frames: DataFrame, methods: DataFrame, lines: DataFrame, insns: DataFrame, classes: DataFrame, roles: list[str]) -> DataFrame:
@@ -16,18 +17,18 @@ def caller_fields(frames: DataFrame, methods: DataFrame, lines: DataFrame, insns
     A frame becomes a method; its calls of methods that classes of the roles declare are closed over the call graph, and fields read
     there, of classes with a role, are the plan. root is the frame's method. Facts are those of classfile.tables.
     """
-    named = methods.join(classes.select("class_id", "class_name", "annotations"), "class_id")
+    named = large(methods.join(large(classes.select("class_id", "class_name", "annotations")), "class_id"))
     text = method_text(F.col("class_name"), F.col("method_name"), F.col("method_desc"))
     key = ["class_id", "method_ord"]
-    at = lines.join(named.select(*key, "class_name", "method_name"), key).select("class_name", "method_name", "method_ord", "line")
-    caller = callgraph.resolve_frames(frames, at, ["class_name", "method_name"]).join(named.select("class_name", "method_name", "method_ord", text.alias("caller")), ["class_name", "method_name", "method_ord"]).select("caller").distinct()
-    every = insns.join(named.select(*key, text.alias("caller")), key)
+    at = large(lines).join(named.select(*key, "class_name", "method_name"), key).select("class_name", "method_name", "method_ord", "line")
+    caller = callgraph.resolve_frames(frames, at, ["class_name", "method_name"]).join(large(named.select("class_name", "method_name", "method_ord", text.alias("caller"))), ["class_name", "method_name", "method_ord"]).select("caller").distinct()
+    every = large(insns).join(named.select(*key, text.alias("caller")), key)
     edges = callgraph.edges(every).select("caller", method_text(F.col("callee.owner"), F.col("callee.name"), F.col("callee.descriptor")).alias("callee"))
     role = F.arrays_overlap("annotations", F.array(*map(F.lit, roles)))
     declared = named.where(role).select(text.alias("callee")).distinct()
-    direct = edges.join(caller, "caller").join(declared, "callee", "left_semi").select("caller", "callee").distinct()
+    direct = edges.join(large(caller), "caller").join(large(declared), "callee", "left_semi").select("caller", "callee").distinct()
     reached = callgraph.closure(edges, direct.select(F.col("callee").alias("root")))
-    return direct.withColumnRenamed("callee", "root").join(callgraph.fetch_plan(reached, every, classes, roles), "root").select(F.col("caller").alias("root"), "owner", "field").distinct()
+    return direct.withColumnRenamed("callee", "root").join(large(callgraph.fetch_plan(reached, every, classes, roles)), "root").select(F.col("caller").alias("root"), "owner", "field").distinct()
 
 
 def projection(entity: DataFrame, paths: list[str]) -> list[Column]:
