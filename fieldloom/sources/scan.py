@@ -1,6 +1,7 @@
 """Class files and jars as a Spark data source, with splits, pushed filters and columns that aren't parsed unless asked for.
 
-`spark.read.format("classfiles")` after register(spark). Planning lists folders and reads the central directory of each jar;
+`spark.read.format("classfiles")` after register(spark). Planning lists folders and reads the central directory of each jar that
+is larger than a task's share, or of all if entries are filtered by name; else the task that gets a jar reads its directory.
 a task gets a run of class files, or a run of one jar's entries, which it reads as one range of bytes. So a large jar is many
 tasks, and no row holds a whole jar. Filters that Spark pushes down: class_name (what stands after a class's name is not
 parsed if the name isn't wanted), source_path and entry_name (files and entries are not read at all), corrupt IS NULL. Columns are pruned by the
@@ -65,9 +66,9 @@ def _runs(items: list, size_of, most: int) -> Iterator[list]:
 
 
 class Split(InputPartition):
-    """Class files (path, size), and runs of entries (name, offset, end, compressed size, method) of jars by their paths."""
+    """Class files (path, size), and runs of entries (name, offset, end, compressed size, method) of jars by their paths; None for a jar that is read whole."""
 
-    def __init__(self, files: list[tuple[str, int]], jars: list[tuple[str, list[tuple]]]):
+    def __init__(self, files: list[tuple[str, int]], jars: list[tuple[str, list[tuple] | None]]):
         self.files, self.jars = files, jars
 
 
@@ -90,6 +91,10 @@ class ClassFileReader(DataSourceReader):
         self.wanted: dict[str, set[str]] = {}
         self.readable_only = False
 
+    def __getstate__(self) -> dict:
+        """What tasks get: planning alone needs the paths, of which there may be millions."""
+        return self.__dict__ | {"paths": []}
+
     def pushFilters(self, filters):
         for f in filters:
             column = f.attribute[0] if isinstance(f, (EqualTo, In, IsNull)) else None
@@ -124,7 +129,10 @@ class ClassFileReader(DataSourceReader):
 
     def partitions(self) -> list[Split]:
         files = [x for x in self._files() if self._fits("source_path", x[0])]
-        jars = [p for p, _ in files if p.endswith(".jar")]
+        # A filter by entry is worth a look into every jar here: it leaves out those without one.
+        most = self.split_bytes if "entry_name" not in self.wanted else -1
+        small = [(p, None, size) for p, size in files if p.endswith(".jar") and size <= most]
+        jars = [p for p, size in files if p.endswith(".jar") and size > most]
         plain = [x for x in files if x[0].endswith(".class")] if self._fits("entry_name", "") else []
         out = [Split(run, []) for run in _runs(plain, lambda x: x[1] + OPEN_BYTES, self.split_bytes)]
         parts = []
@@ -133,7 +141,8 @@ class ClassFileReader(DataSourceReader):
                 kept = [x for x in entries if self._fits("entry_name", x[0])]
                 parts += [(jar, run) for run in _runs(kept, lambda x: x[2] - x[1], self.split_bytes)]
         # Small jars share a task.
-        out += [Split([], run) for run in _runs(parts, lambda x: x[1][-1][2] - x[1][0][1] + OPEN_BYTES, self.split_bytes)]
+        parts = small + [(jar, run, run[-1][2] - run[0][1]) for jar, run in parts]
+        out += [Split([], [x[:2] for x in run]) for run in _runs(parts, lambda x: x[2] + OPEN_BYTES, self.split_bytes)]
         return out or [Split([], [])]
 
     def _bytes(self, split: Split) -> Iterator[tuple[str, str, bytes | None, str | None]]:
@@ -143,6 +152,8 @@ class ClassFileReader(DataSourceReader):
             with store.open_input_file(inner) as f:
                 yield path, "", f.read(), None
         for jar, entries in split.jars:
+            if entries is None:
+                entries = self._entries(jar)
             store, inner, _ = store_of(jar)
             with store.open_input_file(inner) as f:
                 for name, content, wrong in self._unzipped(f, entries):

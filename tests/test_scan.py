@@ -109,3 +109,20 @@ def test_ten_thousand_files(spark, tmp_path):
     assert df.rdd.getNumPartitions() > 4
     assert df.agg(F.count_distinct("class_name"), F.sum(F.size("methods"))).first() == (10_000, 10_000)
     assert scan.find(spark, [str(tmp_path)], "shop.C77").count() == 1
+
+
+def test_planning_opens_no_small_jar_and_tasks_get_no_paths(tmp_path):
+    import pickle
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "a.jar", "w") as z:
+        z.writestr("x/A.class", b"no class")
+        z.writestr("x/B.txt", b"x")
+    jar = str(tmp_path / "a.jar")
+    reader = scan.ClassFileReader(["entry_name", "corrupt"], [jar] * 1000, scan.SPLIT_BYTES)
+    parts = reader.partitions()
+    assert all(entries is None for p in parts for _, entries in p.jars)
+    task = pickle.dumps(reader)
+    assert jar.encode() not in task
+    rows = [r for p in parts for r in pickle.loads(task).read(p)]
+    assert len(rows) == 1000 and {r[0] for r in rows} == {"x/A.class"}
