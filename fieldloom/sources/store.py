@@ -17,6 +17,14 @@ from fieldloom.operators.members import empty_entity
 
 #: The folder of a table's manifests.
 LOG = "_log"
+#: Rows that one task sorts, and of one file.
+TASK_ROWS = 1 << 20
+
+
+def spread(df: DataFrame, rows: int, key: str) -> DataFrame:
+    """df of so many rows dealt by the key to tasks of about TASK_ROWS each: they grow in number with the table, not in size. As it is if one task does."""
+    n = -(-rows // TASK_ROWS)
+    return df.repartition(n, key) if n > 1 else df
 
 
 class Schemas:
@@ -135,7 +143,8 @@ class ParquetStore(Store):
     def _files(self, name: str, rows: DataFrame, key: str) -> list[dict]:
         """Write rows ranged by key; the new files with their ranges (as strings that Spark casts back)."""
         folder = f"{self.folder}/{name}/{uuid.uuid4().hex}"
-        rows.repartitionByRange(F.col(key)).sortWithinPartitions(key).write.parquet(folder)
+        n = -(-rows.count() // TASK_ROWS)
+        (rows.repartitionByRange(n, F.col(key)) if n > 1 else rows.repartitionByRange(F.col(key))).sortWithinPartitions(key).write.parquet(folder)
         written = self.spark.read.schema(rows.schema).parquet(folder)
         ranges = written.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.min(key).cast("string").alias("low"), F.max(key).cast("string").alias("high"), F.count("*").alias("rows"))
         return [r.asDict() for r in ranges.collect()]
@@ -144,6 +153,9 @@ class ParquetStore(Store):
         schema = T.StructType.fromJson(made["schema"])
         return self.spark.read.schema(schema).parquet(*(f["path"] for f in files)) if files else self.spark.createDataFrame([], schema)
 
+    def rows(self, name: str, version: int | None = None) -> int:
+        return sum(f["rows"] for f in self.manifest(name, version)["files"])
+
     def read(self, name: str, version: int | None = None) -> DataFrame:
         made = self.manifest(name, version)
         return self._read(made, made["files"])
@@ -168,11 +180,14 @@ class ParquetStore(Store):
             met = [f for f in met if f["path"] in near]
         found = self._read(made, met)
         held = set()
+        gone = keys.select(key).distinct()
         if met:
-            there = found.select(F.col("_metadata.file_path").alias("path"), key).join(keys.select(key).distinct(), key, "left_semi")
+            n = sum(f["rows"] for f in met)
+            there = spread(found.select(F.col("_metadata.file_path").alias("path"), key), n, key).join(spread(gone, n, key), key, "left_semi")
             held = {r.path for r in there.select("path").distinct().collect()}  # as many as there are files
         touched = [f for f in met if f["path"] in held]
-        rest = self._read(made, touched).join(keys.select(key).distinct(), key, "left_anti")
+        n = sum(f["rows"] for f in touched)
+        rest = spread(self._read(made, touched), n, key).join(spread(gone, n, key), key, "left_anti")
         schema = T.StructType.fromJson(made["schema"])
         rows = rest.unionByName(new.select(*(F.col(c.name).cast(c.dataType) for c in schema)))
         kept = [f for f in made["files"] if f["path"] not in held]
