@@ -21,10 +21,10 @@ from fieldloom.operators.changes import adding_all, clearing, replay
 from fieldloom.operators.mapping import Binding, declared, Field, Fields, ListFields, Poly, PolyFields, PolyListFields
 from fieldloom.operators.property_access import classes_report, facts, methods_report
 from fieldloom.plans import analysis, fetch, report
-from fieldloom.plans.checkpoints import checkpoint, ensure_checkpoint_dir
+from fieldloom.plans.checkpoints import checkpoint, ensure_checkpoint_dir, large
 from fieldloom.sources import classfile, scan
 from fieldloom.sources.assemble import class_file
-from fieldloom.sources.store import EntityOperator, ParquetStore, Schemas
+from fieldloom.sources.store import EntityOperator, ParquetStore, Schemas, spread
 
 ROLE = "Lexample/AggregateRoot;"
 METAFACTORY = callgraph.METAFACTORY_OWNER
@@ -232,7 +232,8 @@ def store_save(spark, d):
     writer.save("orders", delta, "o_orderkey")
     writer.save_children("lines", children, children, "l_orderkey")
     reader = ParquetStore(spark, folder)
-    n = reader.read("lines").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"), F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("decimal(18,2)").alias("quantity"))
+    lines = spread(reader.read("lines"), reader.rows("lines"), "l_orderkey")
+    n = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"), F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("decimal(18,2)").alias("quantity"))
     return reader.read("orders").join(n, "o_orderkey", "left").select("o_orderkey", "o_orderstatus", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "quantity")
 
 
@@ -273,19 +274,28 @@ def _assembled(it):
         yield pd.DataFrame(out, columns=["path", "content"])
 
 
+#: Classes that one task makes, reads and reports, so that tasks grow in number with the table and not in size.
+TASK_CLASSES = 20_000
+
+
+def _class_tasks(spark, d) -> int:
+    return max(spark.sparkContext.defaultParallelism, -(-_t(spark, d, "customer").count() // TASK_CLASSES))
+
+
 def _customers(spark, d):
     """Customers dealt to all cores: the table is one small file, and making and reading class files takes longer than moving rows."""
-    return _t(spark, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment").repartition(spark.sparkContext.defaultParallelism)
+    return _t(spark, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment").repartition(_class_tasks(spark, d))
 
 
 def _class_tables(spark, d):
-    files = _customers(spark, d).mapInPandas(_assembled, "path string, content binary")
-    return classfile.tables(checkpoint(classfile.from_bytes(files)))
+    """Facts are dealt by class, to a number of tasks that follows the table, so what goes by class is not shuffled again."""
+    files, n = _customers(spark, d).mapInPandas(_assembled, "path string, content binary"), _class_tasks(spark, d)
+    return {name: t.repartition(n, "class_id") for name, t in classfile.tables(checkpoint(classfile.from_bytes(files))).items()}
 
 
 def class_facts(spark, d):
     t = _class_tables(spark, d)
-    rows = methods_report(t["classes"], t["methods"], t["insns"], [ROLE]).join(t["classes"].select("class_id", "class_name"), "class_id")
+    rows = methods_report(t["classes"], t["methods"], t["insns"], [ROLE]).join(large(t["classes"].select("class_id", "class_name")), "class_id")
     calls = F.transform("calls", lambda x: F.concat(x["method_name"], x["method_desc"], F.lit("*"), x["call_count"].cast("string")))
     return rows.select("class_name", method_text(F.lit(""), F.col("method_name"), F.col("method_desc")).alias("method"), joined(F.col("reads")).alias("reads"), joined(F.col("writes")).alias("writes"), joined(calls).alias("calls"))
 
