@@ -41,8 +41,11 @@ def delete_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts linked by a similarity of 0.8 or more on five-word shingles one row stays: the least doc_id, null last."""
-    return near_copies.keep_one(docs)
+    """Of texts linked by SimHash fingerprints (op5's, by its pivot tables) one row stays: the least doc_id, null last.
+
+    What three bits cannot see goes next: of the texts that are left, those linked by a similarity of 0.8 or more on five-word shingles, likewise.
+    """
+    return near_copies.keep_one(common.checkpoint(near_copies.keep_one_by_fingerprint(docs)))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm import common
+from fieldloom.llm import common, simhash
 from fieldloom.llm.common import U64
 from fieldloom.llm.components import components
 from fieldloom.llm.simhash import CHUNK_BYTES, _shingle_hashes
@@ -136,7 +136,25 @@ def keep_one(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     rows = _sketches(docs).groupBy("node", *KEY).agg(F.count("*").alias("n"), F.first("bands").alias("bands"))
     first = rows.groupBy("node").agg(F.min(F.struct(*KEY, "n", "bands")).alias("x"))
     nodes = common.checkpoint(first.select("node", "x.*"))
-    root = components(links(docs, nodes, chunk)).select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return _least(docs, nodes, links(docs, nodes, chunk))
+
+
+def keep_one_by_fingerprint(docs: DataFrame) -> DataFrame:
+    """The rows that stay of components of SimHash fingerprints within simhash.MOST_BITS bits, found by op5's pivot tables; cases as above."""
+
+    def run(it):
+        for t in common.batches(it, CHUNK_BYTES):
+            fp = simhash.fingerprints_of(common.texts_of(t.column("text")))
+            yield pa.RecordBatch.from_arrays([*(t.column(c).combine_chunks() for c in KEY), pa.array(fp.view(np.int64))], [*KEY, "node"])
+
+    rows = _keyed(docs).mapInArrow(run, "doc_id long, th long, node long").groupBy("node", *KEY).agg(F.count("*").alias("n"))
+    nodes = common.checkpoint(rows.groupBy("node").agg(F.min(F.struct(*KEY, "n")).alias("x")).select("node", "x.*"))
+    return _least(docs, nodes, simhash.links(simhash.pivot_table(nodes.select(F.col("node").alias("fp")))))
+
+
+def _least(docs: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """One row of docs for each component of nodes(node, doc_id, th, n) under the links found(u, v): the least."""
+    root = components(found).select(F.col("u").alias("node"), F.col("v").alias("root"))
     least = nodes.join(root, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct(*KEY, "n")).alias("x"))
     one = least.select(F.col("x.doc_id").alias("_id"), F.col("x.th").alias("_th"), F.col("x.n").alias("_n"))
     kept = docs.join(one, (F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)) == F.col("_id")) & (F.coalesce(F.xxhash64("text"), F.lit(0)) == F.col("_th")))

@@ -73,3 +73,16 @@ def test_null_ids_and_repeated_rows(spark):
     got = sorted(((r.doc_id, r.text) for r in cp.keep_one_of_near_copies(spark, df, "").collect()), key=str)
     assert got == sorted([(None, far[0]), (5, far[1]), (5, far[2]), (7, None)], key=str)
     assert cp.keep_one_of_near_copies(spark, df.limit(0), "").count() == 0
+
+
+def test_stage_takes_fingerprints_within_three_bits(spark):
+    """Texts of one repeated run of words in other numbers: their sets of five-word shingles are alike below 0.8, their fingerprints are one."""
+    words = "a b c d e f g h i j k l".split()
+    one, two = " ".join(words * 40), " ".join([*"x1 x2 x3 x4 x5 x6".split(), *words * 40])
+    a, b = (nc.shingle_set(t.encode()) for t in (one, two))
+    assert np.intersect1d(a, b).size / np.union1d(a, b).size < 0.8
+    fps = nc.simhash.fingerprints_of([one.encode(), two.encode()])
+    assert int(fps[0] ^ fps[1]).bit_count() <= 3
+    df = spark.createDataFrame([(1, one, "s"), (2, two, "s")], "doc_id long, text string, source string")
+    assert [r.doc_id for r in nc.keep_one(df).collect()] != [1]
+    assert [r.doc_id for r in cp.keep_one_of_near_copies(spark, df, "").collect()] == [1]
