@@ -109,3 +109,32 @@ def test_groups_that_span_arrow_batches(spark, monkeypatch):
         test_one_dense_key(spark)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_rounds_of_components_take_tasks_by_links(spark):
+    """A few links in many parts: a round costs few tasks, and what comes back lies in few parts."""
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        # chains of 1 to 40 links, their ends in mixed order
+        rows = [(1000 * c + x * 37 % 1000, 1000 * c + (x + 1) * 37 % 1000) for c in range(40) for x in range(c + 1)]
+        want = {}
+        for c in range(40):
+            ids = [1000 * c + x * 37 % 1000 for x in range(c + 2)]
+            want |= {i: min(ids) for i in ids if i != min(ids)}
+        links, sc = spark.createDataFrame(rows, "u long, v long"), spark.sparkContext
+        sc.setJobGroup("components", "")
+        found = components(links)
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        assert {r.u: r.v for r in found.collect()} == want
+        assert found.rdd.getNumPartitions() <= 8
+        stages = {s for j in sc.statusTracker().getJobIdsForGroup("components") for s in sc.statusTracker().getJobInfo(j).stageIds}
+        infos = [x for x in map(sc.statusTracker().getStageInfo, stages) if x]
+        rounds = sum(x.numCompletedTasks == 1 and x.numTasks == 1 for x in infos) - 1  # the only stages of one task are those of the counts
+        assert rounds > 1
+        assert sum(x.numCompletedTasks for x in infos) < 5 * 64 * (rounds + 1)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
