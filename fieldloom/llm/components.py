@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import checkpoint
+from fieldloom.llm.common import checkpoint, tidy
 
 #: Links for each task that writes or reads them, and such tasks at least.
 TASK_LINKS, LEAST_TASKS = 1 << 16, 8
@@ -42,5 +42,7 @@ def components(links: DataFrame) -> DataFrame:
         e = checkpoint(e.coalesce(tasks))
         now = _state(e)
         if now == before:
+            del back, low
+            tidy(e.sparkSession)
             return e
         before = now

@@ -1,5 +1,8 @@
+import glob
+import os
 import random
 import re
+import time
 
 import numpy as np
 import xxhash
@@ -138,3 +141,16 @@ def test_rounds_of_components_take_tasks_by_links(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_shuffle_files_of_rounds_go(spark):
+    files = lambda: sum(f.endswith(".data") for d in glob.glob(f"{spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0]}/*/") for f in os.listdir(d))
+    e = spark.range(300).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
+    before = files()
+    found = components(e)
+    for _ in range(40):  # Spark deletes them in the background
+        if files() <= before:
+            break
+        time.sleep(0.25)
+    assert files() <= before
+    assert found.count() == 300
