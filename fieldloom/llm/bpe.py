@@ -569,7 +569,7 @@ def digests(docs: DataFrame, path: str = RANKS, pattern: str = public_tokenizers
 
     columns = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * with_ids
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return common.map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, schema)
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

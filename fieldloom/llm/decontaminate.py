@@ -87,7 +87,7 @@ def windows(benchmark: DataFrame) -> DataFrame:
                     cols = [pa.array([item] * len(own), pa.string()), pa.array([m] * len(own), pa.int32()), pa.array(own), pa.array([b" ".join(w[k : k + m]) for k in range(i, i + len(own))], pa.binary())]
                     yield pa.RecordBatch.from_arrays(cols, ["item", *_WINDOW])
 
-    rows = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").mapInArrow(run, "item string, m int, print long, words binary")
+    rows = common.map_texts(benchmark.select(F.col("item_id").cast("string").alias("item"), "text"), run, "item string, m int, print long, words binary")
     return common.checkpoint(rows.groupBy(*_WINDOW).agg(F.collect_set("item").alias("items")))
 
 
@@ -112,7 +112,7 @@ def _prints_of(docs: DataFrame, lengths: list[int]) -> DataFrame:
                     row = pa.array(doc[x])
                     yield pa.RecordBatch.from_arrays([t.column(c).combine_chunks().take(row) for c in ("doc_id", "th")] + [pa.array(np.full(x.size, m, np.int32)), pa.array(low[x])], ["doc_id", "th", "m", "print"])
 
-    return _keyed(docs).mapInArrow(run, "doc_id long, th long, m int, print long")
+    return common.map_texts(_keyed(docs), run, "doc_id long, th long, m int, print long")
 
 
 def candidates(docs: DataFrame, table: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -184,7 +184,7 @@ def candidates(docs: DataFrame, table: DataFrame, block: int = BLOCK) -> DataFra
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-    return own.mapInArrow(run, "doc_id long, th long, n_words long, m int, print long, words binary, places binary")
+    return common.map_texts(own, run, "doc_id long, th long, n_words long, m int, print long, words binary, places binary")
 
 
 def verified(found: DataFrame, table: DataFrame) -> DataFrame:

@@ -108,26 +108,28 @@ class Automaton:
         self.cost = np.zeros((n_states, n_sym + 2, n_lang), np.float32)
         uniform = np.full((n_sym + 2, n_lang), 8.0, np.float32)
         for n, own in enumerate(levels):
-            rows = slice(first[n], first[n + 1])
+            # In place: a copy of the longest contexts' rows would take more than half of the table once again.
+            cost, to = self.cost[first[n] : first[n + 1]], self.next[first[n] : first[n + 1]]
             if n:
-                high = 1 << 8 * (n - 1)
-                shorter = first[n - 1] + np.searchsorted(levels[n - 1], own % high + high)
-                cost, to = self.cost[shorter], self.next[shorter]
+                high, before = 1 << 8 * (n - 1), slice(first[n - 1], first[n])
+                shorter = np.searchsorted(levels[n - 1], own % high + high)
+                np.take(self.cost[before], shorter, axis=0, out=cost, mode="clip")
+                np.take(self.next[before], shorter, axis=0, out=to, mode="clip")
             else:
-                cost, to = uniform[None].copy(), np.zeros((1, n_sym + 2), np.int32)
+                cost[:] = uniform
             for k in range(n_lang):
                 grams, counts = all_counts[k][n]
                 at = np.searchsorted(own, grams >> 8)
                 sym = self.class_of[grams & 255]
                 total = np.bincount(at, counts, own.size)
                 kinds = np.bincount(at, minlength=own.size)
-                known = total > 0
-                cost[known, :, k] += np.log2((total + kinds)[known] / kinds[known])[:, None]
+                known, escape = total > 0, np.zeros(own.size)
+                escape[known] = np.log2((total + kinds)[known] / kinds[known])
+                cost[:, :, k] += escape[:, None]
                 cost[at, sym, k] = np.log2((total + kinds)[at] / counts)
             if n < model.order:
                 longer = levels[n + 1]
                 to[np.searchsorted(own, longer >> 8), self.class_of[longer & 255]] = first[n + 1] + np.arange(longer.size)
-            self.cost[rows], self.next[rows] = cost, to
         self.cost[:, self.pad] = 0
         self.next[:, self.pad] = 0
 
@@ -202,7 +204,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(t.column(c).combine_chunks() for c in names), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64())], [*names, *OUTPUTS])
 
     schema = T.StructType(list(docs.schema)).add("lang_pred", "string").add("score", "double").add("bits_per_byte", "double")
-    return docs.mapInArrow(run, schema)
+    return common.map_texts(docs, run, schema)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

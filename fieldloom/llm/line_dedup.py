@@ -75,7 +75,7 @@ def line_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             cols = [pa.ListArray.from_arrays(offsets, pa.array(line)), pa.ListArray.from_arrays(offsets, needs)]
             yield pa.RecordBatch.from_arrays([t.column("doc_id").combine_chunks().fill_null(LAST_ID), t.column("th").combine_chunks(), *cols], ["doc_id", "th", "lines", "needs"])
 
-    rows = common.keyed(docs).mapInArrow(run, "doc_id long, th long, lines array<bigint>, needs array<array<int>>")
+    rows = common.map_texts(common.keyed(docs), run, "doc_id long, th long, lines array<bigint>, needs array<array<int>>")
     rows = rows.select(*DOC, F.posexplode(F.arrays_zip("lines", "needs")).alias("pos", "x"))
     return rows.select(*DOC, "pos", F.col("x.lines").alias("line"), F.col("x.needs").alias("needs"))
 
@@ -150,7 +150,7 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("row").combine_chunks(), pa.array(kept, pa.string()), *(pa.array(x, pa.int64()) for x in more)], ["row", *OUTPUTS])
 
     schema = T.StructType([T.StructField("row", both.schema["row"].dataType)]).add("kept", "string").add("n_lines", "long").add("n_removed", "long").add("n_runs", "long")
-    return both.mapInArrow(run, schema).select("row.*", *OUTPUTS)
+    return common.map_texts(both, run, schema).select("row.*", *OUTPUTS)
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,7 +70,7 @@ def _sketches(docs: DataFrame) -> DataFrame:
             keys = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32()), pa.array(bands_of(sets).view(np.int64).ravel()))
             yield pa.RecordBatch.from_arrays([*(t.column(c).combine_chunks() for c in KEY), pa.array(node), keys], [*KEY, "node", "bands"])
 
-    return _keyed(docs).mapInArrow(run, "doc_id long, th long, node long, bands array<long>")
+    return common.map_texts(_keyed(docs), run, "doc_id long, th long, node long, bands array<long>")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -118,7 +118,7 @@ def links(docs: DataFrame, nodes: DataFrame, chunk: int = CHUNK) -> DataFrame:
             sets = [shingle_set(x).tobytes() for x in common.texts_of(t.column("text"))]
             yield pa.RecordBatch.from_arrays([*(t.column(c).combine_chunks() for c in ("node", "root", "c", "bands")), pa.array(sets, pa.binary())], ["node", "root", "c", "bands", "words"])
 
-    sent = texts.select("node", "root", "c", "bands", "text").mapInArrow(send, "node long, root long, c int, bands array<long>, words binary")
+    sent = common.map_texts(texts.select("node", "root", "c", "bands", "text"), send, "node long, root long, c int, bands array<long>, words binary")
     sent = sent.withColumn("own", F.pmod(F.xxhash64("node"), F.col("c")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
     sent = sent.select("node", "bands", "words", F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")).alias("g"))
 
@@ -147,7 +147,7 @@ def keep_one_by_fingerprint(docs: DataFrame) -> DataFrame:
             fp = simhash.fingerprints_of(common.texts_of(t.column("text")))
             yield pa.RecordBatch.from_arrays([*(t.column(c).combine_chunks() for c in KEY), pa.array(fp.view(np.int64))], [*KEY, "node"])
 
-    rows = _keyed(docs).mapInArrow(run, "doc_id long, th long, node long").groupBy("node", *KEY).agg(F.count("*").alias("n"))
+    rows = common.map_texts(_keyed(docs), run, "doc_id long, th long, node long").groupBy("node", *KEY).agg(F.count("*").alias("n"))
     nodes = common.checkpoint(rows.groupBy("node").agg(F.min(F.struct(*KEY, "n")).alias("x")).select("node", "x.*"))
     return _least(docs, nodes, simhash.links(simhash.pivot_table(nodes.select(F.col("node").alias("fp")))))
 

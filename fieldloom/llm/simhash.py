@@ -82,7 +82,7 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
             fp = fingerprints_of(common.texts_of(t.column("text")), size)
             yield pa.RecordBatch.from_arrays([t.column("doc_id").combine_chunks(), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return common.map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, fp long")
 
 
 def pivot_table(nodes: DataFrame) -> DataFrame:
