@@ -320,42 +320,46 @@ def class_scan(spark, d):
 
 
 def _built(spark, d):
-    """A project folder with the customers' class files in its build folder, and the paths of their jars, written by tasks."""
+    """A project folder with the customers' class files in its build folder, a folder of lists of the paths of their jars, both written by tasks, and each list's first jar."""
     ensure_checkpoint_dir(spark)
     project = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
 
     def write(it):
+        jars = []
         for pdf in it:
             paths = [f"{project}/{analysis.BUILD_FOLDERS[1] if p.endswith('.class') else 'lib'}/{p}" for p in pdf["path"]]
             for path, content in zip(paths, pdf["content"], strict=True):
                 with scan.create(path) as f:
                     f.write(bytes(content))
-            yield pd.DataFrame({"path": [p for p in paths if p.endswith(".jar")]})
+            jars += [p for p in paths if p.endswith(".jar")]
+        scan.write_list(f"{project}/lists/{TaskContext.get().partitionId()}", jars)
+        yield pd.DataFrame({"path": jars[:1]})
 
     files = _customers(spark, d).mapInPandas(_assembled, "path string, content binary")
-    return project, [r.path for r in files.mapInPandas(write, "path string").collect()]
+    firsts = [r.path for r in files.mapInPandas(write, "path string").collect()]
+    return project, f"{project}/lists", firsts
 
 
 def build_scan(spark, d):
     """The whole analysis of a project by its build folder."""
-    project, _ = _built(spark, d)
+    project, _, _ = _built(spark, d)
     return analysis.analyse(spark, project).select("class_name", F.size("methods").alias("n_methods"))
 
 
 def path_dispatch(spark, d):
     """Folders, class files, jars and files of other kinds in one list of paths; a path that is given twice counts twice."""
-    project, jars = _built(spark, d)
+    project, lists, firsts = _built(spark, d)
     folder = f"{project}/{analysis.BUILD_FOLDERS[1]}"
-    found = scan.read(spark, folder, *jars, *jars[:1], columns=["source_path", "entry_name", "class_name", "corrupt"])
+    found = scan.read(spark, folder, *firsts[:1], columns=["source_path", "entry_name", "class_name", "corrupt"], listed=lists)
     kind = F.when(F.col("source_path").endswith(".jar"), "jar").otherwise("file")
     return found.groupBy(kind.alias("kind"), F.col("entry_name") != "").agg(F.count_distinct("source_path").alias("n"), F.count_distinct("class_name").alias("classes")).select("kind", "n", "classes")
 
 
 def class_by_name(spark, d):
     """Nations' numbers as class names, looked for in the build folder by a filter that reaches the scan."""
-    project, jars = _built(spark, d)
+    project, lists, _ = _built(spark, d)
     names = [f"shop/C{r.n_nationkey}" for r in _t(spark, d, "nation").select("n_nationkey").collect()]
-    return scan.find(spark, [f"{project}/{analysis.BUILD_FOLDERS[1]}", *jars], *names, columns=["class_name", "super_name", "annotations"]).select("class_name", "super_name", joined(F.col("annotations")).alias("roles"))
+    return scan.find(spark, [f"{project}/{analysis.BUILD_FOLDERS[1]}"], *names, columns=["class_name", "super_name", "annotations"], listed=lists).select("class_name", "super_name", joined(F.col("annotations")).alias("roles"))
 
 
 def method_report(spark, d):

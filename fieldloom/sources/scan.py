@@ -7,6 +7,10 @@ tasks, and no row holds a whole jar. Filters that Spark pushes down: class_name
 parsed if the name isn't wanted), source_path and entry_name (files and entries are not read at all), corrupt IS NULL. Columns are pruned by the
 schema that the caller gives: without insns and lines no code is read.
 
+The driver holds no file's path longer than it takes to put it into a task's share, which is packed at once: folders of a local store are listed
+as a stream, in the order of the store, and long lists of paths are files that tasks have written (write_list), which planning reads line by line. So neither the
+session's options nor tasks hold paths other than their own.
+
 Paths are local or of a store that pyarrow opens (hdfs, s3, gs); classfile.read goes through Spark's own readers instead. A path that does not
 exist is an error, as is a jar without a readable directory; a class that cannot be parsed is a row with `corrupt`. Folders are searched
 in depth for class files; files of other names give no rows.
@@ -14,7 +18,10 @@ in depth for class files; files of other names give no rows.
 
 from __future__ import annotations
 
+import io
 import json
+import os
+import pickle
 import struct
 import zipfile
 import zlib
@@ -31,6 +38,8 @@ from fieldloom.sources import classfile
 NAME = "classfiles"
 #: Bytes of one task, and the cost of opening a file in bytes.
 SPLIT_BYTES, OPEN_BYTES = 32 << 20, 64 << 10
+#: Jars that planning opens at a time.
+OPENED = 1024
 #: Fixed: a local file header of the zip format, and its compression methods.
 _LOCAL, _STORED, _DEFLATED = "<4s5H3I2H", 0, 8
 #: Columns that filters are pushed for.
@@ -53,6 +62,13 @@ def create(path: str):
     return store.open_output_stream(inner)
 
 
+def write_list(path: str, paths: list[str]) -> None:
+    """A file of a list that read() can be given: a line for each path."""
+    with create(path) as f:
+        for p in paths:
+            f.write(json.dumps(p).encode() + b"\n")
+
+
 def _runs(items: list, size_of, most: int) -> Iterator[list]:
     run, have = [], 0
     for x in items:
@@ -66,10 +82,40 @@ def _runs(items: list, size_of, most: int) -> Iterator[list]:
 
 
 class Split(InputPartition):
-    """Class files (path, size), and runs of entries (name, offset, end, compressed size, method) of jars by their paths; None for a jar that is read whole."""
+    """Class files (path, size), and runs of entries (name, offset, end, compressed size, method) of jars by their paths; None for a jar that is read whole.
+
+    Packed, as there may be millions of paths, which are much alike.
+    """
 
     def __init__(self, files: list[tuple[str, int]], jars: list[tuple[str, list[tuple] | None]]):
-        self.files, self.jars = files, jars
+        self.packed = zlib.compress(pickle.dumps((files, jars)))
+
+    @property
+    def files(self) -> list[tuple[str, int]]:
+        return pickle.loads(zlib.decompress(self.packed))[0]
+
+    @property
+    def jars(self) -> list[tuple[str, list[tuple] | None]]:
+        return pickle.loads(zlib.decompress(self.packed))[1]
+
+
+class _Shares:
+    """Items dealt to splits in their order; a split is made when the next item is too much for it."""
+
+    def __init__(self, split, most: int):
+        self.split, self.most, self.made, self.run, self.have = split, most, [], [], 0
+
+    def add(self, item: tuple, size: int) -> None:
+        if self.run and self.have + size > self.most:
+            self.end()
+        self.run.append(item)
+        self.have += size
+
+    def end(self) -> list[Split]:
+        if self.run:
+            self.made.append(self.split(self.run))
+        self.run, self.have = [], 0
+        return self.made
 
 
 class ClassFiles(DataSource):
@@ -82,12 +128,17 @@ class ClassFiles(DataSource):
 
     def reader(self, schema: T.StructType) -> ClassFileReader:
         paths = json.loads(self.options["paths"]) if "paths" in self.options else [self.options["path"]]
-        return ClassFileReader(schema.names, paths, int(self.options.get("splitBytes", SPLIT_BYTES)))
+        self.planned = True
+        return ClassFileReader(schema.names, paths, int(self.options.get("splitBytes", SPLIT_BYTES)), self.options.get("listed"))
+
+    def __getstate__(self) -> dict:
+        """Tasks get this object, too, and no more than its name is asked for there: the paths stay here."""
+        return self.__dict__ | ({"options": {}} if "planned" in self.__dict__ else {})
 
 
 class ClassFileReader(DataSourceReader):
-    def __init__(self, columns: list[str], paths: list[str], split_bytes: int):
-        self.columns, self.paths, self.split_bytes = columns, paths, split_bytes
+    def __init__(self, columns: list[str], paths: list[str], split_bytes: int, listed: str | None = None):
+        self.columns, self.paths, self.split_bytes, self.listed = columns, paths, split_bytes, listed
         self.wanted: dict[str, set[str]] = {}
         self.readable_only = False
 
@@ -109,13 +160,24 @@ class ClassFileReader(DataSourceReader):
     def _fits(self, column: str, value: str) -> bool:
         return column not in self.wanted or value in self.wanted[column]
 
+    def _paths(self) -> Iterator[str]:
+        yield from self.paths
+        if self.listed is not None:
+            store, inner, _ = store_of(self.listed)
+            for part in sorted(x.path for x in store.get_file_info(stores.FileSelector(inner)) if x.is_file):
+                with store.open_input_stream(part) as f, io.TextIOWrapper(f, "utf-8", newline="\n") as lines:
+                    yield from map(json.loads, lines)
+
     def _files(self) -> Iterator[tuple[str, int]]:
-        for path in self.paths:
+        for path in self._paths():
             store, inner, head = store_of(path)
             info = store.get_file_info(inner)
             if info.type == stores.FileType.NotFound:
                 raise FileNotFoundError(path)
             if info.type == stores.FileType.Directory:
+                if isinstance(store, stores.LocalFileSystem):
+                    yield from ((head + p, size) for p, size in _local_classes(inner))
+                    continue
                 found = store.get_file_info(stores.FileSelector(inner, recursive=True))
                 yield from sorted((head + x.path, x.size) for x in found if x.is_file and x.path.endswith(".class"))
             elif inner.endswith((".class", ".jar")):
@@ -128,22 +190,34 @@ class ClassFileReader(DataSourceReader):
             return [(x.filename, x.header_offset, end, x.compress_size, x.compress_type) for x, end in zip(sorted(z.infolist(), key=lambda x: x.header_offset), ends, strict=True) if x.filename.endswith(".class")]
 
     def partitions(self) -> list[Split]:
-        files = [x for x in self._files() if self._fits("source_path", x[0])]
         # A filter by entry is worth a look into every jar here: it leaves out those without one.
         most = self.split_bytes if "entry_name" not in self.wanted else -1
-        small = [(p, None, size) for p, size in files if p.endswith(".jar") and size <= most]
-        jars = [p for p, size in files if p.endswith(".jar") and size > most]
-        plain = [x for x in files if x[0].endswith(".class")] if self._fits("entry_name", "") else []
-        out = [Split(run, []) for run in _runs(plain, lambda x: x[1] + OPEN_BYTES, self.split_bytes)]
-        parts = []
-        with ThreadPoolExecutor(16) as pool:
-            for jar, entries in zip(jars, pool.map(self._entries, jars), strict=True):
-                kept = [x for x in entries if self._fits("entry_name", x[0])]
-                parts += [(jar, run) for run in _runs(kept, lambda x: x[2] - x[1], self.split_bytes)]
         # Small jars share a task.
-        parts = small + [(jar, run, run[-1][2] - run[0][1]) for jar, run in parts]
-        out += [Split([], [x[:2] for x in run]) for run in _runs(parts, lambda x: x[2] + OPEN_BYTES, self.split_bytes)]
-        return out or [Split([], [])]
+        plain, jars = _Shares(lambda run: Split(run, []), self.split_bytes), _Shares(lambda run: Split([], run), self.split_bytes)
+        unfiled, large = self._fits("entry_name", ""), []
+        with ThreadPoolExecutor(16) as pool:
+            for path, size in self._files():
+                if not self._fits("source_path", path):
+                    continue
+                if not path.endswith(".jar"):
+                    if unfiled:
+                        plain.add((path, size), size + OPEN_BYTES)
+                elif size <= most:
+                    jars.add((path, None), size + OPEN_BYTES)
+                else:
+                    large.append(path)
+                    if len(large) == OPENED:
+                        self._open(large, pool, jars)
+                        large = []
+            self._open(large, pool, jars)
+        return plain.end() + jars.end() or [Split([], [])]
+
+    def _open(self, paths: list[str], pool: ThreadPoolExecutor, jars: _Shares) -> None:
+        """Runs of these jars' entries, which are read here."""
+        for jar, entries in zip(paths, pool.map(self._entries, paths), strict=True):
+            kept = [x for x in entries if self._fits("entry_name", x[0])]
+            for run in _runs(kept, lambda x: x[2] - x[1], self.split_bytes):
+                jars.add((jar, run), run[-1][2] - run[0][1] + OPEN_BYTES)
 
     def _bytes(self, split: Split) -> Iterator[tuple[str, str, bytes | None, str | None]]:
         """(path, entry, content or None, what is wrong)."""
@@ -201,6 +275,19 @@ class ClassFileReader(DataSourceReader):
             yield tuple(row[c] for c in self.columns)
 
 
+def _local_classes(folder: str) -> Iterator[tuple[str, int]]:
+    """(path, size) of the class files in a local folder and below it, as a stream."""
+    below = []
+    with os.scandir(folder) as found:
+        for x in found:
+            if x.is_dir():
+                below.append(x.path)
+            elif x.name.endswith(".class") and x.is_file():
+                yield x.path, x.stat().st_size
+    for path in sorted(below):
+        yield from _local_classes(path)
+
+
 def opens(path: str) -> bool:
     """Whether pyarrow has the path's store, so that this format can read it."""
     try:
@@ -217,14 +304,15 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(ClassFiles)
 
 
-def read(spark: SparkSession, *paths: str, columns: list[str] | None = None, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """The classes of these files, jars and folders; with columns, only these are parsed."""
+def read(spark: SparkSession, *paths: str, columns: list[str] | None = None, split_bytes: int = SPLIT_BYTES, listed: str | None = None) -> DataFrame:
+    """The classes of these files, jars and folders, and of those that the lists in the folder `listed` name; with columns, only these are parsed."""
     register(spark)
     whole = T.StructType.fromDDL(classfile.SCHEMA)
     schema = T.StructType([whole[c] for c in columns or whole.names])
-    return spark.read.format(NAME).schema(schema).option("paths", json.dumps(list(paths))).option("splitBytes", split_bytes).load()
+    found = spark.read.format(NAME).schema(schema).option("paths", json.dumps(list(paths))).option("splitBytes", split_bytes)
+    return (found if listed is None else found.option("listed", listed)).load()
 
 
-def find(spark: SparkSession, paths: list[str], *class_names: str, columns: list[str] | None = None) -> DataFrame:
+def find(spark: SparkSession, paths: list[str], *class_names: str, columns: list[str] | None = None, listed: str | None = None) -> DataFrame:
     """The classes of these names, dotted or internal, by a filter that reaches the scan."""
-    return classfile.by_name(read(spark, *paths, columns=columns), *class_names)
+    return classfile.by_name(read(spark, *paths, columns=columns, listed=listed), *class_names)

@@ -1,5 +1,6 @@
 """Class files and jars as a data source: splits, pushed filters, pruned columns."""
 
+import json
 import shutil
 import zipfile
 from pathlib import Path
@@ -126,3 +127,31 @@ def test_planning_opens_no_small_jar_and_tasks_get_no_paths(tmp_path):
     assert jar.encode() not in task
     rows = [r for p in parts for r in pickle.loads(task).read(p)]
     assert len(rows) == 1000 and {r[0] for r in rows} == {"x/A.class"}
+
+
+def test_tasks_and_plans_hold_no_lists_of_paths(spark, tmp_path):
+    import pickle
+
+    folder, jars = tmp_path / "classes" / "deep", []
+    for i in range(2000):
+        with scan.create(f"{folder}/c{i}.class") as f:
+            f.write(class_file(f"shop.C{i}", []))
+    for i in range(3):
+        jars.append(f"{tmp_path}/j\n{i}.jar")
+        with zipfile.ZipFile(jars[-1], "w") as z:
+            z.writestr("x/J.class", class_file(f"shop.J{i}", []))
+        scan.write_list(f"{tmp_path}/lists/{i}", jars[-1:])
+    reader = scan.ClassFileReader(["class_name"], [str(tmp_path / "classes")], scan.SPLIT_BYTES, f"{tmp_path}/lists")
+    parts = reader.partitions()
+    assert sum(len(p.files) for p in parts) == 2000 and sum(len(p.jars) for p in parts) == 3
+    # A path has more than fifty bytes; what the driver holds of it has a few.
+    assert sum(len(pickle.dumps(p)) for p in parts) < 2003 * 20
+    df = scan.read(spark, str(tmp_path / "classes"), jars[0], columns=["class_name"], listed=f"{tmp_path}/lists")
+    assert sorted(r.class_name for r in df.collect()) == sorted([f"shop.C{i}" for i in range(2000)] + [f"shop.J{i}" for i in (0, 0, 1, 2)])
+    source = scan.ClassFiles({"paths": json.dumps(jars)})
+    assert json.loads(pickle.loads(pickle.dumps(source)).options["paths"]) == jars
+    source.reader(df.schema)
+    assert pickle.loads(pickle.dumps(source)).options == {}
+    scan.write_list(f"{tmp_path}/lists/3", [f"{tmp_path}/none.jar"])
+    with pytest.raises(FileNotFoundError):
+        reader.partitions()
